@@ -56,19 +56,3 @@ def fell(measure: str) -> Column:
     """The last period is below the one before it."""
     before, now = last_two(measure)
     return now < before
-
-
-def percent_of_previous(measure: str) -> Column:
-    """Change of the last period against a positive previous one, in percent."""
-    before, now = last_two(measure)
-    return F.when(before > 0, (now - before) * 100.0 / before)
-
-
-def percent_of_size(measure: str) -> Column:
-    """Change of the last period against the absolute value of the previous one, in percent."""
-    before, now = last_two(measure)
-    return F.try_divide((now - before).cast("double"), F.abs(before).cast("double")) * 100.0
-
-
-def sign_of_change(measure: str, start: int, end: int) -> Column:
-    return F.signum(F.col(f"{measure}_{end}") - F.col(f"{measure}_{start}"))

@@ -69,6 +69,37 @@ def prefix_sums(
     return joined.withColumns(new).select(*df.columns, *new)
 
 
+def grouped_prefix_sums(df: DataFrame, by: list[str], order: list[Column], sums: list[str]) -> DataFrame:
+    """Inclusive running sums inside each group (``cum_x``) and group totals (``all_x``).
+
+    The table is accumulated once in (group, order) sequence; each group then subtracts what came
+    before it. ``by`` must be low-cardinality (models, folds, features): its totals are broadcast.
+    """
+    run = prefix_sums(df, [F.col(b).asc() for b in by] + order, {f"_c_{x}": x for x in sums})
+    start = [F.min(F.col(f"_c_{x}") - F.col(x)).alias(f"_s_{x}") for x in sums]
+    totals = [F.sum(x).alias(f"all_{x}") for x in sums]
+    if by:
+        groups = run.groupBy(*by).agg(*start, *totals)
+        joined = run.join(F.broadcast(groups), by)
+    else:
+        groups = run.groupBy(F.lit(1).alias("_one")).agg(*start, *totals)
+        joined = run.withColumn("_one", F.lit(1)).join(F.broadcast(groups), "_one").drop("_one")
+    return joined.withColumns({f"cum_{x}": F.col(f"_c_{x}") - F.col(f"_s_{x}") for x in sums}).drop(
+        *[f"_c_{x}" for x in sums], *[f"_s_{x}" for x in sums]
+    )
+
+
+def grouped_rank(df: DataFrame, by: str, order: list[Column], rank: str, size: str) -> DataFrame:
+    """1-based rank inside each value of a low-cardinality column, and the size of its group."""
+    ranked = global_rank(df, [F.col(by).asc(), *order], "_r", "_n")
+    groups = ranked.groupBy(by).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias(size))
+    return (
+        ranked.join(F.broadcast(groups), by)
+        .withColumn(rank, F.col("_r") - F.col("_first") + 1)
+        .drop("_r", "_n", "_first")
+    )
+
+
 def percent_rank(rank: str = "rank", total: str = "rows_total") -> Column:
     """(rank - 1) / (rows - 1), 0 for a single row."""
     return F.coalesce(F.try_divide(F.col(rank) - 1, F.col(total) - 1), F.lit(0.0))

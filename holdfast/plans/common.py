@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from holdfast import specs as S
+from holdfast.functions import band_rules  # noqa: F401  (registers the bands)
 from holdfast.functions.numeric import percent, rounded
 
 

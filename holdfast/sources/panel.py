@@ -10,8 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from holdfast import PERIODS
 
@@ -60,95 +61,95 @@ LINE_SHARES: dict[str, tuple[str, tuple[int, ...]]] = {
 """Voice sub-family -> line status and line numbers it adds up."""
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A parquet table; its footers are read for the schema once per process, not once per query."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def _within(day: Column, span: tuple[date, date]) -> Column:
-    return day.between(F.lit(span[0]), F.lit(span[1]))
+def _within(day: str, span: tuple[date, date]) -> str:
+    return f"{day} BETWEEN DATE '{span[0]}' AND DATE '{span[1]}'"
 
 
-def _cents(c: str) -> Column:
+def _cents(column: str) -> str:
     """Exact integer cents: long sums are exact, fast and independent of partial-sum order."""
-    return F.round(F.col(c) * 100).cast("long")
+    return f"cast(round({column} * 100) AS bigint)"
+
+
+def _aggregate(df: DataFrame, key: str, aggs: dict[str, str]) -> DataFrame:
+    """Group by a key with aggregates given as SQL text; one parse per column keeps plan building quick."""
+    return df.groupBy(key).agg(*[F.expr(sql).alias(name) for name, sql in aggs.items()])
 
 
 def _order_lines(lineitem: DataFrame) -> DataFrame:
     """One row per order: signed revenue and quantities by line class."""
-    qty = F.col("l_quantity")
-    signed = F.when(F.col("l_returnflag") == "R", -_cents("l_extendedprice")).otherwise(_cents("l_extendedprice"))
-    out = F.col("l_linestatus") == "O"
-    sums = [
-        F.sum(signed).alias("arpu"),
-        F.sum(F.when(out, qty).otherwise(0.0)).alias("total_og_mou"),
-        F.sum(F.when(F.col("l_linestatus") == "F", qty).otherwise(0.0)).alias("total_ic_mou"),
-        F.sum(F.when(F.col("l_returnflag") == "A", qty).otherwise(0.0)).alias("onnet_mou"),
-        F.sum(F.when(F.col("l_returnflag") == "N", qty).otherwise(0.0)).alias("offnet_mou"),
-    ]
-    for name, (status, numbers) in LINE_SHARES.items():
-        hit = (F.col("l_linestatus") == status) & F.col("l_linenumber").isin(*numbers)
-        sums.append(F.sum(F.when(hit, qty).otherwise(0.0)).alias(name))
-    return lineitem.groupBy("l_orderkey").agg(*sums)
+    cents = _cents("l_extendedprice")
+    classes = {
+        "total_og_mou": "l_linestatus = 'O'",
+        "total_ic_mou": "l_linestatus = 'F'",
+        "onnet_mou": "l_returnflag = 'A'",
+        "offnet_mou": "l_returnflag = 'N'",
+    }
+    for name, (line_status, numbers) in LINE_SHARES.items():
+        classes[name] = f"l_linestatus = '{line_status}' AND l_linenumber IN ({', '.join(map(str, numbers))})"
+    aggs = {"arpu": f"sum(if(l_returnflag = 'R', -{cents}, {cents}))"}
+    aggs |= {name: f"sum(if({hit}, l_quantity, 0D))" for name, hit in classes.items()}
+    return _aggregate(lineitem, "l_orderkey", aggs)
 
 
 LINE_MEASURES = ("arpu", "total_og_mou", "total_ic_mou", "onnet_mou", "offnet_mou", *LINE_SHARES)
 
 
 def _order_part(orders: DataFrame, lineitem: DataFrame, cal: Calendar) -> DataFrame:
-    day = F.to_date("o_orderdate")
-    joined = orders.select("o_orderkey", "o_custkey", "o_totalprice", day.alias("day")).join(
-        _order_lines(lineitem), F.col("o_orderkey") == F.col("l_orderkey"), "left"
+    joined = orders.selectExpr("o_orderkey", "o_custkey", "o_totalprice", "to_date(o_orderdate) AS day").join(
+        _order_lines(lineitem), F.expr("o_orderkey = l_orderkey"), "left"
     )
-    before = F.col("day") <= F.lit(cal.prediction_point)
-    aggs = [
-        F.max(F.when(_within(F.col("day"), cal.outcome), 1).otherwise(0)).alias("in_outcome"),
-        F.min(F.when(before, F.col("day"))).alias("first_day"),
-    ]
+    aggs = {
+        "in_outcome": f"max(if({_within('day', cal.outcome)}, 1, 0))",
+        "first_day": f"min(if(day <= DATE '{cal.prediction_point}', day, NULL))",
+    }
     for p in PERIODS:
-        hit = _within(F.col("day"), cal.orders[p])
-        aggs += [
-            F.count_if(hit).alias(f"num_{p}"),
-            F.sum(F.when(hit, _cents("o_totalprice"))).alias(f"amt_{p}"),
-            F.max(F.when(hit, F.col("o_totalprice"))).alias(f"max_{p}"),
-            F.max(F.when(hit, F.col("day"))).alias(f"last_{p}"),
-        ]
-        aggs += [F.sum(F.when(hit, F.col(m))).alias(f"{m}_{p}") for m in LINE_MEASURES]
-    return joined.groupBy("o_custkey").agg(*aggs)
+        hit = _within("day", cal.orders[p])
+        aggs |= {
+            f"num_{p}": f"count_if({hit})",
+            f"amt_{p}": f"sum(if({hit}, {_cents('o_totalprice')}, NULL))",
+            f"max_{p}": f"max(if({hit}, o_totalprice, NULL))",
+            f"last_{p}": f"max(if({hit}, day, NULL))",
+        }
+        aggs |= {f"{m}_{p}": f"sum(if({hit}, {m}, NULL))" for m in LINE_MEASURES}
+    return _aggregate(joined, "o_custkey", aggs)
 
 
 def _event_part(events: DataFrame, cal: Calendar) -> DataFrame:
-    typed = events.select(
-        "user_id",
-        "event_type",
-        F.to_date("ts").alias("day"),
-        F.hour("ts").alias("hour"),
-        "value",
-        _cents("value").alias("cents"),
-    ).filter(F.col("day").between(F.lit(cal.events[PERIODS[0]][0]), F.lit(cal.events[PERIODS[-1]][1])))
-    kind, value = F.col("event_type"), F.col("value")
-    bought = (kind == "purchase") & (value >= 100)
-    aggs = [F.lit(1).alias("has_events")]
+    whole = (cal.events[PERIODS[0]][0], cal.events[PERIODS[-1]][1])
+    typed = events.selectExpr(
+        "user_id", "event_type", "to_date(ts) AS day", "hour(ts) AS hour", "value", f"{_cents('value')} AS cents"
+    ).filter(_within("day", whole))
+    bought = "event_type = 'purchase' AND value >= 100"
+    aggs = {"has_events": "max(1)"}
     for p in PERIODS:
-        hit = _within(F.col("day"), cal.events[p])
+        hit = _within("day", cal.events[p])
         shift = (cal.orders[p][1] - cal.events[p][1]).days
-        counts = {
-            "total_rech_data": bought,
-            "monthly_2g": (kind == "click") & (value >= 150),
-            "sachet_2g": (kind == "click") & (value >= 100) & (value < 150),
-            "monthly_3g": (kind == "view") & (value >= 150),
-            "sachet_3g": (kind == "view") & (value >= 100) & (value < 150),
-            "signups": kind == "signup",
-            "nights": F.col("hour") < 6,
+        aggs |= {
+            f"total_rech_data_{p}": f"count_if({hit} AND {bought})",
+            f"monthly_2g_{p}": f"count_if({hit} AND event_type = 'click' AND value >= 150)",
+            f"sachet_2g_{p}": f"count_if({hit} AND event_type = 'click' AND value >= 100 AND value < 150)",
+            f"monthly_3g_{p}": f"count_if({hit} AND event_type = 'view' AND value >= 150)",
+            f"sachet_3g_{p}": f"count_if({hit} AND event_type = 'view' AND value >= 100 AND value < 150)",
+            f"signups_{p}": f"count_if({hit} AND event_type = 'signup')",
+            f"nights_{p}": f"count_if({hit} AND hour < 6)",
+            f"vol_2g_{p}": f"sum(if({hit} AND event_type = 'click', cents, 0))",
+            f"vol_3g_{p}": f"sum(if({hit} AND event_type = 'view', cents, 0))",
+            f"bought_{p}": f"sum(if({hit} AND {bought}, cents, NULL))",
+            f"max_rech_data_{p}": f"max(if({hit} AND {bought}, value, NULL))",
+            f"data_day_{p}": f"date_add(max(if({hit} AND {bought}, day, NULL)), {shift})",
         }
-        aggs += [F.count_if(hit & cond).alias(f"{name}_{p}") for name, cond in counts.items()]
-        aggs += [
-            F.sum(F.when(hit & (kind == "click"), F.col("cents")).otherwise(0)).alias(f"vol_2g_{p}"),
-            F.sum(F.when(hit & (kind == "view"), F.col("cents")).otherwise(0)).alias(f"vol_3g_{p}"),
-            F.sum(F.when(hit & bought, F.col("cents"))).alias(f"bought_{p}"),
-            F.max(F.when(hit & bought, value)).alias(f"max_rech_data_{p}"),
-            F.date_add(F.max(F.when(hit & bought, F.col("day"))), shift).alias(f"data_day_{p}"),
-        ]
-    return typed.groupBy("user_id").agg(*aggs)
+    return _aggregate(typed, "user_id", aggs)
 
 
 def customer_panel(
@@ -160,41 +161,35 @@ def customer_panel(
 ) -> DataFrame:
     """Left-join the aggregated parts to the customers; absence stays NULL, counts become 0."""
     wide = (
-        customer.select(F.col("c_custkey").alias("id"))
-        .join(_order_part(orders, lineitem, cal), F.col("id") == F.col("o_custkey"), "left")
-        .join(_event_part(events, cal), F.col("id") == F.col("user_id"), "left")
+        customer.selectExpr("c_custkey AS id")
+        .join(_order_part(orders, lineitem, cal), F.expr("id = o_custkey"), "left")
+        .join(_event_part(events, cal), F.expr("id = user_id"), "left")
     )
-    has_events = F.col("has_events").isNotNull()
     out = [
-        F.col("id"),
-        F.when(F.coalesce(F.col("in_outcome"), F.lit(0)) == 1, 0).otherwise(1).alias("label"),
-        F.datediff(F.lit(cal.prediction_point), "first_day").alias("aon"),
-        F.lit(109).alias("circle_id"),
+        "id",
+        "if(coalesce(in_outcome, 0) = 1, 0, 1) AS label",
+        f"datediff(DATE '{cal.prediction_point}', first_day) AS aon",
+        "109 AS circle_id",
     ]
     for p in PERIODS:
-        active = F.col(f"num_{p}") > 0
-        out += [
-            F.when(active, F.lit(f"{cal.orders[p][1]:%-m/%-d/%Y}")).alias(f"last_date_of_month_{p}"),
-            F.date_format(f"last_{p}", "M/d/yyyy").alias(f"date_of_last_rech_{p}"),
-            F.coalesce(F.col(f"num_{p}"), F.lit(0)).alias(f"total_rech_num_{p}"),
-            (F.coalesce(F.col(f"amt_{p}"), F.lit(0)) / 100000.0).alias(f"total_rech_amt_{p}"),
-            (F.coalesce(F.col(f"max_{p}"), F.lit(0.0)) / 1000.0).alias(f"max_rech_amt_{p}"),
-            (F.col(f"arpu_{p}") / 100000.0).alias(f"arpu_{p}"),
-        ]
-        out += [F.col(f"{m}_{p}") for m in LINE_MEASURES if m != "arpu"]
-        out += [
-            (F.col(f"vol_2g_{p}") / 100.0).alias(f"vol_2g_mb_{p}"),
-            (F.col(f"vol_3g_{p}") / 100.0).alias(f"vol_3g_mb_{p}"),
-            F.date_format(f"data_day_{p}", "M/d/yyyy").alias(f"date_of_last_rech_data_{p}"),
-            F.col(f"max_rech_data_{p}"),
-            F.try_divide(F.col(f"bought_{p}") / 100.0, F.col(f"total_rech_data_{p}")).alias(f"av_rech_amt_data_{p}"),
-            F.when(has_events, (F.col(f"signups_{p}") >= 5).cast("int")).alias(f"fb_user_{p}"),
-            F.when(has_events, (F.col(f"nights_{p}") >= 6).cast("int")).alias(f"night_pck_user_{p}"),
-        ]
         out += [
-            F.col(f"{m}_{p}") for m in ("total_rech_data", "monthly_2g", "sachet_2g", "monthly_3g", "sachet_3g")
+            f"if(num_{p} > 0, '{cal.orders[p][1]:%-m/%-d/%Y}', NULL) AS last_date_of_month_{p}",
+            f"date_format(last_{p}, 'M/d/yyyy') AS date_of_last_rech_{p}",
+            f"coalesce(num_{p}, 0) AS total_rech_num_{p}",
+            f"coalesce(amt_{p}, 0) / 100000D AS total_rech_amt_{p}",
+            f"coalesce(max_{p}, 0D) / 1000D AS max_rech_amt_{p}",
+            f"arpu_{p} / 100000D AS arpu_{p}",
+            *[f"{m}_{p}" for m in LINE_MEASURES if m != "arpu"],
+            f"vol_2g_{p} / 100D AS vol_2g_mb_{p}",
+            f"vol_3g_{p} / 100D AS vol_3g_mb_{p}",
+            f"date_format(data_day_{p}, 'M/d/yyyy') AS date_of_last_rech_data_{p}",
+            f"max_rech_data_{p}",
+            f"try_divide(bought_{p} / 100D, total_rech_data_{p}) AS av_rech_amt_data_{p}",
+            f"if(has_events IS NOT NULL, cast(signups_{p} >= 5 AS int), NULL) AS fb_user_{p}",
+            f"if(has_events IS NOT NULL, cast(nights_{p} >= 6 AS int), NULL) AS night_pck_user_{p}",
+            *[f"{m}_{p}" for m in ("total_rech_data", "monthly_2g", "sachet_2g", "monthly_3g", "sachet_3g")],
         ]
-    return wide.select(*out)
+    return wide.selectExpr(*out)
 
 
 def panel(spark: SparkSession, sf_dir: str, cal: Calendar = FIXTURE_CALENDAR) -> DataFrame:
