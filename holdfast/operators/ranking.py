@@ -89,10 +89,10 @@ def grouped_prefix_sums(df: DataFrame, by: list[str], order: list[Column], sums:
     )
 
 
-def grouped_rank(df: DataFrame, by: str, order: list[Column], rank: str, size: str) -> DataFrame:
-    """1-based rank inside each value of a low-cardinality column, and the size of its group."""
-    ranked = global_rank(df, [F.col(by).asc(), *order], "_r", "_n")
-    groups = ranked.groupBy(by).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias(size))
+def grouped_rank(df: DataFrame, by: list[str], order: list[Column], rank: str, size: str) -> DataFrame:
+    """1-based rank inside each low-cardinality group (labels, models, folds), and the group's size."""
+    ranked = global_rank(df, [F.col(b).asc() for b in by] + order, "_r", "_n")
+    groups = ranked.groupBy(*by).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias(size))
     return (
         ranked.join(F.broadcast(groups), by)
         .withColumn(rank, F.col("_r") - F.col("_first") + 1)

