@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.numeric import ratio, rounded
@@ -38,8 +38,12 @@ def feature_drift(df: DataFrame, columns: list[str], population: str, reference:
         F.avg(F.when(is_ref, F.col("value"))).alias("mean_r"),
         F.avg(F.when(~is_ref, F.col("value"))).alias("mean_c"),
     )
-    share_r = F.greatest(ratio("r", "all_r"), F.lit(SHARE_FLOOR))
-    share_c = F.greatest(ratio("c", "all_c"), F.lit(SHARE_FLOOR))
+
+    def share(part: str, whole: str) -> Column:
+        """Share of a bin, NULL (and with it the index) when the population has no value at all."""
+        return F.when(F.col(whole) > 0, F.greatest(ratio(part, whole), F.lit(SHARE_FLOOR)))
+
+    share_r, share_c = share("r", "all_r"), share("c", "all_c")
     psi = counts.join(F.broadcast(totals), "feature").groupBy("feature").agg(
         F.sum((share_c - share_r) * F.ln(share_c / share_r)).alias("psi")
     )
