@@ -71,8 +71,8 @@ def value_table(scores: DataFrame) -> DataFrame:
     """The full value table. ``scores`` holds id, label, score and arpu_8, one row per customer."""
     scores = materialise(scores.select("id", "label", "score", "arpu_8"))
     risk = risk_table(scores)
-    joined = with_exposure(risk.join(scores.select("id", "arpu_8"), "id"))
-    tiered = with_tier(materialise(joined))
+    joined = materialise(with_exposure(risk.join(scores.select("id", "arpu_8"), "id")))
+    tiered = materialise(with_tier(joined))
     whole = joined.groupBy(F.lit(1).alias("_one")).agg(F.sum(EXPOSURE).alias("_all"))
     placed = average_rank_percent(tiered, EXPOSURE, "revenue_exposure_percentile")
     ranked = global_rank(placed, exposure_order(), "revenue_exposure_rank", "_n")

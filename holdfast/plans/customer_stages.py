@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators import exposure, metrics, monitoring, retention, risk, scoring, splitting, thresholds
+from holdfast.functions import band_rules  # noqa: F401  (registers the bands)
+from holdfast.functions.bands import band
+from holdfast.functions.measures import with_measures
+from holdfast.functions.numeric import rounded
+from holdfast.operators import (
+    exposure,
+    metrics,
+    monitoring,
+    ranking,
+    retention,
+    risk,
+    scoring,
+    splitting,
+    thresholds,
+)
 from holdfast.operators.scoring import PRIMARY_THRESHOLD, scored
 from holdfast.session import materialise
 
@@ -43,7 +57,38 @@ def grid(panel: DataFrame) -> DataFrame:
     return materialise(retention.sensitivity_rows(scored(panel)))
 
 
+def value_ranks(panel: DataFrame) -> DataFrame:
+    """Rank, percent rank and quartile of every customer by value."""
+    rows = ranking.with_value_rank(scored(panel).select("id", "value"))
+    return rows.select(
+        "id",
+        "value_rank",
+        rounded("value_percentile", 6).alias("value_percentile"),
+        ranking.tile(4, "value_rank", "customers_total").alias("value_quartile"),
+    )
+
+
+def value_percentiles(panel: DataFrame) -> DataFrame:
+    """Tie-averaged percentile of every customer by value; the many zero values share one rank."""
+    rows = materialise(scored(panel).select("id", "value"))
+    ranked = ranking.average_rank_percent(rows, "value", "percentile")
+    return ranked.select("id", rounded("percentile", 6).alias("percentile"))
+
+
+def banded(panel: DataFrame) -> DataFrame:
+    """A left-closed ladder and a three-period course per customer."""
+    return with_measures(panel).select(
+        "id",
+        band("tenure_profile").alias("tenure_band"),
+        band("voice_consistency").alias("voice_course"),
+        band("arpu_change_band").alias("arpu_change"),
+    )
+
+
 STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "g01_global_rank": value_ranks,
+    "g02_avg_rank_pct": value_percentiles,
+    "g03_band": banded,
     "f02_stratified_split": lambda p: splitting.split_summary(p),
     "m08_stratified_kfold": lambda p: splitting.with_fold(p.select("id", "label")),
     "m01_confusion_metrics": lambda p: metrics.confusion(scored(p)),

@@ -87,13 +87,20 @@ def high_missing(panel: DataFrame) -> DataFrame:
     return missingness.high_missing_profile(missingness.null_counts(rows), spread)
 
 
-def treatments(panel: DataFrame, report=missingness.treatment_map) -> DataFrame:
+def treatments(panel: DataFrame) -> DataFrame:
     rows = split_panel(panel)
-    return report(
+    return missingness.treatment_map(
         missingness.null_counts(rows), missingness.unique_counts(rows.filter(F.col("split") == splitting.DEVELOPMENT))
     )
 
 
+def register(panel: DataFrame) -> DataFrame:
+    rows = split_panel(panel)
+    return missingness.feature_register(
+        missingness.null_counts(rows), missingness.constant_check(rows.filter(F.col("split") == splitting.DEVELOPMENT))
+    )
+
+
 def date_audit(panel: DataFrame) -> DataFrame:
     ends = {c: FIXTURE_CALENDAR.orders[int(c[-1])][1] for c in features.DATE_COLUMNS}
     return missingness.date_audit(panel, ends)
@@ -317,13 +324,16 @@ def tune(
     matrix: DataFrame, grid: dict[str, dict[str, TreeParams]], folds: int, columns: tuple[str, ...] = MODEL_FEATURES
 ) -> DataFrame:
     """Every candidate of every family, cross-validated and ranked inside its family."""
-    candidates = {
-        name: modelling.boosted_trees(columns, params) for family in grid.values() for name, params in family.items()
-    }
     families = {name: family for family, members in grid.items() for name in members}
-    cv = modelling.cross_validate(matrix, candidates, folds)
+    held_out, training = [], []
+    for members in grid.values():
+        for name, params in members.items():
+            # metrics are stored per candidate, so the plan does not grow with the grid
+            cv = modelling.cross_validate(matrix, {name: modelling.boosted_trees(columns, params)}, folds)
+            held_out.append(materialise(evaluation.fold_results(cv.held_out)))
+            training.append(materialise(evaluation.fold_results(cv.training)))
     return evaluation.tuning_table(
-        evaluation.fold_results(cv.held_out), evaluation.fold_results(cv.training), families, BASELINES
+        modelling.union_all(held_out), modelling.union_all(training), families, BASELINES
     )
 
 
@@ -358,7 +368,7 @@ def fitted_sigmoid(panel: DataFrame) -> DataFrame:
 
 def fitted_isotonic(panel: DataFrame) -> DataFrame:
     rows = calibration_scores(panel)
-    return calibration.fit_isotonic(rows)(rows).select("id", "score")
+    return calibration.fit_isotonic(rows)(rows).select("id", rounded("score", 6).alias("score"))
 
 
 def slope_table(panel: DataFrame) -> DataFrame:
@@ -373,7 +383,7 @@ def slope_table(panel: DataFrame) -> DataFrame:
 
 def final_fit(panel: DataFrame) -> DataFrame:
     """Refit on all development rows, save, load, and compare the scores of both copies."""
-    import tempfile
+    from uuid import uuid4
 
     from pyspark.ml import PipelineModel
 
@@ -382,7 +392,7 @@ def final_fit(panel: DataFrame) -> DataFrame:
     matrix = modelling.model_matrix(panel)
     ensure_checkpoint_dir(matrix.sparkSession)
     shared = matrix.sparkSession.sparkContext.getCheckpointDir()
-    path = f"{shared}/model-{tempfile.mktemp(prefix='', dir='')}"
+    path = f"{shared}/model-{uuid4().hex}"
     dev = matrix.filter("fold IS NOT NULL")
     model = modelling.boosted_trees(MODEL_FEATURES, SMALL_TREES).fit(dev)
     model.write().save(path)
@@ -404,7 +414,7 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "f07_voice_zero_vs_missing": lambda p: missingness.voice_zero_or_missing(null_counts(p)),
     "f08_missingness_correlation": lambda p: selection.missing_correlation(development(p), DATA_FLAGS),
     "f09_treatment_map": treatments,
-    "f10_feature_register": lambda p: treatments(p, missingness.feature_register),
+    "f10_feature_register": register,
     "f11_date_recency": date_audit,
     "f11_recency_features": block(features.recencies),
     "f12_missing_indicators": block(features.missing_indicators),

@@ -719,6 +719,17 @@ STAGES: dict[str, str] = {
         " CASE WHEN validation_rank = 1 THEN 'SELECTED' ELSE 'NOT SELECTED' END AS final_selection FROM hc",
         *HOLDOUT,
     ),
+    "c02_isotonic_calibrate": over_scores(
+        # isotonic fit as max over earlier starts of min over later ends of block means
+        f"SELECT sc.id AS id, {r('greatest(least(fit, 1 - 1e-7), 1e-7)')} AS score FROM sc JOIN iv ON sc.score = iv.score",
+        "ig AS (SELECT score, count(*) AS n, sum(label) AS y, row_number() OVER (ORDER BY score) AS i FROM sc GROUP BY score)",
+        "ic AS (SELECT i, score, sum(n) OVER (ORDER BY i) AS cn, sum(y) OVER (ORDER BY i) AS cy, n, y FROM ig)",
+        "ij AS (SELECT a.i AS j, b.i AS k, CAST(b.cy - a.cy + a.y AS DOUBLE) / (b.cn - a.cn + a.n) AS m"
+        " FROM ic a JOIN ic b ON a.i <= b.i)",
+        "im AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS low FROM ij)",
+        "ix AS (SELECT k, max(low) AS fit FROM im GROUP BY k)",
+        "iv AS (SELECT score, fit FROM ix JOIN ic ON ix.k = ic.i)",
+    ),
     "c07_rank_preservation": over_scores(
         f"SELECT {N} AS customers, {r('corr(a, b)')} AS ranking_spearman_vs_uncalibrated FROM rr",
         f"cl AS (SELECT score, {CALIBRATED} AS cal FROM sc)",

@@ -20,6 +20,21 @@ from holdfast.operators.ranking import (
 ROWS = 5000
 
 
+@pytest.fixture(scope="module", autouse=True)
+def several_partitions(spark):
+    """Keep small ranges apart, so that every test crosses partition borders."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_ranges_span_partitions(table):
+    df, _ = table
+    from holdfast.operators.ranking import _placed
+
+    assert _placed(df, [F.col("id").asc()]).select("_part").distinct().count() >= 4
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     """A third of all rows share the value 0, some values are missing."""
