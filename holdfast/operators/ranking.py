@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.session import materialise
+from holdfast.session import materialise, shuffle_width
 
 _BITS = 33
 """monotonically_increasing_id keeps the row position in the low 33 bits, the partition above."""
@@ -22,11 +22,12 @@ HOT_SHARE = 1000
 def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows sorted across partitions, with their partition and their position in it.
 
-    Range boundaries are sampled, so the placement is stored before it is read twice. The number
-    of ranges is left to adaptive execution, which joins small neighbours and keeps their order.
+    Range boundaries are sampled, so the placement is stored before it is read twice. There are
+    as many ranges as shuffle partitions: the bytes of sorted keys compress too well to let
+    adaptive execution choose by size.
     """
     spread = (
-        df.repartitionByRange(*order)
+        df.repartitionByRange(shuffle_width(df.sparkSession), *order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
