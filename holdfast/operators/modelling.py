@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -57,12 +59,14 @@ def development_medians(rows: DataFrame, columns: tuple[str, ...] = MODEL_FEATUR
     return medians_wide(rows.filter(F.col("split") == DEVELOPMENT), list(columns))
 
 
-def model_matrix(panel: DataFrame, columns: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
-    """Complete feature rows keyed by id with split and, for development rows, a fold."""
+def model_matrix(
+    panel: DataFrame, columns: tuple[str, ...] = MODEL_FEATURES, folds: int = FOLDS
+) -> DataFrame:
+    """Complete feature rows keyed by id with split and, for development rows, one of ``folds`` folds."""
     rows = feature_rows(panel, columns)
     filled = impute(rows, development_medians(rows, columns), list(columns))
-    folds = with_fold(rows.filter(F.col("split") == DEVELOPMENT).select("id", "label")).select("id", "fold")
-    return materialise(filled.join(folds, "id", "left"))
+    dealt = with_fold(rows.filter(F.col("split") == DEVELOPMENT).select("id", "label"), folds)
+    return materialise(filled.join(dealt.select("id", "fold"), "id", "left"))
 
 
 @dataclass(frozen=True)
@@ -134,23 +138,35 @@ class CrossValidation:
     training: DataFrame
 
 
+PARALLEL_FITS = 4
+"""Fits submitted at the same time; each is a distributed job of its own with many short stages."""
+
+
+def fit_all(tasks: list[tuple[Estimator, DataFrame]], parallel: int = PARALLEL_FITS) -> list[PipelineModel]:
+    """Fit (estimator, rows) pairs, a few at a time, from driver threads as Spark's own tuning does."""
+    session = tasks[0][1].sparkSession
+    with ThreadPool(min(parallel, len(tasks))) as pool:
+        return pool.map(inheritable_thread_target(session)(lambda task: task[0].fit(task[1])), tasks)
+
+
 def cross_validate(matrix: DataFrame, estimators: dict[str, Estimator], folds: int = FOLDS) -> CrossValidation:
-    """Fit every model on every fold complement. The loop is over fits; each fit is distributed."""
+    """Fit every model on every fold complement; ``folds`` is the number the matrix was dealt into."""
+    cells = [(fold, name) for fold in range(1, folds + 1) for name in estimators]
+    rest = {fold: matrix.filter(F.col("fold") != fold) for fold in range(1, folds + 1)}
+    models = fit_all([(estimators[name], rest[fold]) for fold, name in cells])
     held_out, training = [], []
-    for fold in range(1, folds + 1):
-        rest = matrix.filter((F.col("fold") != fold) & (F.col("fold") <= folds))
+    for (fold, name), model in zip(cells, models):
         out = matrix.filter(F.col("fold") == fold)
-        for name, estimator in estimators.items():
-            model = estimator.fit(rest)
-            held_out.append(predict(model, out, name).withColumn("fold", F.lit(fold)))
-            training.append(predict(model, rest, name).withColumn("fold", F.lit(fold)))
+        held_out.append(predict(model, out, name).withColumn("fold", F.lit(fold)))
+        training.append(predict(model, rest[fold], name).withColumn("fold", F.lit(fold)))
     return CrossValidation(materialise(union_all(held_out)), materialise(union_all(training)))
 
 
 def holdout_scores(matrix: DataFrame, estimators: dict[str, Estimator]) -> DataFrame:
     """Fit on all development rows, score the validation rows."""
     dev, val = (matrix.filter(F.col("split") == s) for s in (DEVELOPMENT, VALIDATION))
-    return materialise(union_all([predict(e.fit(dev), val, name) for name, e in estimators.items()]))
+    models = fit_all([(e, dev) for e in estimators.values()])
+    return materialise(union_all([predict(m, val, name) for name, m in zip(estimators, models)]))
 
 
 def coefficients(model: PipelineModel, columns: tuple[str, ...], matrix: DataFrame) -> DataFrame:

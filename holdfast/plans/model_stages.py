@@ -219,7 +219,7 @@ def stability(panel: DataFrame) -> DataFrame:
 
 
 IMPORTANCE_FEATURES = MODEL_FEATURES[:8]
-SMALL_TREES = TreeParams(iterations=4, step=0.2, depth=3)
+SMALL_TREES = TreeParams(iterations=3, step=0.2, depth=3)
 
 
 def importance(panel: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def estimators(rows: int) -> dict:
         "Logistic Regression": modelling.logistic(MODEL_FEATURES, rows),
         "HistGradientBoosting": modelling.boosted_trees(MODEL_FEATURES, SMALL_TREES),
         "XGBoost": modelling.boosted_trees(
-            MODEL_FEATURES, TreeParams(iterations=4, step=0.2, depth=4, leaf=1, subsample=0.9)
+            MODEL_FEATURES, TreeParams(iterations=3, step=0.2, depth=4, leaf=1, subsample=0.9)
         ),
     }
 
@@ -311,12 +311,13 @@ def trained_holdout(panel: DataFrame) -> DataFrame:
     return evaluation.fold_results(scores, ("model",))
 
 
-TRAINED_FOLDS = 2
+TUNING_FOLDS = 3
+CANDIDATES_AT_ONCE = 4
 
 
 def trained_cross_validation(panel: DataFrame) -> DataFrame:
     matrix = modelling.model_matrix(panel)
-    cv = modelling.cross_validate(matrix, estimators(matrix.count()), folds=TRAINED_FOLDS)
+    cv = modelling.cross_validate(matrix, estimators(matrix.filter("fold IS NOT NULL").count()))
     return evaluation.fold_results(cv.held_out)
 
 
@@ -325,13 +326,16 @@ def tune(
 ) -> DataFrame:
     """Every candidate of every family, cross-validated and ranked inside its family."""
     families = {name: family for family, members in grid.items() for name in members}
+    candidates = [(name, params) for members in grid.values() for name, params in members.items()]
     held_out, training = [], []
-    for members in grid.values():
-        for name, params in members.items():
-            # metrics are stored per candidate, so the plan does not grow with the grid
-            cv = modelling.cross_validate(matrix, {name: modelling.boosted_trees(columns, params)}, folds)
-            held_out.append(materialise(evaluation.fold_results(cv.held_out)))
-            training.append(materialise(evaluation.fold_results(cv.training)))
+    for i in range(0, len(candidates), CANDIDATES_AT_ONCE):
+        # metrics are stored per chunk, so the plan does not grow with the grid
+        chunk = candidates[i : i + CANDIDATES_AT_ONCE]
+        cv = modelling.cross_validate(
+            matrix, {name: modelling.boosted_trees(columns, params) for name, params in chunk}, folds
+        )
+        held_out.append(materialise(evaluation.fold_results(cv.held_out)))
+        training.append(materialise(evaluation.fold_results(cv.training)))
     return evaluation.tuning_table(
         modelling.union_all(held_out), modelling.union_all(training), families, BASELINES
     )
@@ -352,7 +356,7 @@ def quick_grid() -> dict[str, dict[str, TreeParams]]:
 
 
 def tuning(panel: DataFrame) -> DataFrame:
-    return tune(modelling.model_matrix(panel), quick_grid(), TRAINED_FOLDS)
+    return tune(modelling.model_matrix(panel, folds=TUNING_FOLDS), quick_grid(), TUNING_FOLDS)
 
 
 def calibration_scores(panel: DataFrame) -> DataFrame:

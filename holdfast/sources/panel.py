@@ -106,7 +106,9 @@ LINE_MEASURES = ("arpu", "total_og_mou", "total_ic_mou", "onnet_mou", "offnet_mo
 
 
 def _order_part(orders: DataFrame, lineitem: DataFrame, cal: Calendar) -> DataFrame:
-    joined = orders.selectExpr("o_orderkey", "o_custkey", "o_totalprice", "to_date(o_orderdate) AS day").join(
+    # orders after the outcome window say nothing about any column
+    known = orders.filter(f"o_orderdate < date_add(DATE '{cal.outcome[1]}', 1)")
+    joined = known.selectExpr("o_orderkey", "o_custkey", "o_totalprice", "to_date(o_orderdate) AS day").join(
         _order_lines(lineitem), F.expr("o_orderkey = l_orderkey"), "left"
     )
     aggs = {
@@ -126,10 +128,12 @@ def _order_part(orders: DataFrame, lineitem: DataFrame, cal: Calendar) -> DataFr
 
 
 def _event_part(events: DataFrame, cal: Calendar) -> DataFrame:
-    whole = (cal.events[PERIODS[0]][0], cal.events[PERIODS[-1]][1])
-    typed = events.selectExpr(
+    # compared as timestamps, so that the bounds reach the parquet reader
+    first, last = cal.events[PERIODS[0]][0], cal.events[PERIODS[-1]][1]
+    inside = events.filter(f"ts >= DATE '{first}' AND ts < date_add(DATE '{last}', 1)")
+    typed = inside.selectExpr(
         "user_id", "event_type", "to_date(ts) AS day", "hour(ts) AS hour", "value", f"{_cents('value')} AS cents"
-    ).filter(_within("day", whole))
+    )
     bought = "event_type = 'purchase' AND value >= 100"
     aggs = {"has_events": "max(1)"}
     for p in PERIODS:

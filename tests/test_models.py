@@ -106,9 +106,11 @@ def test_models_beat_chance_and_importance_finds_the_signal(learnable):
     assert drops["x"] > 0.2 > abs(drops["noise"])
     signs = {r.feature: r.coefficient for r in modelling.coefficients(model, columns, learnable).collect()}
     assert signs["x"] > abs(signs["noise"])
-    cv = modelling.cross_validate(learnable, {"lr": fits["lr"]}, folds=2)
-    assert cv.held_out.select("fold").distinct().count() == 2
-    assert cv.held_out.groupBy("id").count().filter("count > 1").isEmpty()
+    cv = modelling.cross_validate(learnable, {"lr": fits["lr"]})
+    development = learnable.filter("fold IS NOT NULL").count()
+    assert cv.held_out.select("fold").distinct().count() == 5
+    assert cv.held_out.count() == cv.held_out.select("id").distinct().count() == development
+    assert cv.training.count() == 4 * development
 
 
 def test_calibration_is_monotone_and_improves_a_distorted_score(spark):
