@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from holdfast import specs as S
 from holdfast.functions import value_rules  # noqa: F401  (registers the bands)

@@ -41,10 +41,6 @@ def both(cond: str, *measures: str) -> str:
     return " AND ".join(cond.format(m) for m in measures)
 
 
-def either(cond: str, *measures: str) -> str:
-    return "(" + " OR ".join(cond.format(m) for m in measures) + ")"
-
-
 def months(cond: str, join: str = " AND ") -> str:
     return "(" + join.join(cond.format(p) for p in M) + ")"
 

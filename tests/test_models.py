@@ -72,6 +72,19 @@ def test_final_selection_keeps_protected_and_falls_back(spark):
     assert [r.status for r in selection.final_selection(only, weight).collect()] == ["Retained"]
 
 
+def test_exported_matrix_is_complete_and_partitioned(spark, tmp_path):
+    stored = model_stages.export_matrix(panel(spark, SF), str(tmp_path / "matrix"))
+    assert stored.count() == 150
+    assert (tmp_path / "matrix" / "split=development").exists()
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in modelling.MODEL_FEATURES)
+    assert stored.filter(f"NOT ({complete})").isEmpty()
+    families = spark.createDataFrame(
+        [("arpu_8", "Customer Value", "Retained"), ("aon", "Customer Tenure", "Excluded")],
+        "feature string, feature_family string, status string",
+    )
+    assert [tuple(r) for r in selection.family_summary(families).collect()] == [("Customer Value", 1)]
+
+
 def test_feature_families(spark):
     names = ["aon", "arpu_8", "total_rech_amt_8", "loc_og_mou_8", "vol_2g_mb_8", "total_activity_change_6_to_8"]
     df = spark.createDataFrame([(n,) for n in names], "f string")
