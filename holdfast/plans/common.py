@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast import specs as S
 from holdfast.functions import band_rules  # noqa: F401  (registers the bands)
 from holdfast.functions.numeric import percent, rounded
+from holdfast.operators.quantiles import medians_wide
+from holdfast.session import materialise
 
 
 def mean(measure: str | Column, digits: int = 2) -> Column:
@@ -18,9 +20,18 @@ def total(measure: str | Column) -> Column:
     return rounded(F.coalesce(F.sum(measure), F.lit(0.0)))
 
 
-def median(measure: str) -> Column:
-    """Exact interpolated median."""
-    return rounded(F.median(measure))
+def with_medians(df: DataFrame, aggregates: list[Column], medians: dict[str, str]) -> DataFrame:
+    """One row of aggregates and exact medians; ``medians`` maps output name -> measure.
+
+    The measures are stored once and read twice: Spark's own exact median would keep every distinct
+    value of a column in the buffer of one task.
+    """
+    rows = materialise(df)
+    sums = rows.groupBy(F.lit(1).alias("_one")).agg(*aggregates)
+    middle = medians_wide(rows, list(medians.values())).select(
+        "_one", *[rounded(measure).alias(name) for name, measure in medians.items()]
+    )
+    return sums.join(F.broadcast(middle), "_one", "left").drop("_one")
 
 
 def customers() -> Column:

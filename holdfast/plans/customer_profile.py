@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from holdfast import specs as S
 from holdfast.operators.gate import counter_gate
-from holdfast.plans.common import customers, mean, median, observed
+from holdfast.plans.common import customers, mean, observed, with_medians
 
 GATE_NAMES = {"rows": "total_rows", "distinct": "distinct_customer_ids", "duplicates": "duplicate_customer_ids"}
 
 
 def profile_snapshot(df: DataFrame) -> DataFrame:
-    return df.agg(
-        customers().alias("total_customers"),
-        mean("aon").alias("avg_tenure_days"),
-        median("aon").alias("median_tenure_days"),
-        mean("arpu_8").alias("avg_august_arpu"),
-        median("arpu_8").alias("median_august_arpu"),
-        mean("total_rech_amt_8").alias("avg_august_recharge_amount"),
-        mean("total_rech_num_8").alias("avg_august_recharge_count"),
-        mean("total_og_mou_8").alias("avg_august_outgoing_mou"),
-        mean("total_ic_mou_8").alias("avg_august_incoming_mou"),
+    averages = {
+        "avg_tenure_days": "aon",
+        "avg_august_arpu": "arpu_8",
+        "avg_august_recharge_amount": "total_rech_amt_8",
+        "avg_august_recharge_count": "total_rech_num_8",
+        "avg_august_outgoing_mou": "total_og_mou_8",
+        "avg_august_incoming_mou": "total_ic_mou_8",
+    }
+    return with_medians(
+        df.select(*averages.values()),
+        [customers().alias("total_customers"), *[mean(m).alias(k) for k, m in averages.items()]],
+        {"median_tenure_days": "aon", "median_august_arpu": "arpu_8"},
     )
 
 

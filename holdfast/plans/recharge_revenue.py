@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from holdfast import specs as S
 from holdfast.operators.gate import counter_gate
-from holdfast.plans.common import customers, mean, median, with_churners
+from holdfast.plans.common import customers, mean, with_churners, with_medians
 
 
 def revenue_snapshot(df: DataFrame) -> DataFrame:
-    return df.agg(
-        customers().alias("customers"),
-        mean("aon").alias("avg_tenure_days"),
-        mean("arpu_8").alias("avg_august_arpu"),
-        median("arpu_8").alias("median_august_arpu"),
-        mean("total_rech_amt_8").alias("avg_august_recharge_amount"),
-        median("total_rech_amt_8").alias("median_august_recharge_amount"),
-        mean("total_rech_num_8").alias("avg_august_recharge_frequency"),
-        mean("total_og_mou_8").alias("avg_august_outgoing_mou"),
-        mean("total_ic_mou_8").alias("avg_august_incoming_mou"),
-        F.count_if(F.col("arpu_8") < 0).alias("negative_arpu_customers"),
-        F.count_if(F.col("arpu_8") == 0).alias("zero_arpu_customers"),
-        F.count_if(F.col("total_rech_amt_8") == 0).alias("zero_recharge_amount_customers"),
+    averages = {
+        "avg_tenure_days": "aon",
+        "avg_august_arpu": "arpu_8",
+        "avg_august_recharge_amount": "total_rech_amt_8",
+        "avg_august_recharge_frequency": "total_rech_num_8",
+        "avg_august_outgoing_mou": "total_og_mou_8",
+        "avg_august_incoming_mou": "total_ic_mou_8",
+    }
+    return with_medians(
+        df.select(*averages.values()),
+        [
+            customers().alias("customers"),
+            *[mean(m).alias(k) for k, m in averages.items()],
+            F.count_if(F.col("arpu_8") < 0).alias("negative_arpu_customers"),
+            F.count_if(F.col("arpu_8") == 0).alias("zero_arpu_customers"),
+            F.count_if(F.col("total_rech_amt_8") == 0).alias("zero_recharge_amount_customers"),
+        ],
+        {"median_august_arpu": "arpu_8", "median_august_recharge_amount": "total_rech_amt_8"},
     )
 
 
