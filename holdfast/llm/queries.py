@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, packing, token_counts
+from holdfast.llm import bpe, minhash_dedup, packing, token_counts
 from holdfast.llm.frames import ship_package
 from holdfast.session import materialise
 
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of two-word shingles are similar to 80 percent."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), minhash_dedup.Params(words=2))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text under the word vocabulary, and the text read back from them, as digests."""
     both = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
@@ -49,6 +54,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_bpe_round_trip, op5_token_counts, op9_packing)
+    for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op5_token_counts, op9_packing)
 }
 ORACLE: dict[str, str] = {}
