@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, minhash_dedup, packing, token_counts
+from holdfast.llm import bpe, cover_tree, minhash_dedup, packing, token_counts
 from holdfast.llm.frames import ship_package
 from holdfast.session import materialise
 
@@ -52,8 +52,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialise(narrow), LIMIT)
 
 
+def op10_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings of a label with a cosine of at least 0.98."""
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op5_token_counts, op9_packing)
+    for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op5_token_counts, op9_packing, op10_cover_tree_near_dedup)
 }
 ORACLE: dict[str, str] = {}
