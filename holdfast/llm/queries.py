@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, cover_tree, minhash_dedup, packing, token_counts
+from holdfast.llm import bpe, cover_tree, fingerprint, minhash_dedup, packing, token_counts
 from holdfast.llm.frames import ship_package
 from holdfast.session import materialise
 
@@ -45,6 +45,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op8_order_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how alike they and the next document's are."""
+    pairs = fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprint.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        fingerprint.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in packed sequences."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), LIMIT)
@@ -59,6 +73,6 @@ def op10_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op5_token_counts, op9_packing, op10_cover_tree_near_dedup)
+    for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op5_token_counts, op8_order_minhash_fingerprints, op9_packing, op10_cover_tree_near_dedup)
 }
 ORACLE: dict[str, str] = {}
