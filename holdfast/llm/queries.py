@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, cover_tree, fingerprint, minhash_dedup, packing, token_counts
+from holdfast.llm import bpe, cover_tree, fingerprint, minhash_dedup, packing, pii, token_counts
 from holdfast.llm.frames import ship_package
 from holdfast.session import materialise
 
@@ -18,6 +18,10 @@ LIMIT = 1024
 """Tokens of a context window."""
 
 
+PSEUDONYM_KEY = "holdfast example key"
+"""Stands for the secret of a deployment: whoever has it can tell which pseudonym belongs to which value."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +49,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced by pseudonyms, and what was replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.pseudonymise(docs, PSEUDONYM_KEY, kinds="kinds")
+    return done.withColumn("n_found", F.size("kinds").cast("long"))
+
+
 def op8_order_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and how alike they and the next document's are."""
     pairs = fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
@@ -73,6 +84,6 @@ def op10_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op5_token_counts, op8_order_minhash_fingerprints, op9_packing, op10_cover_tree_near_dedup)
+    for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op5_token_counts, op6_pii_pseudonyms, op8_order_minhash_fingerprints, op9_packing, op10_cover_tree_near_dedup)
 }
 ORACLE: dict[str, str] = {}

@@ -29,7 +29,7 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 _SAFE_SPACE = re.compile(r"(?<!\s) (?!\s)")
 
-MEMO_BYTES = 24_000_000
+MEMO_BYTES = 8_000_000
 """Pieces and chunks that a worker remembers, by the bytes of their text; beyond that it starts anew."""
 
 
