@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, chat, cover_tree, fingerprint, lang_id, minhash_dedup, packing, pii, token_counts
+from holdfast.llm import bpe, chat, cover_tree, fingerprint, lang_id, minhash_dedup, packing, pii, token_counts, warc
 from holdfast.llm.frames import ship_package
 from holdfast.session import materialise
 
@@ -48,6 +48,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and plain-text records of every page, made from its response record."""
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return made.drop("headers", "content_type", "date")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text, and whether the tokens exceed the context window."""
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -101,6 +107,17 @@ def op10_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_language_id, op5_token_counts, op6_pii_pseudonyms, op7_chat_format, op8_order_minhash_fingerprints, op9_packing, op10_cover_tree_near_dedup)
+    for f in (
+        op1_minhash_near_dedup,
+        op2_bpe_round_trip,
+        op3_language_id,
+        op4_warc_derivatives,
+        op5_token_counts,
+        op6_pii_pseudonyms,
+        op7_chat_format,
+        op8_order_minhash_fingerprints,
+        op9_packing,
+        op10_cover_tree_near_dedup,
+    )
 }
 ORACLE: dict[str, str] = {}
