@@ -74,14 +74,13 @@ def with_fingerprint(df: DataFrame, text: str, out: str, p: Params = Params()) -
     A null, empty or blank text has the empty fingerprint. Equal texts have equal fingerprints. Texts of any
     length are read whole. All other columns stay; a column that is already called ``out`` is replaced.
     """
-    kept = [c for c in df.columns if c != out]
-    done = _steps(df.withColumn(_TEXT, F.coalesce(F.col(f"`{text}`"), F.lit(""))), _TEXT, p)
-    done = done.withColumn("_tuples", _tuples(p))
+    # positions as names, so that no column of the input can clash with those worked with here
+    kept = {c: f"c{i}" for i, c in enumerate(df.columns) if c != out}
+    read = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_read")
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()], read)
+    done = _steps(rows, "_read", p).withColumn("_tuples", _tuples(p))
     shown = F.expr("array_join(transform(_tuples, x -> lpad(lower(hex(x)), 8, '0')), '')")
-    return done.select(*[F.col(f"`{c}`") for c in kept], shown.alias(out))
-
-
-_TEXT = "_fingerprinted"
+    return done.select(*[F.col(n).alias(c) for c, n in kept.items()], shown.alias(out))
 
 
 def likeness(a: str, b: str) -> Column:

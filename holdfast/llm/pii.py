@@ -181,8 +181,9 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: str | None
     if "'" in key or "\\" in key:
         raise ValueError("the key must have no quote or backslash")
     pattern = _quoted("|".join(PATTERNS.values()))
-    kept = [c for c in df.columns if c not in (text, kinds)]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(_TEXT))
+    # positions as names, so that no column of the input can clash with those worked with here
+    kept = {c: f"c{i}" for i, c in enumerate(df.columns) if c not in (text, kinds)}
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()], F.col(f"`{text}`").alias(_TEXT))
     # a text without digit and @ holds nothing but a secret could, and that needs = or :
     rows = rows.withColumn(_FOUND, F.expr(f"if({_TEXT} rlike '[0-9@=:]', regexp_extract_all({_TEXT}, {pattern}, 0), array())"))
     known = f"transform({_FOUND}, m -> struct(m AS m, {_kind()} AS k))"
@@ -193,7 +194,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: str | None
     out = {text: fresh}
     if kinds:
         out[kinds] = F.expr(f"coalesce(filter(transform({_FOUND}, e -> e.k), k -> k IS NOT NULL), cast(array() AS array<string>))")
-    columns: dict[str, Column] = {c: F.col(f"`{c}`") for c in kept} | out
+    columns: dict[str, Column] = {c: F.col(n) for c, n in kept.items()} | out
     order = [*df.columns, *([kinds] if kinds and kinds not in df.columns else [])]
     return rows.select(*[columns[c].alias(c) for c in order])
 
