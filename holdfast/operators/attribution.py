@@ -118,18 +118,23 @@ def _ranked_drivers(long: DataFrame) -> DataFrame:
 
 
 def top_drivers(rows: DataFrame, card: Scorecard = Scorecard(), k: int = TOP_DRIVERS) -> DataFrame:
-    """Per customer the k largest positive and negative drivers, padded with NULL."""
-    ranked = _ranked_drivers(contributions(rows, card)).filter(F.col("place") <= k)
+    """Per customer the k largest positive and negative drivers, padded with NULL: a projection, no shuffle."""
+    joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(baseline(rows, card)), "_one")
+    terms = []
+    for c, w in card.weights.items():
+        x = rounded(F.expr(f"({w}D) * ({c} - _b_{c})"), 6)
+        terms.append(F.struct((-F.abs(x)).alias("size"), F.lit(c).alias("feature"), x.alias("contribution")))
+    sorted_ = joined.select("id", F.array_sort(F.array(*terms)).alias("_d"))
+    sides = sorted_.select("id", *[F.expr(f"filter(_d, e -> e.contribution {op} 0)").alias(side) for side, op in SIDES.items()])
     slots = []
-    for side in ("positive", "negative"):
+    for side in SIDES:
         for i in range(1, k + 1):
-            here = (F.col("side") == side) & (F.col("place") == i)
-            slots += [
-                F.max(F.when(here, F.col("feature"))).alias(f"{side}_driver_{i}"),
-                F.max(F.when(here, F.col("contribution"))).alias(f"{side}_driver_{i}_contribution"),
-            ]
-    found = ranked.groupBy("id").agg(*slots)
-    return rows.select("id").join(found, "id", "left")
+            slot = F.get(side, F.lit(i - 1))
+            slots += [slot["feature"].alias(f"{side}_driver_{i}"), slot["contribution"].alias(f"{side}_driver_{i}_contribution")]
+    return sides.select("id", *slots)
+
+
+SIDES = {"positive": ">", "negative": "<"}
 
 
 def top_risk_profiles(rows: DataFrame, card: Scorecard = Scorecard(), k: int = TOP_CUSTOMERS) -> DataFrame:

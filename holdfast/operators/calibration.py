@@ -36,16 +36,13 @@ def apply_sigmoid(df: DataFrame, sigmoid: Sigmoid) -> DataFrame:
     return df.withColumn("score", clipped(sigmoid.apply(F.col("score"))))
 
 
-SCORE_DIGITS = 6
-"""Scores are pooled at this precision before an isotonic fit, whose last step runs on the driver:
-at most a million weighted points reach it, whatever the number of customers."""
-
-
 def fit_isotonic(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Non-decreasing fit of label on score; scores outside the fitted range take the end values."""
-    points = df.groupBy(rounded("score", SCORE_DIGITS).alias("score")).agg(
-        F.avg("label").alias("rate"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
+    """Non-decreasing fit of label on score; scores outside the fitted range take the end values.
+
+    Equal scores are one weighted point. The library pools violators inside range partitions first, so
+    that only the blocks that are left, far fewer than the points, meet in its last step.
+    """
+    points = df.groupBy("score").agg(F.avg("label").alias("rate"), F.count(F.lit(1)).cast("double").alias("weight"))
     model = IsotonicRegression(labelCol="rate", featuresCol="score", weightCol="weight", isotonic=True).fit(points)
 
     def apply(rows: DataFrame) -> DataFrame:

@@ -118,9 +118,13 @@ def profile(df: DataFrame, spec: S.Profile) -> DataFrame:
     return summarise(rows, list(spec.keys), spec.show, spec.min_customers, spec.guard, spec.min_share)
 
 
-def stack(df: DataFrame, spec: S.Stacked) -> DataFrame:
-    """One row per customer and part, from one pass over the customers."""
-    entries = []
+EVERY = "*"
+"""Key of the cohort that holds all customers."""
+
+
+def stack(df: DataFrame, spec: S.Stacked, population: bool = False) -> DataFrame:
+    """One row per customer and part, from one pass over the customers; ``population`` adds all customers as a part."""
+    entries = [F.struct(*[F.lit(EVERY).alias(k) for k in spec.keys])] if population else []
     for first, band_name, cond in spec.parts:
         fields = [F.lit(first).alias(spec.keys[0])]
         if len(spec.keys) > 1:
@@ -132,24 +136,19 @@ def stack(df: DataFrame, spec: S.Stacked) -> DataFrame:
 
 
 def stacked(df: DataFrame, spec: S.Stacked) -> DataFrame:
-    rows = stack(df, spec)
-    if spec.min_population_share is None:
-        return summarise(rows, list(spec.keys), spec.show, spec.min_customers, spec.guard, spec.min_share)
-    return _against_population(df, rows, spec)
+    if spec.min_population_share is not None:
+        return _against_population(df, spec)
+    return summarise(stack(df, spec), list(spec.keys), spec.show, spec.min_customers, spec.guard, spec.min_share)
 
 
-def _against_population(df: DataFrame, rows: DataFrame, spec: S.Stacked) -> DataFrame:
+def _against_population(df: DataFrame, spec: S.Stacked) -> DataFrame:
     """Shares of all customers instead of the shown groups: the population is one more stacked cohort."""
-    every = "*"
-    entry = F.struct(*[F.lit(every).alias(k) for k in spec.keys])
-    both = rows.select("label", *spec.keys).unionByName(
-        df.select("label").withColumns({k: entry[k] for k in spec.keys})
-    )
+    both = stack(df, spec, population=True)
     churned = F.coalesce(F.sum(F.when(F.col("label") == 1, 1)), F.lit(0)).cast("bigint")
     grouped = both.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), churned.alias("churned"))
-    total = F.max(F.when(F.col(spec.keys[0]) == every, F.col("n"))).over(Window.partitionBy())
+    total = F.max(F.when(F.col(spec.keys[0]) == EVERY, F.col("n"))).over(Window.partitionBy())
     kept = grouped.withColumn("population", total).filter(
-        (F.col(spec.keys[0]) != every) & (F.col("n") >= F.col("population") * (spec.min_population_share / 100.0))
+        (F.col(spec.keys[0]) != EVERY) & (F.col("n") >= F.col("population") * (spec.min_population_share / 100.0))
     )
     shown = [
         (percent("n", "population") if isinstance(m, S.Share) else _shown(m)).alias(name)

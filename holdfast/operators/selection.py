@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from holdfast.functions.numeric import ratio, rounded
 from holdfast.operators.missingness import feature_family
 from holdfast.operators.quantiles import exact_quantiles, long_values
-from holdfast.operators.ranking import grouped_prefix_sums
-from holdfast.operators.splitting import SPLIT_KEY
+from holdfast.operators.ranking import HOT_SHARE, grouped_prefix_sums
 from holdfast.session import materialise
 
 NEAR_CONSTANT = 0.995
 REDUNDANT = 0.95
-SAMPLE_ROWS = 10_000
 USEFUL_AUC = 0.55
 STABLE_RATE = 0.6
 BINS = 10
@@ -51,11 +49,6 @@ def numeric_sanity(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def sample_rows(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A repeatable sample without replacement: the first rows in the order of the split key."""
-    return df.orderBy(F.expr(SPLIT_KEY), "id").limit(rows)
-
-
 def _matrix_pairs(vectors: DataFrame, columns: list[str]) -> DataFrame:
     """Upper triangle of the Pearson matrix of a vector column as (feature_1, feature_2, correlation)."""
     spark = vectors.sparkSession
@@ -80,18 +73,30 @@ def missing_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     return pearson_pairs(flags, columns).select("feature_1", "feature_2", rounded("correlation", 6).alias("correlation"))
 
 
-def spearman_pairs(df: DataFrame, columns: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Absolute Spearman correlation of complete columns over a bounded repeatable sample.
+def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Absolute Spearman correlation of complete columns over all rows.
 
-    The sample bounds every window below: a feature has at most ``rows`` values.
+    Values are counted, ranked by running sums of the counts, and their tie-averaged ranks go back to
+    the rows. A value that many rows of a feature share travels by broadcast (at most HOT_SHARE of
+    them a feature), so it makes no hot task; its rows are spread over the join of the others.
     """
     entries = ", ".join(f"struct('{c}' AS feature, cast({c} AS double) AS value)" for c in columns)
-    sampled = materialise(sample_rows(df.select("id", *columns), rows))
-    long = sampled.selectExpr("id", f"inline(array({entries}))")
-    ties = Window.partitionBy("feature", "value")
-    mean_rank = F.rank().over(Window.partitionBy("feature").orderBy("value")) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-    ranks = long.select("id", "feature", mean_rank.alias("r"))
-    wide = ranks.groupBy("id").agg(*[F.max(F.when(F.col("feature") == c, F.col("r"))).alias(c) for c in columns])
+    rows = materialise(df.select("id", *columns))
+    long = rows.selectExpr("id", f"inline(array({entries}))")
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    run = grouped_prefix_sums(counts, ["feature"], [F.col("value").asc()], ["n"])
+    ranks = materialise(run.withColumn("r", F.col("cum_n") - (F.col("n") - 1) / 2.0).select("feature", "value", "r", "n", "all_n"))
+    is_hot = F.col("n") * HOT_SHARE >= F.col("all_n")
+    hot = ranks.filter(is_hot).select("feature", "value", F.col("r").alias("_hot"))
+    cold = ranks.filter(~is_hot).select("feature", "value", F.lit(0).alias("_salt"), F.col("r").alias("_cold"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.hash("id"), 997) + 1).otherwise(0)
+    found = (
+        long.join(F.broadcast(hot), ["feature", "value"], "left")
+        .withColumn("_salt", salt)
+        .join(cold, ["feature", "value", "_salt"], "left")
+        .select("id", "feature", F.coalesce("_hot", "_cold").alias("r"))
+    )
+    wide = found.groupBy("id").agg(*[F.max(F.when(F.col("feature") == c, F.col("r"))).alias(c) for c in columns])
     return pearson_pairs(wide, columns).select(
         "feature_1", "feature_2", rounded(F.abs("correlation"), 6).alias("abs_spearman_correlation")
     )

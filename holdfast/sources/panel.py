@@ -76,6 +76,11 @@ def _within(day: str, span: tuple[date, date]) -> str:
     return f"{day} BETWEEN DATE '{span[0]}' AND DATE '{span[1]}'"
 
 
+def _between(ts: str, span: tuple[date, date]) -> str:
+    """Like _within for a timestamp, in a form that reaches the parquet reader."""
+    return f"({ts} >= DATE '{span[0]}' AND {ts} < date_add(DATE '{span[1]}', 1))"
+
+
 def _cents(column: str) -> str:
     """Exact integer cents: long sums are exact, fast and independent of partial-sum order."""
     return f"cast(round({column} * 100) AS bigint)"
@@ -108,9 +113,11 @@ LINE_MEASURES = ("arpu", "total_og_mou", "total_ic_mou", "onnet_mou", "offnet_mo
 def _order_part(orders: DataFrame, lineitem: DataFrame, cal: Calendar) -> DataFrame:
     # orders after the outcome window say nothing about any column
     known = orders.filter(f"o_orderdate < date_add(DATE '{cal.outcome[1]}', 1)")
-    joined = known.selectExpr("o_orderkey", "o_custkey", "o_totalprice", "to_date(o_orderdate) AS day").join(
-        _order_lines(lineitem), F.expr("o_orderkey = l_orderkey"), "left"
-    )
+    dated = known.selectExpr("o_orderkey", "o_custkey", "o_totalprice", "to_date(o_orderdate) AS day")
+    # only lines of orders inside a period reach a measure
+    inside = orders.filter(" OR ".join(_between("o_orderdate", cal.orders[p]) for p in PERIODS))
+    lines = lineitem.join(inside.select("o_orderkey"), F.expr("l_orderkey = o_orderkey"), "left_semi")
+    joined = dated.join(_order_lines(lines), F.expr("o_orderkey = l_orderkey"), "left")
     aggs = {
         "in_outcome": f"max(if({_within('day', cal.outcome)}, 1, 0))",
         "first_day": f"min(if(day <= DATE '{cal.prediction_point}', day, NULL))",

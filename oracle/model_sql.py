@@ -318,8 +318,7 @@ def spearman(source: str, cols: list[str]) -> list[str]:
         ]
     )
     return [
-        f"sm AS (SELECT * FROM {source} ORDER BY {KEY}, id LIMIT 10000)",
-        f"rn AS (SELECT {ranks} FROM sm)",
+        f"rn AS (SELECT {ranks} FROM {source})",
         f"pr AS ({pairs})",
         "pq AS (SELECT * FROM pr WHERE abs_spearman_correlation IS NOT NULL AND NOT isnan(abs_spearman_correlation))",
     ]
