@@ -255,40 +255,53 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
+SWAPPED_AT_ONCE = 12
+"""Features whose shuffled variants are scored in one pass."""
+
+
 def permutation_importance(
     model: PipelineModel, rows: DataFrame, columns: tuple[str, ...], repeats: int = 5
 ) -> DataFrame:
     """Mean and deviation of the ROC-AUC drop when one column is shuffled.
 
     Shuffling pairs the rows in key order with the rows in a hashed order of the same length, so
-    a column keeps its exact distribution. All columns of a repeat share the two orders.
+    a column keeps its exact distribution. All columns of a repeat share the two orders. Each row is
+    laid out once for each feature of a chunk, with that feature swapped, and a chunk is scored as one table.
     """
+    from pyspark.sql import Window
+
     from holdfast.operators.ranking import global_rank
+    from holdfast.operators.selection import grouped_auc
 
     base = materialise(rows.select("id", "label", *columns))
     placed = materialise(global_rank(base, [F.col("id").asc()], "_place", "_n").drop("_n"))
-    plain = rank_metrics(predict(model, base, "all"), ["model"]).select(F.lit(1).alias("_one"), F.col("roc_auc").alias("full"))
-    parts = []
+    paired = []
     for r in range(repeats):
         key = F.xxhash64(F.lit(SEED + r), F.col("id"))
         other = global_rank(base, [key.asc(), F.col("id").asc()], "_place", "_n").select(
             "_place", *[F.col(c).alias(f"_o_{c}") for c in columns]
         )
-        paired = materialise(placed.join(other, "_place"))
-        for c in columns:
-            swapped = paired.withColumn(c, F.col(f"_o_{c}")).select("id", "label", *columns)
-            parts.append(predict(model, swapped, c).withColumn("repeat", F.lit(r)))
-    aucs = rank_metrics(union_all(parts), ["model", "repeat"])
-    drops = aucs.withColumn("_one", F.lit(1)).join(F.broadcast(plain), "_one").select(
-        F.col("model").alias("feature"), (F.col("full") - F.col("roc_auc")).alias("drop")
-    )
-    from pyspark.sql import Window
-
-    place = F.rank().over(Window.orderBy(F.desc("importance")))
-    return (
-        drops.groupBy("feature")
-        .agg(rounded(F.avg("drop"), 6).alias("importance"), rounded(F.stddev_pop("drop"), 6).alias("importance_std"))
-        .withColumn("importance_rank", place.cast("bigint"))
-    )
+        paired.append(placed.join(other, "_place").withColumn("repeat", F.lit(r)))
+    pairs = materialise(union_all(paired))
 
+    def aucs(table: DataFrame, by: list[str]) -> DataFrame:
+        scored = model.transform(table).withColumn("score", vector_to_array("probability")[1])
+        return materialise(grouped_auc(scored.select("label", "score", *by), ["score"], by).select(*by, "auc"))
 
+    full = aucs(base.withColumn("model", F.lit("all")), ["model"]).first()["auc"]
+    parts = []
+    for i in range(0, len(columns), SWAPPED_AT_ONCE):
+        variants = [
+            F.struct(F.lit(c).alias("swapped"), *[F.col(f"_o_{x}" if x == c else x).alias(x) for x in columns])
+            for c in columns[i : i + SWAPPED_AT_ONCE]
+        ]
+        parts.append(aucs(pairs.select("label", "repeat", F.inline(F.array(*variants))), ["swapped", "repeat"]))
+    drops = union_all(parts).select(F.col("swapped").alias("feature"), (F.lit(full) - F.col("auc")).alias("drop"))
+    means = drops.groupBy("feature").agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("std"))
+    place = F.rank().over(Window.orderBy(F.desc("mean")))
+    return means.select(
+        "feature",
+        rounded("mean", 6).alias("importance"),
+        rounded("std", 6).alias("importance_std"),
+        place.cast("bigint").alias("importance_rank"),
+    )

@@ -218,21 +218,42 @@ def stability(panel: DataFrame) -> DataFrame:
     return selection.univariate_stability(matrix, SCREENED)
 
 
-IMPORTANCE_FEATURES = MODEL_FEATURES[:8]
 SMALL_TREES = TreeParams(iterations=3, step=0.2, depth=3)
+"""Cross-validation and the search train many models; their queries use few small trees to stay quick."""
+SELECTION_TREES = TreeParams(iterations=20, step=0.1, depth=5, leaf=20)
+MI_TOP = 100
+"""Features that stay candidates whatever their information."""
+STABLE_FALLBACK = 50
 
 
 def importance(panel: DataFrame) -> DataFrame:
-    matrix = modelling.model_matrix(panel, IMPORTANCE_FEATURES).filter("fold IS NOT NULL")
-    model = modelling.boosted_trees(IMPORTANCE_FEATURES, SMALL_TREES).fit(matrix)
-    return modelling.permutation_importance(model, matrix, IMPORTANCE_FEATURES, repeats=2)
+    matrix = modelling.model_matrix(panel).filter("fold IS NOT NULL")
+    model = modelling.boosted_trees(MODEL_FEATURES, SELECTION_TREES).fit(matrix)
+    return modelling.permutation_importance(model, matrix, MODEL_FEATURES)
 
 
 def selected(panel: DataFrame) -> DataFrame:
-    matrix = modelling.model_matrix(panel, IMPORTANCE_FEATURES).filter("fold IS NOT NULL")
-    model = modelling.boosted_trees(IMPORTANCE_FEATURES, SMALL_TREES).fit(matrix)
-    scores = modelling.permutation_importance(model, matrix, IMPORTANCE_FEATURES, repeats=1)
-    return selection.final_selection(selection.univariate_stability(matrix, list(IMPORTANCE_FEATURES)), scores)
+    """The screening chain: redundancy, information, stability and importance decide one after another."""
+    rows = modelling.feature_rows(panel)
+    dev = rows.filter(F.col("split") == splitting.DEVELOPMENT)
+    matrix = modelling.model_matrix(panel).filter("fold IS NOT NULL")
+    counts = dev.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"count_if({c} IS NULL)").alias(c) for c in SCREENED])
+    entries = ", ".join(f"struct('{c}' AS feature, {c} * 100D / n AS missing_pct)" for c in SCREENED)
+    groups = selection.redundancy_groups(materialise(selection.spearman_pairs(matrix, SCREENED)), REDUNDANT_IN_FIXTURE)
+    redundant = selection.representatives(groups, counts.selectExpr(f"inline(array({entries}))")).filter("decision = 'Exclude'")
+    dropped = {r["feature"] for r in redundant.select("feature").collect()}
+    informative = selection.binned_information(dev, [c for c in SCREENED if c not in dropped])
+    candidates = tuple(
+        r["feature"]
+        for r in informative.filter((F.col("mutual_information") > 0) | (F.col("mi_rank") <= MI_TOP)).orderBy("feature").collect()
+    )
+    stability = materialise(selection.univariate_stability(matrix, list(candidates)))
+    steady = [r["feature"] for r in stability.filter("stable").orderBy("feature").collect()]
+    if not steady:
+        best = stability.orderBy(F.desc("mean_cv_auc"), "feature").limit(STABLE_FALLBACK)
+        steady = [r["feature"] for r in best.collect()]
+    model = modelling.boosted_trees(tuple(steady), SELECTION_TREES).fit(matrix)
+    return selection.final_selection(stability, modelling.permutation_importance(model, matrix, tuple(steady)))
 
 
 def matrix_families(panel: DataFrame) -> DataFrame:

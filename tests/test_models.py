@@ -174,3 +174,33 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     a = modelling.fingerprint(df).first()
     assert a == modelling.fingerprint(df.repartition(5)).first()
     assert a != modelling.fingerprint(df.withColumn("v", F.when(F.col("id") == 5, 0).otherwise(F.col("v")))).first()
+
+
+def test_spearman_sees_every_row(spark):
+    """The rows behind the ten thousandth reverse the correlation; ties share the mean of their ranks."""
+    n = 16_000
+    x = np.arange(n, dtype=float)
+    y = np.where(x < 10_000, x, 40_000 - 3 * x)
+    z = np.where(x % 3 == 0, 0.0, x // 7)
+    pdf = pd.DataFrame({"id": np.arange(n), "x": x, "y": y, "z": z})
+    got = {(r.feature_1, r.feature_2): r.abs_spearman_correlation for r in selection.spearman_pairs(spark.createDataFrame(pdf), ["x", "y", "z"]).collect()}
+    want = pdf[["x", "y", "z"]].corr("spearman").abs()
+    for (a, b), v in got.items():
+        assert v == pytest.approx(want.loc[a, b], abs=2e-6)
+    assert got[("x", "y")] < 0.9
+
+
+def test_isotonic_tells_scores_apart_at_the_eighth_digit(spark):
+    rows = [(i, int(i >= 50), 0.5 + i * 1e-8) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    fitted = {r.id: r.score for r in calibration.fit_isotonic(df)(df).collect()}
+    assert max(fitted[i] for i in range(50)) < 0.01 < 0.99 < min(fitted[i] for i in range(50, 100))
+
+
+def test_importance_of_many_features_in_chunks(learnable, monkeypatch):
+    monkeypatch.setattr(modelling, "SWAPPED_AT_ONCE", 1)
+    columns = ("x", "noise")
+    model = modelling.logistic(columns, 480).fit(learnable)
+    rows = modelling.permutation_importance(model, learnable, columns, 3).collect()
+    assert [r.importance_rank for r in sorted(rows, key=lambda r: -r.importance)] == [1, 2]
+    assert {r.feature for r in rows} == set(columns) and all(r.importance_std >= 0 for r in rows)
