@@ -9,7 +9,7 @@ from holdfast.functions.numeric import ratio, rounded
 from holdfast.operators.gate import check_rows
 from holdfast.operators.quantiles import medians_wide
 from holdfast.operators.ranking import average_rank_percent, global_rank
-from holdfast.operators.risk import RISK_COLUMNS, risk_rows, risk_table
+from holdfast.operators.risk import RISK_SCHEMA, risk_rows, risk_table
 from holdfast.operators.scoring import LEVELS, PRIMARY_THRESHOLD
 from holdfast.session import materialise
 from holdfast.specs import EXPECTED_ROWS
@@ -22,19 +22,19 @@ MONEY = 4
 """Decimals kept for sums of money."""
 
 P, EXPOSURE = "calibrated_churn_probability", "potential_monthly_revenue_exposure"
-VALUE_COLUMNS = (
-    *RISK_COLUMNS,
-    "arpu_8",
-    "customer_value_proxy_arpu_8",
-    "exposure_eligible_arpu_8",
-    "customer_value_percentile",
-    "customer_value_tier",
-    EXPOSURE,
-    "annualized_scenario_exposure",
-    "customer_exposure_share_pct",
-    "revenue_exposure_percentile",
-    "revenue_exposure_rank",
-)
+VALUE_SCHEMA = RISK_SCHEMA | {
+    "arpu_8": "double",
+    "customer_value_proxy_arpu_8": "double",
+    "exposure_eligible_arpu_8": "double",
+    "customer_value_percentile": "double",
+    "customer_value_tier": "string",
+    EXPOSURE: "double",
+    "annualized_scenario_exposure": "double",
+    "customer_exposure_share_pct": "double",
+    "revenue_exposure_percentile": "double",
+    "revenue_exposure_rank": "bigint",
+}
+VALUE_COLUMNS = tuple(VALUE_SCHEMA)
 
 
 def exposure_rows(scores: DataFrame, primary: float = PRIMARY_THRESHOLD) -> DataFrame:
@@ -228,6 +228,7 @@ def _every(cond: Column) -> Column:
 
 def value_gate(table: DataFrame, expected_rows: int = EXPECTED_ROWS) -> DataFrame:
     """Checks of a value table. Zero is an eligible value that was not negative, so <= is used."""
+    schema_holds = table.dtypes == list(VALUE_SCHEMA.items())
     table = materialise(table.select(*VALUE_COLUMNS))
     nxt = table.select(
         (F.col("revenue_exposure_rank") - 1).alias("revenue_exposure_rank"), F.col(EXPOSURE).alias("next_exposure")
@@ -235,13 +236,13 @@ def value_gate(table: DataFrame, expected_rows: int = EXPECTED_ROWS) -> DataFram
     rows = table.join(nxt, "revenue_exposure_rank", "left")
     n, p, exposure = F.count(F.lit(1)), F.col(P), F.col(EXPOSURE)
     eligible = F.col("exposure_eligible_arpu_8")
-    checks = {
+    checks = {  # fixed values: check names
         "Customer universe": n == expected_rows,
         "Unique customer IDs": F.count_distinct("id") == n,
         "No missing customer IDs": _every(F.col("id").isNotNull()),
         "Calibrated probabilities present": _every(p.isNotNull()),
         "Calibrated probabilities valid": _every(p.between(0.0, 1.0)),
-        "Phase 11 risk levels preserved": _every(F.col("risk_level").isin(*LEVELS)),
+        "Risk levels valid": _every(F.col("risk_level").isin(*LEVELS)),
         "Primary threshold preserved": _every(F.col("primary_threshold") == PRIMARY_THRESHOLD),
         "August ARPU complete": _every(F.col("arpu_8").isNotNull()),
         "Raw negative ARPU preserved": _every(F.col("arpu_8").isNull() | ((F.col("arpu_8") <= 0) == (eligible == 0))),
@@ -258,7 +259,7 @@ def value_gate(table: DataFrame, expected_rows: int = EXPECTED_ROWS) -> DataFram
         "Exposure sorted descending": _every(
             F.col("next_exposure").isNull() | (exposure >= F.col("next_exposure"))
         ),
-        "Output schema": F.lit(len(VALUE_COLUMNS) == 20) & (n >= 0),
+        "Output schema": F.lit(schema_holds) & (n >= 0),
     }
     return check_rows(rows, checks)
 

@@ -17,18 +17,19 @@ from holdfast.specs import EXPECTED_ROWS
 
 # Scoring population names.
 POPULATIONS = ("Development OOF", "Validation")
-RISK_COLUMNS = (
-    "risk_rank",
-    "risk_percentile",
-    "id",
-    "calibrated_churn_probability",
-    "risk_score",
-    "risk_level",
-    "primary_threshold",
-    "above_primary_threshold",
-    "scoring_population",
-    "actual_churn",
-)
+RISK_SCHEMA = {
+    "risk_rank": "bigint",
+    "risk_percentile": "double",
+    "id": "bigint",
+    "calibrated_churn_probability": "double",
+    "risk_score": "double",
+    "risk_level": "string",
+    "primary_threshold": "double",
+    "above_primary_threshold": "boolean",
+    "scoring_population": "string",
+    "actual_churn": "int",
+}
+RISK_COLUMNS = tuple(RISK_SCHEMA)
 
 
 def risk_rows(scores: DataFrame, primary: float = PRIMARY_THRESHOLD) -> DataFrame:
@@ -105,6 +106,7 @@ def _all(cond: Column) -> Column:
 
 def risk_gate(table: DataFrame, expected_rows: int = EXPECTED_ROWS, primary: float = PRIMARY_THRESHOLD) -> DataFrame:
     """Data checks of a risk table. Order is checked by pairing each rank with the next one."""
+    schema_holds = table.dtypes == list(RISK_SCHEMA.items())
     table = materialise(table.select(*RISK_COLUMNS))
     nxt = table.select(
         (F.col("risk_rank") - 1).alias("risk_rank"), F.col("calibrated_churn_probability").alias("next_p")
@@ -112,7 +114,7 @@ def risk_gate(table: DataFrame, expected_rows: int = EXPECTED_ROWS, primary: flo
     rows = table.join(nxt, "risk_rank", "left")
     p, n = F.col("calibrated_churn_probability"), F.count(F.lit(1))
     level = F.col("risk_level")
-    checks = {
+    checks = {  # fixed values: check names
         "Customer universe": n == expected_rows,
         "Unique customer IDs": F.count_distinct("id") == n,
         "Missing customer IDs": _all(F.col("id").isNotNull()),
@@ -132,7 +134,7 @@ def risk_gate(table: DataFrame, expected_rows: int = EXPECTED_ROWS, primary: flo
         "Validation population": F.count_if(F.col("scoring_population") == POPULATIONS[1]) > 0,
         "Scoring population completeness": _all(F.col("scoring_population").isin(*POPULATIONS)),
         "Actual churn outcome": _all(F.col("actual_churn").isin(0, 1)),
-        "Output schema": F.lit(len(table.columns) == len(RISK_COLUMNS)) & (n >= 0),
+        "Output schema": F.lit(schema_holds) & (n >= 0),
     }
     return check_rows(rows, checks)
 

@@ -139,10 +139,12 @@ def capacity_threshold(df: DataFrame, capacity: float = 0.10) -> DataFrame:
     )
 
 
-def confirm_on(validation: DataFrame, points: dict[str, float]) -> DataFrame:
-    """Metrics of named operating points on held-out customers; one pass over them."""
-    entries = ", ".join(f"struct('{name}' AS operating_point, {t}D AS threshold)" for name, t in points.items())
-    long = validation.selectExpr("label", "score", f"inline(array({entries}))")
+def confirm_on(validation: DataFrame, points: DataFrame) -> DataFrame:
+    """Metrics of operating points on held-out customers; one pass over them.
+
+    ``points`` is a small table (operating_point, threshold), usually chosen on development customers.
+    """
+    long = validation.select("label", "score").crossJoin(F.broadcast(points.select("operating_point", "threshold")))
     hit, churn = F.col("score") >= F.col("threshold"), F.col("label") == 1
     counts = long.groupBy("operating_point", "threshold").agg(
         F.count_if(hit & churn).alias("tp"),

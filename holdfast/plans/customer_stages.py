@@ -36,10 +36,12 @@ def development(panel: DataFrame, name: str = splitting.DEVELOPMENT) -> DataFram
 
 def confirmation(panel: DataFrame) -> DataFrame:
     """Operating points chosen on development customers, confirmed on validation customers."""
-    return thresholds.confirm_on(
-        development(panel, splitting.VALIDATION),
-        {"Primary_threshold": PRIMARY_THRESHOLD, "Default_threshold": 0.5, "Quarter_threshold": 0.25},
+    dev = materialise(development(panel))
+    primary = thresholds.primary_threshold(thresholds.threshold_sweep(dev), precision=FIXTURE_PRECISION)
+    points = primary.select(F.lit("Primary_threshold").alias("operating_point"), "threshold").unionByName(
+        thresholds.capacity_threshold(dev).select(F.lit("Capacity_10_percent_threshold").alias("operating_point"), "threshold")
     )
+    return thresholds.confirm_on(development(panel, splitting.VALIDATION), points)
 
 
 def drift(panel: DataFrame) -> DataFrame:

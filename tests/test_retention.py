@@ -123,3 +123,19 @@ def test_sigmoid_keeps_order_and_bounds(spark):
     assert got == sorted(got)
     assert got[2:5] == pytest.approx([0.2, 0.5, 0.9])
     assert 0 < got[0] < 1e-6 and 1 - 1e-6 < got[-1] < 1
+
+
+def test_schema_checks_can_fail(spark):
+    scores = scored(panel(spark, SF))
+    table = risk.risk_table(scores)
+    for other in (table.withColumn("risk_rank", F.col("risk_rank").cast("int")), table.withColumn("more", F.lit(1))):
+        status = {r.check_name: r.status for r in risk.risk_gate(other, expected_rows=150).collect()}
+        assert status["Output schema"] != "PASS" and status["Risk ranking"] == "PASS"
+
+
+def test_operating_points_come_from_a_table(spark):
+    validation = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.2), (0, 0.1)], "label int, score double")
+    points = spark.createDataFrame([("a", 0.5), ("b", 0.15)], "operating_point string, threshold double")
+    got = {r.operating_point: r for r in thresholds.confirm_on(validation, points).collect()}
+    assert (got["a"].validation_precision, got["a"].validation_recall) == (0.5, 0.5)
+    assert (got["b"].validation_recall, got["b"].validation_predicted_churn_count) == (1.0, 3)
