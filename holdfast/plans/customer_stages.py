@@ -15,6 +15,7 @@ from holdfast.operators import (
     exposure,
     metrics,
     monitoring,
+    quantiles,
     ranking,
     retention,
     risk,
@@ -51,6 +52,14 @@ def drift(panel: DataFrame) -> DataFrame:
     )
 
 
+def batch_scores(panel: DataFrame) -> DataFrame:
+    """All customers scored; missing measures take the medians of development customers."""
+    columns = list(scoring.Scorecard().weights)
+    rows = splitting.join_split(panel.select("id", "label", *columns))
+    medians = materialise(quantiles.medians_wide(rows.filter(F.col("split") == splitting.DEVELOPMENT), columns))
+    return scoring.batch_score(panel, medians=medians)
+
+
 def split_scores(panel: DataFrame) -> DataFrame:
     return splitting.with_split(scored(panel))
 
@@ -115,7 +124,7 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "r03_risk_distribution": lambda p: risk.risk_distribution(scored(p)),
     "r04_risk_gate": lambda p: risk.risk_gate(risk.risk_table(scored(p))),
     "r05_top_risk": lambda p: risk.top_risk(scored(p)),
-    "r06_batch_score": lambda p: scoring.batch_score(p),
+    "r06_batch_score": batch_scores,
     "r07_intervention_tiers": lambda p: risk.intervention_tiers(scored(p)),
     "v01_value_table": lambda p: exposure.shown_value_table(scored(p)),
     "v02_value_summary": lambda p: exposure.value_summary(scored(p)),

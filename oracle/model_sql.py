@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from oracle.panel_sql import LINE_CLASSES
-from oracle.stages_sql import BINS, LOSS, N, SAFE, SCORED, SPLIT, STRATA, avg_rank, checks, div, n_if, over, over_scores, pc, r, union_rows
+from oracle.stages_sql import BINS, LEVEL, LOSS, N, SAFE, SCORED, SPLIT, STRATA, avg_rank, checks, div, n_if, over, over_scores, pc, r, union_rows
 
 M = (6, 7, 8)
 KEY = "(id * 7919 + 104729) % 1000003"
@@ -364,6 +366,10 @@ CARD_CTES = [
 ]
 
 
+FILLED = re.sub(r"coalesce\((\w+), 0\)", r"coalesce(CAST(\1 AS DOUBLE), m_\1)", CARDS["Blend card"])
+CARD_COLUMNS = re.findall(r"coalesce\((\w+), 0\)", CARDS["Blend card"])
+
+
 def evaluated(name: str, source: str, by: str) -> list[str]:
     """CTEs that end in ``name``: all metrics of ``source`` per group."""
     w = f"OVER (PARTITION BY {by} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)"
@@ -575,6 +581,14 @@ STAGES: dict[str, str] = {
         NULLS,
         BYLABEL,
     ),
+    "r06_batch_score": over_split(
+        f"SELECT id, raw_probability, score AS calibrated_probability, {LEVEL} AS risk_level,"
+        " score >= 0.1 AS above_primary_threshold FROM cal",
+        "md AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) FILTER ({DEV}) AS m_{c}" for c in CARD_COLUMNS) + " FROM sp)",
+        f"rw AS (SELECT id, {r(f'1e0 / (1e0 + exp(-({FILLED})))')} AS raw_probability FROM sp, md)",
+        "cal AS (SELECT id, raw_probability,"
+        f" {r(f'1e0 / (1e0 + exp(-(0.9e0 * ln({SAFE} / (1 - {SAFE})) + (-0.1e0))))')} AS score FROM rw)",
+    ),
     "f08_missingness_correlation": over_split(
         "SELECT * FROM pr WHERE correlation IS NOT NULL",
         "im AS (SELECT " + ", ".join(f"{bit(f'{c} IS NULL')} AS {c}" for c in PAIRED) + f" FROM sp WHERE {DEV})",
