@@ -23,7 +23,9 @@ METHODS = ("uncalibrated", "sigmoid", "isotonic")
 def _logit_fit(df: DataFrame, penalty_per_row: float) -> LogisticRegressionModel:
     rows = df.select("label", logit(F.col("score")).alias("z"))
     assembled = VectorAssembler(inputCols=["z"], outputCol="features").transform(rows)
-    return LogisticRegression(labelCol="label", regParam=penalty_per_row, standardization=False).fit(assembled)
+    # two parameters: iterate until they stand still
+    fit_ = LogisticRegression(labelCol="label", regParam=penalty_per_row, standardization=False, tol=1e-12, maxIter=500)
+    return fit_.fit(assembled)
 
 
 def fit_sigmoid(df: DataFrame) -> Sigmoid:

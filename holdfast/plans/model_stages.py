@@ -388,7 +388,7 @@ def calibration_scores(panel: DataFrame) -> DataFrame:
 def fitted_sigmoid(panel: DataFrame) -> DataFrame:
     """Sigmoid-calibrated probability of every customer."""
     rows = calibration_scores(panel)
-    return calibration.apply_sigmoid(rows, calibration.fit_sigmoid(rows)).select("id", "score")
+    return calibration.apply_sigmoid(rows, calibration.fit_sigmoid(rows)).select("id", rounded("score", 5).alias("score"))
 
 
 def fitted_isotonic(panel: DataFrame) -> DataFrame:
@@ -401,8 +401,8 @@ def slope_table(panel: DataFrame) -> DataFrame:
     slope, intercept = calibration.slope_intercept(rows)
     return rows.groupBy(F.lit("score").alias("column")).agg(
         F.count(F.lit(1)).alias("customers"),
-        F.first(F.lit(slope)).alias("calibration_slope"),
-        F.first(F.lit(intercept)).alias("calibration_intercept"),
+        rounded(F.first(F.lit(slope)), 4).alias("calibration_slope"),
+        rounded(F.first(F.lit(intercept)), 4).alias("calibration_intercept"),
     )
 
 

@@ -366,6 +366,19 @@ CARD_CTES = [
 ]
 
 
+def newton(penalty: str) -> list[str]:
+    """CTEs that end in nf: slope w and intercept b of a logistic fit of the label on the score's log-odds."""
+    return [
+        f"lz AS (SELECT id, label, ln({SAFE} / (1 - {SAFE})) AS z FROM (SELECT id, label, score AS raw_probability FROM sc))",
+        "nw AS (SELECT 0 AS k, 0e0 AS w, 0e0 AS b UNION ALL"
+        " SELECT k + 1, w + (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b + (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) FROM ("
+        f"SELECT k, w, b, sum((label - p) * z) - {penalty} * w AS gw, sum(label - p) AS gb, sum(p * (1 - p) * z * z) + {penalty} AS hww,"
+        " sum(p * (1 - p) * z) AS hwb, sum(p * (1 - p)) AS hbb"
+        " FROM (SELECT k, w, b, label, z, 1e0 / (1e0 + exp(-(w * z + b))) AS p FROM nw, lz WHERE k < 25) GROUP BY k, w, b))",
+        "nf AS (SELECT w, b FROM nw WHERE k = 25)",
+    ]
+
+
 FILLED = re.sub(r"coalesce\((\w+), 0\)", r"coalesce(CAST(\1 AS DOUBLE), m_\1)", CARDS["Blend card"])
 CARD_COLUMNS = re.findall(r"coalesce\((\w+), 0\)", CARDS["Blend card"])
 
@@ -581,6 +594,19 @@ STAGES: dict[str, str] = {
         NULLS,
         BYLABEL,
     ),
+    "c01_sigmoid_calibrate": recursive(
+        over_scores(
+            f"SELECT id, {r('greatest(least(1e0 / (1e0 + exp(-(w * z + b))), 1 - 1e-7), 1e-7)', 5)} AS score FROM lz, nf",
+            *newton("1e0"),
+        )
+    ),
+    "c05_slope_intercept": recursive(
+        over_scores(
+            f"SELECT 'score' AS \"column\", (SELECT count(*) FROM lz) AS customers, {r('w', 4)} AS calibration_slope,"
+            f" {r('b', 4)} AS calibration_intercept FROM nf",
+            *newton("0e0"),
+        )
+    ),
     "r06_batch_score": over_split(
         f"SELECT id, raw_probability, score AS calibrated_probability, {LEVEL} AS risk_level,"
         " score >= 0.1 AS above_primary_threshold FROM cal",
