@@ -607,6 +607,12 @@ STAGES: dict[str, str] = {
             *newton("0e0"),
         )
     ),
+    "m17_schema_fingerprint": over(
+        f"SELECT {N} AS rows, sha256('aon:int,arpu_8:double,id:bigint,label:int') AS schema_hash,"
+        " bit_xor(h) AS content_xor, CAST(sum(h % 1000003) AS BIGINT) AS content_sum FROM hs",
+        "hs AS (SELECT CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(aon AS VARCHAR), 'NULL'), coalesce(CAST(arpu_8 AS VARCHAR), 'NULL'),"
+        " coalesce(CAST(id AS VARCHAR), 'NULL'), coalesce(CAST(label AS VARCHAR), 'NULL'))), 1, 15) AS BIGINT) AS h FROM p)",
+    ),
     "r06_batch_score": over_split(
         f"SELECT id, raw_probability, score AS calibrated_probability, {LEVEL} AS risk_level,"
         " score >= 0.1 AS above_primary_threshold FROM cal",
