@@ -27,23 +27,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(joined.filter("v = m").select("u", F.col("m").alias("v")))
 
 
+FILE_ROWS = 100_000
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node that an edge touches.
 
     Self-loops, repeated edges and either direction are fine; nulls link nothing; no edges give an empty table.
     The loop ends when a round leaves the edges as they were; rounds grow with the logarithm of the longest path.
     """
-    now = materialise(
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") > F.col("v")))
-        .distinct()
-    )
+    pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
+    now = materialise(pairs.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") > F.col("v"))).distinct())
     state = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state or seen[0] == 0:
             break
         state = seen
-        now = materialise(_small_star(_large_star(now)).distinct())
+        # few edges are stored in few files; a round never makes more edges than it was given
+        files = seen[0] // FILE_ROWS + 1
+        moved = materialise(_large_star(now.coalesce(files)).distinct().coalesce(files))
+        now = materialise(_small_star(moved).distinct().coalesce(files))
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(now.select("v", "v").distinct().toDF("node", "component"))

@@ -7,15 +7,17 @@ positions of some chunk. Every choice of that many positions of a chunk is left
 remains is a key: two classes that share a key are candidates, and no pair within the distance is
 missed. Most pairs beyond it are found as well, since a pair fails only if every chunk has more errors.
 
-Candidates are compared in stars first: each key links its classes to one of them. Only classes that
-are still in different components are then compared pair by pair, so a group of many near copies never
-becomes all its pairs. Links are confirmed on the full shingle sets.
+Candidates are compared in stars first: a class meets the most central of those it shares a key with, and a random
+one. Components that still share a key are then compared as wholes: the classes of the larger one and all that
+is left over around it are dealt to a grid of blocks, in which every class meets every other and one link for each is kept. So
+a group of many near copies never becomes all its pairs. Links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 from typing import NamedTuple
 
 import numpy as np
@@ -151,18 +153,41 @@ def signatures(df: DataFrame, p: Params, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, h1 long, h2 long, sig binary, p0 long, p1 long, p2 long, p3 long")
 
 
-def shingle_sets(df: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes of every row."""
+def shingle_sets(df: DataFrame, sought: DataFrame, words: int) -> DataFrame:
+    """doc_id and the sorted distinct shingle hashes of the rows whose key is in ``sought``, each key once.
+
+    A bitmap of a fixed size tells most other rows apart before their texts are read, let alone shuffled.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    marks = sought.select(slot).groupBy(F.expr("slot div 32").alias("at"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS int)))").alias("bits"))
+    got = marks.toPandas()  # SLOTS / 32 rows at most
+    bitmap = np.zeros(SLOTS // 32, dtype=np.int64)
+    bitmap[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            for part in slices(batch, "text"):
+            slots = batch.column("slot").to_numpy()
+            held = batch.filter(pa.array((shared.value[slots // 32] >> (slots % 32) & 1).astype(bool)))
+            for part in slices(held, "text"):
                 sets = [s.view(np.int64) for s in shingler.sets(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    rows = texts(df, key, text)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
+    kind = df.schema["doc_id"].dataType.simpleString()
+    some = df.select("doc_id", "text", slot).mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+    return some.join(sought, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+
+
+SLOTS = 1 << 24
+"""Bits of the map of sought documents: two megabytes, whatever their number."""
+
+BLOCK = 512
+"""Classes on either side of a block."""
+
+FEW = 16
+"""Pairs of components with at most so many classes share tasks with others."""
 
 
 def chunk_keys(p: Params) -> Column:
@@ -193,15 +218,137 @@ def _side(classes: DataFrame, side: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar."""
+    """Pairs (a, b) whose full sets are similar; the sets go to the side of b, of which there are fewer."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb")).join(pairs.select("b").distinct(), "b", "left_semi")
     joined = pairs.join(left, "a").join(right, "b")
     return joined.select(
         "a", "b", F.size("_sa").alias("_na"), F.size("_sb").alias("_nb"), F.size(F.array_intersect("_sa", "_sb")).alias("_both")
     ).filter(f"100 * _both >= {p.percent} * (_na + _nb - _both)").select("a", "b")
 
 
+def _stars(rows: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """For each class at most two candidates it shares a key with: the one with most company, and a random one."""
+    central = rows.groupBy("rep").agg(F.sum("_n").alias("_score"))
+    scored = rows.select("key", "rep").join(central, "rep")
+    best, chance = F.struct("_score", "rep"), F.struct(F.xxhash64("rep", F.lit("star")).alias("_h"), "rep")
+    centres = scored.groupBy("key").agg(F.max(best).alias("_best"), F.max(chance).alias("_chance"))
+    met = rows.select("key", "rep").join(centres, "key").groupBy("rep").agg(F.max("_best").alias("_best"), F.max("_chance").alias("_chance"))
+    pairs = met.select(F.col("rep").alias("a"), F.explode(F.array("_best.rep", "_chance.rep")).alias("b")).filter("a <> b").distinct()
+    return pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_close(p)).select("a", "b")
+
+
+def _first_key(p: Params) -> str:
+    """True for the first of the keys that signatures a_sig and b_sig share, so that a pair shows up once."""
+    equal = [
+        " + ".join(f"int(substring(a_sig, {2 * (c * p.width + i) + 1}, 2) = substring(b_sig, {2 * (c * p.width + i) + 1}, 2))" for i in range(p.width))
+        for c in range(p.chunks)
+    ]
+    first = " ".join(f"WHEN {e} >= {p.width - p.errors} THEN {c}" for c, e in enumerate(equal))
+    variants = comb(p.width, p.errors)
+    left = [[*combinations(range(p.width), p.errors)][n] for n in range(variants)]
+    # of the keys of that chunk, the first that leaves out every position in which they differ
+    differ = " ".join(
+        f"WHEN {c * variants + n} THEN "
+        + " AND ".join(
+            "NOT (" + " AND ".join(f"substring(a_sig, {2 * (c * p.width + i) + 1}, 2) = substring(b_sig, {2 * (c * p.width + i) + 1}, 2)" for i in range(p.width) if i not in earlier) + ")"
+            for earlier in left[:n]
+        )
+        for c in range(p.chunks)
+        for n in range(1, variants)
+    )
+    return f"(CASE {first} END) = a_k div {variants} AND (CASE a_k {differ} ELSE true END)"
+
+
+def _leftover(rows: DataFrame, classes: DataFrame, label: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) that connect all components which share a key and may hold a link.
+
+    Each key pairs its largest component with the others; two of one class each are a pair only if their signatures are
+    near enough. What these stars leave apart, of one class each, is then paired one by one: a pair shows up once, and only if
+    its signatures are near enough.
+    """
+    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
+    placed = rows.select("key", "k", "rep").join(label.withColumnRenamed("node", "rep"), "rep")
+    live = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
+    placed = placed.join(live.select("key"), "key").join(sizes, "component")
+    placed = materialise(placed.select("key", "k", "rep", "component", "_size"))
+    best = F.max(F.struct("_size", "component")).alias("_top")
+    tops = placed.groupBy("key").agg(best).select("key", F.col("_top._size").alias("_of"), F.col("_top.component").alias("b"))
+    met = placed.select("key", F.col("component").alias("a")).join(tops, "key").filter("a <> b").groupBy("a", "b").agg(F.max("_of").alias("_of"))
+    # a component of one class is called after it
+    single = met.filter("_of = 1").join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_close(p))
+    stars = materialise(met.filter("_of > 1").select("a", "b").union(single.select("a", "b")))
+    family = components(stars, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("family"))
+    ones = placed.filter("_size = 1").join(family, "component", "left").withColumn("family", F.coalesce("family", "component"))
+    live = ones.groupBy("key").agg(F.min("family").alias("_lo"), F.max("family").alias("_hi")).filter("_lo < _hi")
+    about = classes.select("rep", "n_shingles", "sig", "p0", "p1", "p2", "p3")
+    ones = ones.join(live.select("key"), "key").join(about, "rep").withColumnRenamed("n_shingles", "n")
+    shown = ("component", "family", "k", "sig", "n", "p0", "p1", "p2", "p3")
+    one, two = (ones.select("key", *[F.col(c).alias(f"{x}_{c}") for c in shown]) for x in "ab")
+    near = f"a_component < b_component AND a_family <> b_family AND {_close(p)} AND {_first_key(p)}"
+    pairs = one.join(two, "key").filter(near).select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    return stars.union(pairs)
+
+
+def _block_links(pairs: DataFrame, label: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between classes of different components of a cluster, at least one for any two that are linked."""
+    clusters = components(pairs, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    rows = materialise(label.join(clusters, "component").select("cluster", "component", F.col("node").alias("rep")))
+    counts = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("cluster").agg(
+        F.sum("n").alias("_m"), F.max(F.struct("n", "component")).alias("_top")
+    ).select("cluster", "_m", (F.col("_m") - F.col("_top.n")).alias("_t"), F.col("_top.component").alias("_top"))
+    shared = max(1, rows.count() // 256)
+    blocks = {"_bm": f"cast(ceil(_m / {BLOCK}) AS int)", "_bt": f"cast(ceil(_t / {BLOCK}) AS int)"}
+    blocks["task"] = f"if(_m <= {FEW}, pmod(xxhash64(cluster), {shared}), -1)"
+    placed = rows.join(largest.withColumns({k: F.expr(e) for k, e in blocks.items()}), "cluster")
+    place = """concat(
+        transform(sequence(0, _bt - 1), x -> struct(true AS member, cast(pmod(xxhash64(rep), _bm) AS int) AS i, x AS j)),
+        if(component = _top, array(),
+            transform(sequence(0, _bm - 1), x -> struct(false AS member, x AS i, cast(pmod(xxhash64(rep, 1), _bt) AS int) AS j))))"""
+    dealt = placed.select("cluster", "component", "rep", "task", F.expr(f"inline({place})"))
+    whole = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("owner", F.expr("if(task < 0, cluster, NULL)"))
+    kind = label.schema["node"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        found: tuple[list, list] = ([], [])
+        table = table.combine_chunks().sort_by("cluster")
+        owner = table.column("cluster").to_numpy()
+        edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        for start, end in zip(edges, np.append(edges[1:], len(owner)), strict=True):
+            part = table.slice(start, end - start)
+            member, rep, component = (part.column(c).to_numpy() for c in ("member", "rep", "component"))
+            held = [x.values.to_numpy() for x in part.column("shingles")]
+            for a, b in similar(held, component, np.flatnonzero(member), np.flatnonzero(~member), p.percent):
+                found[0].append(rep[a])
+                found[1].append(rep[b])
+        return pa.table({"a": pa.array(found[0], table.schema.field("rep").type), "b": pa.array(found[1], table.schema.field("rep").type)})
+
+    return whole.groupBy("task", "owner", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def similar(
+    sets: list[np.ndarray], component: np.ndarray, members: np.ndarray, others: np.ndarray, percent: int
+) -> Iterator[tuple[int, int]]:
+    """For each of ``others`` and each other component with ``members`` similar to it: itself and the first of these."""
+    if not len(members) or not len(others):
+        return
+    size = np.array([len(sets[m]) for m in members])
+    values = np.concatenate([sets[m] for m in members])
+    owner = np.repeat(np.arange(len(members)), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for t in others:
+        left, right = np.searchsorted(values, sets[t]), np.searchsorted(values, sets[t], side="right")
+        n = right - left
+        at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(members))
+        hit = members[100 * both >= percent * (size + len(sets[t]) - both)]
+        hit = hit[component[hit] != component[t]]
+        for m in np.unique(component[hit], return_index=True)[1]:
+            yield t, hit[m]
+
+
 def near_duplicates(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest key reachable by links) and ``kept`` of every row.
 
@@ -214,30 +361,16 @@ def near_duplicates(df: DataFrame, p: Params = Params(), key: str = "doc_id", te
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     equal = ["h1", "h2", "n_shingles", "p0", "p1", "p2", "p3", "sig"]
     classes = materialise(some.groupBy(*equal).agg(F.min("doc_id").alias("rep")))
-    keyed = classes.select("rep", F.explode(chunk_keys(p)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    rows = materialise(keyed.join(shared, "key"))  # (key, rep) of keys with company
+    keyed = classes.select("rep", F.posexplode(chunk_keys(p)).alias("k", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    rows = materialise(keyed.join(shared, "key"))  # (key, rep, k, _n) of keys with company
     sought = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(texts(df, key, text).join(sought, "doc_id", "left_semi").dropDuplicates(["doc_id"]), p.words))
-    links = None
-    label = rows.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct()
-    for centre in (F.min, F.max):
-        placed = rows.join(label.withColumnRenamed("node", "rep"), "rep")
-        star = placed.groupBy("key").agg(
-            centre(F.struct("component", "rep")).alias("_c"), F.min("component").alias("_lo"), F.max("component").alias("_hi")
-        ).filter("_lo < _hi").select("key", "_c")
-        met = placed.join(star, "key").filter("component <> _c.component")
-        pairs = met.select(F.least("rep", "_c.rep").alias("a"), F.greatest("rep", "_c.rep").alias("b")).distinct()
-        links, label = _linked(pairs, classes, sets, links, label, p)
-    left = rows.join(label.withColumnRenamed("node", "rep"), "rep")
-    live = left.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
-    left = left.join(live.select("key"), "key").join(_side(classes, "a").withColumnRenamed("a", "rep"), "rep")
-    one = left.withColumnsRenamed({"rep": "a", "component": "_ca"})
-    two = left.select(
-        "key", F.col("rep").alias("b"), F.col("component").alias("_cb"), *[F.col(f"a_{x}").alias(f"b_{x}") for x in ("n", "p0", "p1", "p2", "p3")]
-    )
-    rest = one.join(two, "key").filter(f"a < b AND _ca <> _cb AND {_close(p)}").select("a", "b").distinct()
-    links, label = _linked(rest, classes, sets, links, label, p)
+    sets = materialise(shingle_sets(texts(df, key, text), sought, p.words))
+    links = materialise(_confirmed(_stars(rows, classes, p), sets, p))
+    alone = sought.withColumnRenamed("doc_id", "node")
+    label = _labels(alone, links)
+    rest = _block_links(_leftover(rows, classes, label, p), label, sets, p)
+    label = _labels(alone, links.union(materialise(rest)))
     found = classes.select(*equal, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     whole = found.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_component"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2", "n_shingles"], "left")
@@ -248,13 +381,7 @@ def near_duplicates(df: DataFrame, p: Params = Params(), key: str = "doc_id", te
     )
 
 
-def _linked(
-    pairs: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame | None, label: DataFrame, p: Params
-) -> tuple[DataFrame, DataFrame]:
-    """Links so far with those confirmed of ``pairs``, and the components they make."""
-    near = pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_close(p)).select("a", "b")
-    new = materialise(_confirmed(near, sets, p))
-    links = new if links is None else links.union(new)
-    joined = components(links, "a", "b").withColumnRenamed("component", "_new")
-    moved = label.select("node").join(joined, "node", "left")
-    return links, materialise(moved.select("node", F.coalesce("_new", "node").alias("component")))
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The component of every node, itself if no link touches it."""
+    joined = components(links, "a", "b")
+    return materialise(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))

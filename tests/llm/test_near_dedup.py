@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.llm import cover_tree, minhash_dedup
 from holdfast.llm.components import components
@@ -86,6 +87,49 @@ def test_odd_documents(odd):
     assert minhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_leftover_groups_in_small_blocks(spark, monkeypatch):
+    """Blocks of few classes, and tasks that few pairs share, give the same components."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "FEW", 4)
+    monkeypatch.setattr(minhash_dedup, "SLOTS", 64)
+    rows = dict(enumerate(made_texts()))
+    df = spark.createDataFrame([*rows.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(df, minhash_dedup.Params(words=2)).collect()}
+    assert got == brute(rows, 2)
+
+
+def test_similar_sets_against_brute_force():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(20, 50))) for _ in range(60)]
+    component = rng.integers(0, 20, 60)
+    members, others = np.arange(40), np.arange(30, 60)
+    want = set()
+    for t in others:
+        for m in members:
+            both = len(np.intersect1d(sets[t], sets[m]))
+            if component[t] != component[m] and 100 * both >= 40 * (len(sets[t]) + len(sets[m]) - both):
+                want.add((t, component[m]))
+    got = [*minhash_dedup.similar(sets, component, members, others, 40)]
+    assert {(t, component[m]) for t, m in got} == want and len(got) == len(want) > 3
+
+
+def test_a_pair_shows_up_at_one_of_its_shared_keys(spark):
+    p = minhash_dedup.Params(chunks=4, width=4, errors=1)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 16, p.positions, dtype=np.uint16)
+    rows = [(0, base.tobytes())]
+    for i in range(1, 300):
+        other = base.copy()
+        other[rng.choice(p.positions, rng.integers(0, 9), replace=False)] ^= 1
+        rows.append((i, other.tobytes()))
+    keyed = spark.createDataFrame(rows, "id long, sig binary").select("id", "sig", F.posexplode(minhash_dedup.chunk_keys(p)).alias("k", "key"))
+    one, two = (keyed.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "sig", "k")]) for x in "ab")
+    pairs = one.join(two, "key").filter("a_id < b_id")
+    shared = {(r.a_id, r.b_id) for r in pairs.select("a_id", "b_id").distinct().collect()}
+    once = [(r.a_id, r.b_id) for r in pairs.filter(minhash_dedup._first_key(p)).select("a_id", "b_id").collect()]
+    assert len(once) == len(set(once)) and set(once) == shared and len(shared) > 100
+
+
 def test_white_space_and_letters_of_the_contract():
     s = minhash_dedup.Shingler(2)
     a, b, c, d, e = s.sets(["One two\x0bTHREE", "one\ttwo three", "one two three", "\x1cone two", "ÉA b"])
