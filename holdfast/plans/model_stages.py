@@ -332,7 +332,6 @@ def trained_holdout(panel: DataFrame) -> DataFrame:
     return evaluation.fold_results(scores, ("model",))
 
 
-TUNING_FOLDS = 3
 CANDIDATES_AT_ONCE = 4
 
 
@@ -362,22 +361,9 @@ def tune(
     )
 
 
-def quick_grid() -> dict[str, dict[str, TreeParams]]:
-    """Baseline and one candidate per family with few small trees, to exercise the search on fixtures."""
-    return {
-        "HistGradientBoosting": {
-            "HGB_00_BASELINE": TreeParams(2, 0.1, 3, 20),
-            "HGB_09_STRONG_REGULARIZATION": TreeParams(3, 0.08, 3, 30),
-        },
-        "XGBoost": {
-            "XGB_00_BASELINE": TreeParams(2, 0.1, 4, 1),
-            "XGB_02_SLOWER_MORE_TREES": TreeParams(3, 0.05, 4, 1, 0.9, "0.9"),
-        },
-    }
-
-
 def tuning(panel: DataFrame) -> DataFrame:
-    return tune(modelling.model_matrix(panel, folds=TUNING_FOLDS), quick_grid(), TUNING_FOLDS)
+    """The search over all published candidates, each fitted on every fold."""
+    return tune(modelling.model_matrix(panel), TUNING_GRID, splitting.FOLDS)
 
 
 def calibration_scores(panel: DataFrame) -> DataFrame:

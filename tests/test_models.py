@@ -204,3 +204,20 @@ def test_importance_of_many_features_in_chunks(learnable, monkeypatch):
     rows = modelling.permutation_importance(model, learnable, columns, 3).collect()
     assert [r.importance_rank for r in sorted(rows, key=lambda r: -r.importance)] == [1, 2]
     assert {r.feature for r in rows} == set(columns) and all(r.importance_std >= 0 for r in rows)
+
+
+def test_search_fits_every_published_candidate_on_every_fold(spark, monkeypatch):
+    """The registered search, with estimators replaced by one cheap fit so that only its extent is looked at."""
+    seen = []
+
+    def scored(matrix, estimators, folds=splitting.FOLDS):
+        seen.extend((name, e.getStages()[-1].getMaxIter(), e.getStages()[-1].getMaxDepth(), folds) for name, e in estimators.items())
+        rows = matrix.filter("fold IS NOT NULL").select("fold", "id", "label", (F.col("id") % 7 / 7).alias("score"))
+        every = rows.select(F.explode(F.array(*[F.lit(n) for n in estimators])).alias("model"), "fold", "id", "label", "score")
+        return modelling.CrossValidation(every, every)
+
+    monkeypatch.setattr(modelling, "cross_validate", scored)
+    table = model_stages.STAGES["m12_tuning_grid"](panel(spark, SF))
+    grid = {n: t for members in model_stages.TUNING_GRID.values() for n, t in members.items()}
+    assert len(grid) == 20 and sorted(seen) == sorted((n, t.iterations, t.depth, 5) for n, t in grid.items())
+    assert table.count() == 20
