@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from holdfast.operators import (
     splitting,
 )
 from holdfast.operators.modelling import MODEL_FEATURES, TreeParams
-from holdfast.operators.scoring import Scorecard, scored, with_score
+from holdfast.operators.scoring import Scorecard, Sigmoid, scored, with_score
 from holdfast.session import materialise
 from holdfast.sources.contract import contract_checks
 from holdfast.sources.panel import FIXTURE_CALENDAR
@@ -218,8 +219,8 @@ def stability(panel: DataFrame) -> DataFrame:
     return selection.univariate_stability(matrix, SCREENED)
 
 
-SMALL_TREES = TreeParams(iterations=3, step=0.2, depth=3)
-"""Cross-validation and the search train many models; their queries use few small trees to stay quick."""
+FINAL_TREES = TUNING_GRID["XGBoost"]["XGB_02_SLOWER_MORE_TREES"]
+"""The published final candidate."""
 SELECTION_TREES = TreeParams(iterations=20, step=0.1, depth=5, leaf=20)
 MI_TOP = 100
 """Features that stay candidates whatever their information."""
@@ -319,10 +320,10 @@ def trained_logistic(panel: DataFrame) -> DataFrame:
 def estimators(rows: int) -> dict:
     return {
         "Logistic Regression": modelling.logistic(MODEL_FEATURES, rows),
-        "HistGradientBoosting": modelling.boosted_trees(MODEL_FEATURES, SMALL_TREES),
-        "XGBoost": modelling.boosted_trees(
-            MODEL_FEATURES, TreeParams(iterations=3, step=0.2, depth=4, leaf=1, subsample=0.9)
-        ),
+        **{
+            family: modelling.boosted_trees(MODEL_FEATURES, TUNING_GRID[family][name])
+            for family, name in BASELINES.items()
+        },
     }
 
 
@@ -341,6 +342,18 @@ def trained_cross_validation(panel: DataFrame) -> DataFrame:
     return evaluation.fold_results(cv.held_out)
 
 
+def trained_folds(panel: DataFrame) -> DataFrame:
+    return materialise(trained_cross_validation(panel))
+
+
+TRAINED_PAIRS = list(combinations(("Logistic Regression", *BASELINES), 2))
+
+
+def trained_comparison(panel: DataFrame) -> DataFrame:
+    """Validation results of the trained models next to their out-of-fold ones."""
+    return evaluation.holdout_comparison(materialise(trained_holdout(panel)), evaluation.model_summary(trained_folds(panel)))
+
+
 def tune(
     matrix: DataFrame, grid: dict[str, dict[str, TreeParams]], folds: int, columns: tuple[str, ...] = MODEL_FEATURES
 ) -> DataFrame:
@@ -382,6 +395,12 @@ def fitted_isotonic(panel: DataFrame) -> DataFrame:
     return calibration.fit_isotonic(rows)(rows).select("id", rounded("score", 6).alias("score"))
 
 
+def development_sigmoid(panel: DataFrame) -> Sigmoid:
+    """The sigmoid fitted on development rows alone."""
+    dev = splitting.with_split(scored(panel)).filter(F.col("split") == splitting.DEVELOPMENT)
+    return calibration.fit_sigmoid(materialise(dev.select("id", "label", "score")))
+
+
 def slope_table(panel: DataFrame) -> DataFrame:
     rows = calibration_scores(panel)
     slope, intercept = calibration.slope_intercept(rows)
@@ -405,7 +424,7 @@ def final_fit(panel: DataFrame) -> DataFrame:
     shared = matrix.sparkSession.sparkContext.getCheckpointDir()
     path = f"{shared}/model-{uuid4().hex}"
     dev = matrix.filter("fold IS NOT NULL")
-    model = modelling.boosted_trees(MODEL_FEATURES, SMALL_TREES).fit(dev)
+    model = modelling.boosted_trees(MODEL_FEATURES, FINAL_TREES).fit(dev)
     model.write().save(path)
     again = PipelineModel.load(path)
     first = modelling.predict(model, matrix, "fitted").select("id", F.col("score").alias("a"))
@@ -467,6 +486,11 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m13_tuning_selection": lambda p: evaluation.tuning_selection(tuning(p)),
     "m14_holdout_compare": card_comparison,
     "m15_final_selection": lambda p: evaluation.final_model(card_comparison(p)),
+    "m10_cv_summary_trained": lambda p: evaluation.model_summary(trained_folds(p)),
+    "m10_fold_ranking_trained": lambda p: evaluation.fold_ranking(trained_folds(p)),
+    "m11_pairwise_models_trained": lambda p: evaluation.pairwise_models(trained_folds(p), TRAINED_PAIRS),
+    "m14_holdout_compare_trained": trained_comparison,
+    "m15_final_selection_trained": lambda p: evaluation.final_model(trained_comparison(p)),
     "m16_final_fit_save": final_fit,
     "m17_schema_fingerprint": lambda p: modelling.fingerprint(p.select("id", "label", "aon", "arpu_8")),
     "c01_sigmoid_calibrate": fitted_sigmoid,
@@ -477,6 +501,10 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "c08_validation_before_after": lambda p: calibration.before_after(
         splitting.with_split(scored(p)).filter(F.col("split") == splitting.VALIDATION)
     ),
+    "c07_rank_preservation_fitted": lambda p: calibration.rank_preservation(scored(p), development_sigmoid(p)),
+    "c08_validation_before_after_fitted": lambda p: calibration.before_after(
+        splitting.with_split(scored(p)).filter(F.col("split") == splitting.VALIDATION), development_sigmoid(p)
+    ),
     "x01_attribution_long": lambda p: attribution.attribution_table(attribution.prepared(p)),
     "x01_additivity": lambda p: attribution.additivity(attribution.prepared(p)),
     "x02_global_importance": lambda p: attribution.global_importance(attribution.prepared(p)),

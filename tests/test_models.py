@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdfast.operators import attribution, calibration, modelling, selection, splitting
 from holdfast.operators.metrics import rank_metrics
 from holdfast.operators.missingness import feature_family
+from holdfast.operators.scoring import scored
 from holdfast.plans import model_stages
 from holdfast.sources.panel import panel
 
@@ -221,3 +222,38 @@ def test_search_fits_every_published_candidate_on_every_fold(spark, monkeypatch)
     grid = {n: t for members in model_stages.TUNING_GRID.values() for n, t in members.items()}
     assert len(grid) == 20 and sorted(seen) == sorted((n, t.iterations, t.depth, 5) for n, t in grid.items())
     assert table.count() == 20
+
+
+def test_models_are_trained_with_the_published_settings(spark, monkeypatch):
+    def settings(pipeline):
+        t = pipeline.getStages()[-1]
+        return t.getMaxIter(), t.getStepSize(), t.getMaxDepth(), t.getMinInstancesPerNode()
+
+    fits = model_stages.estimators(100)
+    assert settings(fits["HistGradientBoosting"]) == (100, 0.1, 5, 20) and settings(fits["XGBoost"]) == (100, 0.1, 6, 1)
+    used, boosted = [], modelling.boosted_trees
+
+    def quick(columns, params):
+        used.append((params.iterations, params.step, params.depth, params.subsample))
+        return boosted(columns, modelling.TreeParams(iterations=1, depth=1))
+
+    monkeypatch.setattr(modelling, "boosted_trees", quick)
+    assert model_stages.final_fit(panel(spark, SF)).first().differing_scores == 0
+    assert used == [(200, 0.05, 6, 0.9)]
+
+
+def test_reports_of_trained_models_and_of_a_fitted_calibration(spark, monkeypatch):
+    """Three cheap models in the places of the published ones: the reports are of fitted models, not of cards."""
+    names = ["Logistic Regression", *model_stages.BASELINES]
+    cheap = lambda rows: {n: modelling.logistic(modelling.MODEL_FEATURES[: i + 2], rows) for i, n in enumerate(names)}
+    monkeypatch.setattr(model_stages, "estimators", cheap)
+    p = panel(spark, SF)
+    got = {r.model: r for r in model_stages.STAGES["m14_holdout_compare_trained"](p).collect()}
+    assert set(got) == set(names)
+    assert model_stages.STAGES["m11_pairwise_models_trained"](p).count() == 3
+    sigmoid = model_stages.development_sigmoid(p)
+    assert sigmoid != calibration.Sigmoid()
+    after = model_stages.STAGES["c08_validation_before_after_fitted"](p).filter("stage = 'after_calibration'").first()
+    rows = splitting.with_split(scored(p)).filter("split = 'validation'")
+    want = calibration.apply_sigmoid(rows, sigmoid).agg(F.avg("score")).first()[0]
+    assert after.mean_predicted_probability == pytest.approx(want, abs=1e-5)
