@@ -20,11 +20,12 @@ def feature_drift(df: DataFrame, columns: list[str], population: str, reference:
     """Population stability index and mean, median and missing-rate change per feature.
 
     Bins are the exact deciles of the reference population. The bin edges (nine numbers per
-    feature) are the only thing broadcast.
+    feature) are the only thing broadcast. A feature that a population has no value of keeps its row,
+    without an index.
     """
     rows = materialise(df.filter(F.col(population).isin(reference, current)).select(population, *columns))
     edges = exact_quantiles(rows.filter(F.col(population) == reference), columns, DECILES)
-    long = long_values(rows, columns, [population]).join(F.broadcast(edges), "feature")
+    long = long_values(rows, columns, [population]).join(F.broadcast(edges), "feature", "left")
     bin_of = F.lit(0)
     for q in DECILES:
         bin_of = bin_of + F.when(F.col("value") > F.col(q), 1).otherwise(0)
@@ -55,9 +56,12 @@ def feature_drift(df: DataFrame, columns: list[str], population: str, reference:
         F.max(F.when(is_ref, F.col("median"))).alias("median_r"),
         F.max(F.when(~is_ref, F.col("median"))).alias("median_c"),
     )
+    names = rows.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
     out = (
-        totals.join(F.broadcast(psi), "feature")
-        .join(F.broadcast(wide), "feature")
+        names.join(totals, "feature", "left")
+        .fillna(0, ["all_r", "all_c"])
+        .join(F.broadcast(psi), "feature", "left")
+        .join(F.broadcast(wide), "feature", "left")
         .withColumn("_one", F.lit(1))
         .join(F.broadcast(sizes), "_one")
     )

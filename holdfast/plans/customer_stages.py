@@ -13,6 +13,7 @@ from holdfast.functions.measures import with_measures
 from holdfast.functions.numeric import rounded
 from holdfast.operators import (
     exposure,
+    features,
     metrics,
     monitoring,
     quantiles,
@@ -29,6 +30,7 @@ from holdfast.session import materialise
 FIXTURE_PRECISION = 0.40
 """Eligibility bound for the fixtures, whose churners are spread evenly over the scores."""
 DRIFT_FEATURES = ["aon", "arpu_8", "total_rech_amt_8", "total_rech_num_8", "total_og_mou_8", "vol_2g_mb_8"]
+NUMERIC = ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
 
 
 def development(panel: DataFrame, name: str = splitting.DEVELOPMENT) -> DataFrame:
@@ -52,6 +54,15 @@ def drift(panel: DataFrame) -> DataFrame:
     )
 
 
+def drift_of_all(panel: DataFrame) -> DataFrame:
+    """Drift of every numeric column of the panel and of every numeric feature built from it."""
+    rows = features.build_features(panel)
+    names = [n for n, t in rows.dtypes if t.startswith(NUMERIC) and n not in ("id", "label")]
+    # stored: planned once, not again for each statistic
+    dealt = materialise(splitting.join_split(rows.select("id", "label", *names)))
+    return monitoring.feature_drift(dealt, names, "split", splitting.DEVELOPMENT, splitting.VALIDATION)
+
+
 def batch_scores(panel: DataFrame) -> DataFrame:
     """All customers scored; missing measures take the medians of development customers."""
     columns = list(scoring.Scorecard().weights)
@@ -151,5 +162,6 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "e12_economics_gate": lambda p: retention.economics_gate(retention.cohort_economics(scored(p))),
     "e12_sensitivity_gate": lambda p: retention.sensitivity_gate(grid(p)),
     "d01_drift_monitor": drift,
+    "d01_drift_monitor_all": drift_of_all,
     "d02_score_monitor": lambda p: monitoring.score_monitor(split_scores(p), "split"),
 }

@@ -209,6 +209,16 @@ def indicator_redundancy(panel: DataFrame) -> DataFrame:
     return selection.spearman_pairs(named, flags)
 
 
+def measures(panel: DataFrame) -> list[str]:
+    """All columns that can be missing."""
+    return [c for c in panel.columns if c not in ("id", "label")]
+
+
+def indicator_redundancy_of_all(panel: DataFrame) -> DataFrame:
+    named = development(panel).select("id", *[F.expr(f"int({c} IS NULL)").alias(f"{c}_missing") for c in measures(panel)])
+    return selection.spearman_pairs(named, named.columns[1:])
+
+
 def information(panel: DataFrame) -> DataFrame:
     rows = modelling.feature_rows(panel)
     return selection.binned_information(rows.filter(F.col("split") == splitting.DEVELOPMENT), SCREENED)
@@ -443,6 +453,7 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "f06_high_missing_profile": high_missing,
     "f07_voice_zero_vs_missing": lambda p: missingness.voice_zero_or_missing(null_counts(p)),
     "f08_missingness_correlation": lambda p: selection.missing_correlation(development(p), DATA_FLAGS),
+    "f08_missingness_correlation_all": lambda p: selection.missing_correlation(development(p), measures(p)),
     "f09_treatment_map": treatments,
     "f10_feature_register": register,
     "f11_date_recency": date_audit,
@@ -468,6 +479,7 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "f31_redundancy_groups": redundancy,
     "f32_representative_pick": representatives,
     "f33_indicator_redundancy": indicator_redundancy,
+    "f33_indicator_redundancy_all": indicator_redundancy_of_all,
     "f34_mutual_information": information,
     "f35_univariate_stability": stability,
     "f36_permutation_importance": importance,
@@ -493,6 +505,7 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m15_final_selection_trained": lambda p: evaluation.final_model(trained_comparison(p)),
     "m16_final_fit_save": final_fit,
     "m17_schema_fingerprint": lambda p: modelling.fingerprint(p.select("id", "label", "aon", "arpu_8")),
+    "m17_schema_fingerprint_all": modelling.fingerprint,
     "c01_sigmoid_calibrate": fitted_sigmoid,
     "c02_isotonic_calibrate": fitted_isotonic,
     "c05_slope_intercept": slope_table,

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from holdfast.operators import attribution, calibration, modelling, selection, splitting
 from holdfast.operators.metrics import rank_metrics
 from holdfast.operators.missingness import feature_family
@@ -257,3 +258,31 @@ def test_reports_of_trained_models_and_of_a_fitted_calibration(spark, monkeypatc
     rows = splitting.with_split(scored(p)).filter("split = 'validation'")
     want = calibration.apply_sigmoid(rows, sigmoid).agg(F.avg("score")).first()[0]
     assert after.mean_predicted_probability == pytest.approx(want, abs=1e-5)
+
+
+def test_reports_of_all_columns(spark):
+    """Missingness, drift and content of every column, not of a list written down."""
+    p = panel(spark, SF).cache()
+    flags = p.drop("id", "label").columns
+    stages = __spark_entry__.ALL_STAGES
+    dev = splitting.join_split(p).filter("split = 'development'").toPandas()[flags].isna().astype(float)
+    want = dev.corr().stack()
+    got = {(r.feature_1, r.feature_2): r.correlation for r in stages["f08_missingness_correlation_all"](p).collect()}
+    varied = [c for c in flags if dev[c].nunique() > 1]
+    assert len(got) == len(varied) * (len(varied) - 1) // 2 > 66
+    assert all(v == pytest.approx(want.loc[k], abs=2e-6) for k, v in got.items())
+    pairs = {(r.feature_1, r.feature_2): r.abs_spearman_correlation for r in stages["f33_indicator_redundancy_all"](p).collect()}
+    assert {(f"{a}_missing", f"{b}_missing") for a, b in got} <= set(pairs)
+    assert all(pairs[f"{a}_missing", f"{b}_missing"] == pytest.approx(abs(v), abs=2e-6) for (a, b), v in got.items())
+    one = stages["m17_schema_fingerprint_all"](p).first()
+    for c in ("arpu_6", "fb_user_7", "date_of_last_rech_8"):
+        changed = p.withColumn(c, F.when(F.col("id") == 5, None).otherwise(F.col(c)))
+        again = p.filter(f"id = 5 AND {c} IS NULL").isEmpty()
+        assert (modelling.fingerprint(changed).first() != one) == again
+    drift = {r.feature: r for r in stages["d01_drift_monitor_all"](p).collect()}
+    numeric = [n for n, t in p.dtypes if t != "string" and not t.startswith(("date", "timestamp")) and n not in ("id", "label")]
+    assert set(numeric) < set(drift) and {"arpu_avg_6_8", "fb_user_8_missing"} <= set(drift) and len(drift) > 200
+    known = {r.feature: r for r in stages["d01_drift_monitor"](p).collect()}
+    assert {f: drift[f] for f in known} == known
+    gone = {c for c in numeric if dev[c].all()}
+    assert all(drift[c].psi is None and drift[c].reference_missing_pct == 100 for c in gone)
