@@ -18,6 +18,37 @@ ROUNDS = 8
 _NAME = r"[\p{L}\p{N}._%+-]"
 _VALUE = r"[A-Za-z0-9+/_-]"
 
+# Length of an account number by country; of other codes any length is looked at.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    def countries(names: str) -> str:
+        return f"(?:{names.replace(' ', '|')})"
+
+    fixed = [
+        rf"{countries(names)}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+        for n, names in _LENGTHS.items()
+    ]
+    rest = rf"(?!{countries(' '.join(_LENGTHS.values()))})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?<!\w)(?:{'|'.join([*fixed, rest])})(?!\w)"
+
+
+# Groups of a telephone number: the North American one; after a plus sign 8 to 15 digits in groups of any length,
+# which end before a date; and national ones that start with a zero.
+_PHONES = (
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    r"\+[1-9](?:(?:[ .-](?!\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}))?\(?\d\)?){7,14}(?!\w)",
+    r"(?!\d{4}[ -]\d{4}[ -]\d{4}[ -]\d)(?:0[1-9]\d{1,4}|\(0[1-9]\d{0,4}\))[ -]\d{3,4}[ -]\d{3,4}(?!\w)",
+    r"(?:0[1-9]\d{1,4}|\(0[1-9]\d{0,4}\))[ /-]\d{5,8}(?!\w)",
+    r"0[1-9](?:[ .-]\d{2}){4}(?!\w)",
+)
+
 # What is looked for, in this order; each pattern stands for the whole of a value. Kinds with a check below count
 # only if they pass it.
 PATTERNS = {
@@ -25,9 +56,9 @@ PATTERNS = {
     "email": rf"(?<!{_NAME}){_NAME}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,8}}\.[A-Za-z]{{2,}}",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "iban": _iban_pattern(),
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "phone": rf"(?<![\w+])(?:{'|'.join(_PHONES)})",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
 }
 
@@ -164,7 +195,7 @@ def _kind() -> str:
 def _pseudonym(key: str) -> str:
     """The pseudonym of a match ``m`` of kind ``k``."""
     value = _quoted(f"{_VALUE}+$")
-    low = f"CASE k WHEN 'secret' THEN length(m) - length(regexp_extract(m, {value}, 0)) WHEN 'phone' THEN length(regexp_extract(m, '^[+][0-9]+', 0)) ELSE 0 END"
+    low = f"CASE k WHEN 'secret' THEN length(m) - length(regexp_extract(m, {value}, 0)) WHEN 'phone' THEN length(regexp_extract(m, '^[+]([0-9]{{1,3}}(?![0-9])|[0-9])', 0)) ELSE 0 END"
     high = r"CASE k WHEN 'email' THEN length(m) - length(regexp_extract(m, '[.][^.]*$', 0)) ELSE length(m) END"
     own = {"ip": _ip(key), "ssn": _ssn(key), "iban": _iban(key), "date": _date(key), "card": _card(key)}
     cases = " ".join(f"WHEN k = '{k}' THEN {e}" for k, e in own.items())
@@ -180,11 +211,20 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: str | None
     """
     if "'" in key or "\\" in key:
         raise ValueError("the key must have no quote or backslash")
-    pattern = _quoted("|".join(PATTERNS.values()))
+    names = [*PATTERNS]
+    before, after = ("|".join(PATTERNS[k] for k in part) for part in (names[: names.index("iban")], names[names.index("iban") + 1 :]))
     # positions as names, so that no column of the input can clash with those worked with here
     kept = {c: f"c{i}" for i, c in enumerate(df.columns) if c not in (text, kinds)}
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()], F.col(f"`{text}`").alias(_TEXT))
     # a text without digit and @ holds nothing but a secret could, and that needs = or :
+    # account numbers are checked wherever they could start, and only valid ones are looked for in the scan: others use up no text
+    candidates = f"regexp_extract_all({_TEXT}, {_quoted(f'(?=({PATTERNS["iban"]}))')}, 1)"
+    valid = f"filter(array_distinct({candidates}), m -> {_mod97("replace(m, ' ', '')")} = 1)"
+    rows = rows.withColumn(_VALID, F.expr(f"if({_TEXT} rlike '[A-Z]{{2}}[0-9]{{2}}', {valid}, array())"))
+    opened, closed = _quoted(rf"{before}|(?<!\w)(?=[A-Z]{{2}}\d{{2}})(?:"), _quoted(rf")(?!\w)|{after}")
+    scan = f"if(size({_VALID}) > 0, concat({opened}, array_join({_VALID}, '|'), {closed}), {_quoted(f'{before}|{after}')})"
+    rows = rows.withColumn(_SCAN, F.expr(scan))
+    pattern = _SCAN
     rows = rows.withColumn(_FOUND, F.expr(f"if({_TEXT} rlike '[0-9@=:]', regexp_extract_all({_TEXT}, {pattern}, 0), array())"))
     known = f"transform({_FOUND}, m -> struct(m AS m, {_kind()} AS k))"
     rows = rows.withColumn(_FOUND, F.when(F.size(_FOUND) > 0, F.expr(known)))
@@ -199,4 +239,4 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: str | None
     return rows.select(*[columns[c].alias(c) for c in order])
 
 
-_TEXT, _FOUND = "_text_read", "_found_values"
+_TEXT, _FOUND, _VALID, _SCAN = "_text_read", "_found_values", "_valid_accounts", "_scan_pattern"

@@ -359,3 +359,32 @@ def test_likeness_follows_edit_similarity(spark):
         now = df.select(fingerprint.likeness("fa", "fb").alias("n")).first()["n"]
         assert now < last and SequenceMatcher(None, base, other).ratio() < 1
         last = now
+
+
+FOLLOWED = {
+    "BE68 5390 0754 7034": ["BE68 5390 0754 7034 EUR 500", "BE68 5390 0754 7034 DE", "(BE68539007547034)"],
+    "ES91 2100 0418 4502 0005 1332": ["ES91 2100 0418 4502 0005 1332 2024-01-01", "to ES91 2100 0418 4502 0005 1332 A1"],
+    "NO93 8601 1117 947": ["NO93 8601 1117 947 NOK 12", "NO93 8601 1117 947 2024"],
+    "4111 1111 1111 1111": ["ID12 4111 1111 1111 1111", "BE12 4111 1111 1111 1111", "DE12 4111 1111 1111 1111 11"],
+    "+49 30 1234567": ["+49 30 1234567", "call +49 30 1234567 2024-01-01", "+49 30 1234567 EUR"],
+    "+33 1 23 45 67 89": ["+33 1 23 45 67 89."],
+    "+493012345678": ["+493012345678"],
+    "+44 (0)20 7946 0958": ["+44 (0)20 7946 0958"],
+    "020 7946 0958": ["020 7946 0958", "(020) 7946 0958", "020 7946 0958 EUR"],
+    "030 1234567": ["030 1234567", "(030) 1234567"],
+    "01 23 45 67 89": ["01 23 45 67 89", "01.23.45.67.89"],
+}
+
+
+@pytest.mark.parametrize("value", FOLLOWED)
+def test_values_next_to_words_and_numbers_are_found(spark, value):
+    digits = lambda t: re.sub(r"\D", "", t)
+    got = changed(spark, FOLLOWED[value])
+    for i, text in enumerate(FOLLOWED[value]):
+        new = got[i]["text"]
+        assert shape(new) == shape(text) or "-01-01" in text
+        assert got[i]["kinds"] and digits(value)[4:] not in digits(new), (text, new)
+        for word in ("EUR", "NOK", "call", "ID12", "BE12", "DE12"):
+            assert (word in new) == (word in text)
+        if "-01-01" in text:
+            date.fromisoformat(new[-10:])
