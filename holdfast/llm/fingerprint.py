@@ -1,10 +1,12 @@
 """Order MinHash fingerprints of documents, in DataFrame functions only.
 
-A text is a sequence of units: up to four characters of a word, which keeps scripts without spaces apart. Each
+A text is a sequence of units: up to four characters of a word, single characters of scripts that are written
+without spaces, and single signs that part addresses. Units start anew at white space and behind such characters. Each
 window of ``k`` units is a k-mer, numbered by how often it has occurred before. Of all numbered k-mers the
 ``chosen`` smallest by hash are kept in text order, and every ``tuple`` of neighbours among them is hashed.
 The sorted hashes are the fingerprint. Two fingerprints are as alike as the share of hashes they have in
-common: moved passages break tuples at their edges only, edits cost what they touch.
+common: moved passages break tuples at their edges only, edits cost what they touch and the rest of a word
+behind them, which is long only in unbroken runs of letters or digits.
 """
 
 from __future__ import annotations
@@ -28,6 +30,16 @@ _POSITION = 30
 """Bits for the position of a k-mer; a text in a row has fewer units than that allows."""
 
 
+_UNSPACED = "".join(
+    r"\p{Is%s}" % script
+    for script in (
+        "Han Hiragana Katakana Bopomofo Yi Thai Lao Khmer Myanmar Tibetan Tai_Le New_Tai_Lue Tai_Tham Tai_Viet Javanese Balinese"
+    ).split()
+)
+_PARTING = "/?&=#%+_;:-"
+_UNITS = rf"[{_UNSPACED}{_PARTING}]|[^\s\p{{Z}}{_UNSPACED}{_PARTING}]{{1,4}}"
+
+
 def _steps(df: DataFrame, text: str, p: Params) -> DataFrame:
     """Add ``_kept``: the chosen numbered k-mers of ``text`` in text order.
 
@@ -45,7 +57,7 @@ def _steps(df: DataFrame, text: str, p: Params) -> DataFrame:
     packed = f"shiftleft(shiftrightunsigned(xxhash64(x), {_POSITION + 1}), {_POSITION}) | i"
     chosen = f"filter(zip_with(_sorted, _numbered, (x, h) -> struct(x & {mask} AS at, h AS h)), e -> e.h <= _most)"
     steps = {
-        "_units": rf"regexp_extract_all({text}, '\\S{{1,4}}', 0)",
+        "_units": "regexp_extract_all({}, '{}', 0)".format(text, _UNITS.replace("\\", "\\\\")),
         # a text with fewer units than a k-mer is one k-mer
         "_count": f"if(size(_units) = 0, 0, greatest(size(_units) - {p.k - 1}, 1))",
         "_packed": f"transform(slice({windows}, 1, _count), (x, i) -> {packed})",

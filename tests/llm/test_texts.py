@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -388,3 +389,29 @@ def test_values_next_to_words_and_numbers_are_found(spark, value):
             assert (word in new) == (word in text)
         if "-01-01" in text:
             date.fromisoformat(new[-10:])
+
+
+UNSPACED = {"Han": (0x4E00, 5000), "Hiragana": (0x3041, 80), "Thai": (0x0E01, 40)}
+
+
+def unspaced(script):
+    first, n = UNSPACED[script]
+    at = random.Random(7)
+    return "".join(chr(first + at.randrange(n)) for _ in range(2000))
+
+
+@pytest.mark.parametrize("kind", [*UNSPACED, "address"])
+def test_one_inserted_character_costs_little_without_spaces(spark, kind):
+    at = random.Random(3)
+    text = "https://a.b/" + "/".join(f"{at.randrange(10**5)}?k={at.randrange(10**4)}" for _ in range(300)) if kind == "address" else unspaced(kind)
+    new = "x" if kind == "address" else text[777]
+    pairs = [(text, text[:i] + new + text[i:]) for i in (0, 1000)] + [(text, text[:1000] + text[1001:])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "fa"), "b", "fb")
+    assert min(r["n"] for r in df.select(fingerprint.likeness("fa", "fb").alias("n")).collect()) > 0.8
+
+
+def test_ideographic_space_parts_words(spark):
+    df = spark.createDataFrame([(0, "ab cd"), (1, "ab\u3000cd"), (2, "\u3000")], "i long, text string")
+    one, two, blank = (r["p"] for r in fingerprint.with_fingerprint(df, "text", "p").orderBy("i").collect())
+    assert one == two and blank == ""
