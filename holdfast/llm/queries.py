@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, chat, cover_tree, fingerprint, lang_id, minhash_dedup, packing, pii, token_counts, toxicity, warc
+from holdfast.llm import bpe, chat, cover_tree, fingerprint, lang_id, minhash_dedup, packing, pii, prefix_trie, token_counts, toxicity, warc
 from holdfast.llm.frames import ship_package
 from holdfast.session import materialise
 
@@ -105,6 +105,12 @@ def op10_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared or single beginning of the conversations, after each took over the head of its block of 20."""
+    turns, convs = prefix_trie.spliced(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(turns, convs).drop("d1", "d2")
+
+
 def op13_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learnt from confirmed toxic texts and unlabelled ones that are not held out."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -123,6 +129,7 @@ QUERIES: dict[str, Query] = {
         op8_order_minhash_fingerprints,
         op9_packing,
         op10_cover_tree_near_dedup,
+        op11_prefix_trie,
         op13_pu_toxicity,
     )
 }
