@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, chat, cover_tree, fingerprint, lang_id, minhash_dedup, packing, pii, prefix_trie, token_counts, toxicity, warc
+from holdfast.llm import bpe, chat, cover_tree, fingerprint, hard_negatives, lang_id, minhash_dedup, packing, pii, prefix_trie, token_counts, toxicity, warc
 from holdfast.llm.frames import ship_package
 from holdfast.session import materialise
 
@@ -111,6 +111,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(turns, convs).drop("d1", "d2")
 
 
+def op12_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score close below the best rows of an anchor's own label."""
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull() & hard_negatives.finite("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), hard_negatives.quantised("embedding").alias("vector"))
+    return hard_negatives.mine(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def op13_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learnt from confirmed toxic texts and unlabelled ones that are not held out."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -130,7 +138,69 @@ QUERIES: dict[str, Query] = {
         op9_packing,
         op10_cover_tree_near_dedup,
         op11_prefix_trie,
+        op12_bond_hard_negatives,
         op13_pu_toxicity,
     )
 }
-ORACLE: dict[str, str] = {}
+_OP12_SQL = """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label,
+         CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v)
+  WHERE a.vec_id % 50 = 0),
+positive AS (
+  SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positive p JOIN scored s
+  ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label
+  AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 3
+"""
+
+_OP11_SQL = r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS step
+  FROM conversations WHERE conv_id IS NOT NULL),
+listed AS (SELECT conv_id, list(step ORDER BY pos) AS steps FROM own GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, steps,
+         xor(list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+           lambda c, b: list_reduce(
+             list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])),
+             lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+  FROM listed),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.steps, [])[1:c.h], c.steps[c.h + 1:]) AS steps
+  FROM heads c LEFT JOIN listed b ON b.conv_id = c.conv_id - c.conv_id % 20),
+paths AS (
+  SELECT conv_id, len(steps) AS length, depth, steps[1:depth] AS node
+  FROM (SELECT *, unnest(range(len(steps) + 1)) AS depth FROM rebuilt)),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN length = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+         CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM paths GROUP BY node, depth),
+children AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+known AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (node, depth)),
+above AS (
+  SELECT node[1:top] AS node, top AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS top FROM known) GROUP BY ALL)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, a.n_leaves,
+       CAST(a.saved AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN above a USING (node, depth)
+LEFT JOIN known p ON p.depth = k.depth - 1 AND p.node = k.node[1:k.depth - 1]
+"""
+
+ORACLE: dict[str, str] = {"op11_prefix_trie": _OP11_SQL, "op12_bond_hard_negatives": _OP12_SQL}
