@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +52,16 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SHIPPED = "spark.holdfast.shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application."""
+    sc = spark.sparkContext
+    if spark.conf.get(_SHIPPED, "") != sc.applicationId:
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="holdfast-package-")  # the driver's own; Spark hands the file out
+        sc.addPyFile(shutil.make_archive(f"{folder}/holdfast", "zip", root, "holdfast"))
+        spark.conf.set(_SHIPPED, sc.applicationId)
