@@ -60,7 +60,11 @@ def additivity(rows: DataFrame, card: Scorecard = Scorecard(), tolerance: float
 
 
 def global_importance(rows: DataFrame, card: Scorecard = Scorecard()) -> DataFrame:
-    groups = contributions(rows, card).groupBy("feature").agg(
+    return importance_of(contributions(rows, card))
+
+
+def importance_of(long: DataFrame) -> DataFrame:
+    groups = long.groupBy("feature").agg(
         rounded(F.avg(F.abs("contribution")), 6).alias("mean_abs_contribution")
     )
     order = Window.orderBy(F.desc("mean_abs_contribution"), "feature")
@@ -69,8 +73,13 @@ def global_importance(rows: DataFrame, card: Scorecard = Scorecard()) -> DataFra
 
 def direction(rows: DataFrame, card: Scorecard = Scorecard()) -> DataFrame:
     """How consistently each feature pushes the score up or down."""
+    return direction_of(contributions(rows, card), medians(rows, list(card.weights)))
+
+
+def direction_of(long: DataFrame, middle: DataFrame) -> DataFrame:
+    """``middle`` has one row (feature, median) for each feature."""
     x = F.col("contribution")
-    groups = contributions(rows, card).groupBy("feature").agg(
+    groups = long.groupBy("feature").agg(
         F.avg(x).alias("mean"),
         F.avg(F.abs(x)).alias("size"),
         F.count_if(x > 0).alias("up"),
@@ -92,7 +101,6 @@ def direction(rows: DataFrame, card: Scorecard = Scorecard()) -> DataFrame:
         .when(F.col("mean") < -1e-12, "Negative average contribution")
         .otherwise("Near-neutral average contribution")
     )
-    middle = medians(rows, list(card.weights))
     return groups.join(F.broadcast(middle), "feature").select(
         "feature",
         rounded("mean", 6).alias("mean_contribution"),
@@ -124,7 +132,10 @@ def top_drivers(rows: DataFrame, card: Scorecard = Scorecard(), k: int = TOP_DRI
     for c, w in card.weights.items():
         x = rounded(F.expr(f"({w}D) * ({c} - _b_{c})"), 6)
         terms.append(F.struct((-F.abs(x)).alias("size"), F.lit(c).alias("feature"), x.alias("contribution")))
-    sorted_ = joined.select("id", F.array_sort(F.array(*terms)).alias("_d"))
+    return _slots(joined.select("id", F.array_sort(F.array(*terms)).alias("_d")), k)
+
+
+def _slots(sorted_: DataFrame, k: int) -> DataFrame:
     sides = sorted_.select("id", *[F.expr(f"filter(_d, e -> e.contribution {op} 0)").alias(side) for side, op in SIDES.items()])
     slots = []
     for side in SIDES:
@@ -146,7 +157,19 @@ def top_risk_profiles(rows: DataFrame, card: Scorecard = Scorecard(), k: int = T
         f"struct('{c}' AS feature, {c} AS value, ({w}D) * ({c} - _b_{c}) AS contribution)"
         for c, w in card.weights.items()
     )
-    ranked = _ranked_drivers(joined.selectExpr("id", "score", f"inline(array({entries}))"))
+    return risk_profiles_of(joined.selectExpr("id", "score", f"inline(array({entries}))"))
+
+
+def drivers_of(long: DataFrame, k: int = TOP_DRIVERS) -> DataFrame:
+    """``top_drivers`` of a long table; one group of as many rows as features for each customer."""
+    x = rounded("contribution", 6)
+    entry = F.struct((-F.abs(x)).alias("size"), "feature", x.alias("contribution"))
+    return _slots(long.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_d")), k)
+
+
+def risk_profiles_of(long: DataFrame) -> DataFrame:
+    """Drivers of the customers of a long table written out."""
+    ranked = _ranked_drivers(long)
     text = F.concat_ws("", F.col("place").cast("string"), F.lit(". "), F.col("feature"))
     ranked = ranked.filter(F.col("place") <= TOP_DRIVERS).withColumn("text", text)
 

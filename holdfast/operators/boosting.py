@@ -312,13 +312,19 @@ def _opened(batch: pa.RecordBatch | pa.Table, width: int) -> list[tuple[np.ndarr
     return out
 
 
-RESULT = "fit int, tree int, node int, feature int, cut int, left int, value double, cover double, id long, label int, fold int, margin double"
+RESULT = "fit int, tree int, node int, feature int, cut int, left int, value double, cover double, threshold double, id long, label int, fold int, margin double"
 """Nodes (tree 0 is the start value) and, with a null tree, the margin of every row."""
 
 
-def _result(fit: int, start: float, trees: list[dict], parts: list[tuple]) -> pa.Table:
+def _thresholds(tree: dict[str, np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
+    """The number that each split compares with; not a number in a leaf."""
+    return np.array([edges[f][c] if f >= 0 else np.nan for f, c in zip(tree["feature"], tree["cut"])])
+
+
+def _result(fit: int, start: float, trees: list[dict], parts: list[tuple], edges: list[np.ndarray]) -> pa.Table:
     ints, doubles = pa.int32(), pa.float64()
     nodes = [{"feature": np.array([-1]), "cut": np.array([0]), "left": np.array([-1]), "value": np.array([start]), "cover": np.array([0.0])}, *trees]
+    nodes = [t | {"threshold": _thresholds(t, edges)} for t in nodes]
     sizes = [len(t["value"]) for t in nodes]
     ids, label, fold, margin = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4))
     n, m = sum(sizes), len(ids)
@@ -330,7 +336,7 @@ def _result(fit: int, start: float, trees: list[dict], parts: list[tuple]) -> pa
             "tree": pa.concat_arrays([pa.array(np.repeat(np.arange(len(nodes)), sizes), ints, safe=False), pa.nulls(m, ints)]),
             "node": pa.concat_arrays([pa.array(np.concatenate([np.arange(s) for s in sizes]), ints, safe=False), pa.nulls(m, ints)]),
             **{k: one(k, ints) for k in ("feature", "cut", "left")},
-            **{k: one(k, doubles) for k in ("value", "cover")},
+            **{k: one(k, doubles) for k in ("value", "cover", "threshold")},
             "id": two(ids, pa.int64()),
             "label": two(label, ints),
             "fold": two(fold, ints),
@@ -343,8 +349,9 @@ def _seen(fold: np.ndarray, fit: Fit) -> np.ndarray:
     return (fold > 0) & (fold != fit.without)
 
 
-def _fit_in_tasks(stored: DataFrame, fits: list[Fit], width: int, bins: int) -> DataFrame:
+def _fit_in_tasks(stored: DataFrame, fits: list[Fit], edges: list[np.ndarray], bins: int) -> DataFrame:
     """One task for each fit; the matrix is small enough for one, which the caller has checked."""
+    width = len(edges)
 
     def run(group: pa.Table) -> pa.Table:
         number = group.column("fit")[0].as_py()
@@ -354,15 +361,15 @@ def _fit_in_tasks(stored: DataFrame, fits: list[Fit], width: int, bins: int) ->
         order = np.argsort(ids, kind="stable")
         ids, label, fold, x = ids[order], label[order], fold[order], np.ascontiguousarray(x[order])
         start, trees, margin = boost(x, label, ids, _seen(fold, fit), fit.params, bins)
-        return _result(number, start, trees, [(ids, label, fold, margin)])
+        return _result(number, start, trees, [(ids, label, fold, margin)], edges)
 
     each = stored.withColumn("fit", F.explode(F.sequence(F.lit(0), F.lit(len(fits) - 1))))
     return each.repartition(max(len(fits), 2), "fit").groupBy("fit").applyInArrow(run, RESULT)
 
 
-def _fit_in_rounds(stored: DataFrame, fits: list[Fit], first: int, width: int, bins: int) -> DataFrame:
+def _fit_in_rounds(stored: DataFrame, fits: list[Fit], first: int, edges: list[np.ndarray], bins: int) -> DataFrame:
     """All fits of a chunk together, one job for each round of growth."""
-    spark = stored.sparkSession
+    spark, width = stored.sparkSession, len(edges)
     counts = stored.sparkSession.sparkContext.broadcast(fits)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,10 +427,10 @@ def _fit_in_rounds(stored: DataFrame, fits: list[Fit], first: int, width: int, b
             for (ids, label, fold, _), held in zip(_opened(batch, width), batch.column(5).to_pylist()):
                 margin = np.frombuffer(held, np.float64).reshape(-1, len(ids))
                 for k in range(len(margin)):
-                    table = _result(first + k, 0.0, [], [(ids, label, fold, margin[k])])
+                    table = _result(first + k, 0.0, [], [(ids, label, fold, margin[k])], edges)
                     yield from table.slice(1).to_batches()
 
-    nodes = pa.concat_tables([_result(first + k, starts[k], trees[k], []) for k in range(len(fits))])
+    nodes = pa.concat_tables([_result(first + k, starts[k], trees[k], [], edges) for k in range(len(fits))])
     # trees x leaves rows of a model, which its settings bound
     return spark.createDataFrame(nodes, RESULT).union(state.mapInArrow(scores, RESULT))
 
@@ -491,7 +498,7 @@ class Boosted:
     table: DataFrame
 
     def nodes(self) -> DataFrame:
-        return self.table.filter("tree IS NOT NULL").drop("id", "label", "fold", "margin")
+        return self.table.filter("tree IS NOT NULL").drop("id", "label", "fold", "margin").withColumn("threshold", F.nanvl("threshold", F.lit(None).cast("double")))
 
     def scores(self) -> DataFrame:
         """(model, without, id, label, fold, score) of every row under every fit."""
@@ -514,10 +521,10 @@ def fit_models(matrix: DataFrame, columns: list[str], fits: list[Fit], bins: int
     used = max((len(e) + 1 for e in edges), default=1)
     rows = stored.agg(F.sum("n")).first()[0] or 0
     if rows * len(columns) <= task_cells:
-        table = _fit_in_tasks(stored, fits, len(columns), used)
+        table = _fit_in_tasks(stored, fits, edges, used)
     else:
         wide = stored.repartition(shuffle_width(stored.sparkSession))
-        parts = [_fit_in_rounds(wide, fits[i : i + FITS_AT_ONCE], i, len(columns), used) for i in range(0, len(fits), FITS_AT_ONCE)]
+        parts = [_fit_in_rounds(wide, fits[i : i + FITS_AT_ONCE], i, edges, used) for i in range(0, len(fits), FITS_AT_ONCE)]
         table = parts[0]
         for part in parts[1:]:
             table = table.union(part)

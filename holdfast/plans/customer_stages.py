@@ -25,6 +25,7 @@ from holdfast.operators import (
     thresholds,
 )
 from holdfast.operators.scoring import PRIMARY_THRESHOLD, scored
+from holdfast.plans import trained
 from holdfast.session import materialise
 
 FIXTURE_PRECISION = 0.40
@@ -33,18 +34,18 @@ DRIFT_FEATURES = ["aon", "arpu_8", "total_rech_amt_8", "total_rech_num_8", "tota
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
 
 
-def development(panel: DataFrame, name: str = splitting.DEVELOPMENT) -> DataFrame:
-    return splitting.with_split(scored(panel)).filter(f"split = '{name}'")
+def of_split(scores: DataFrame, name: str) -> DataFrame:
+    return splitting.with_split(scores).filter(f"split = '{name}'")
 
 
-def confirmation(panel: DataFrame) -> DataFrame:
+def confirmation(scores: DataFrame) -> DataFrame:
     """Operating points chosen on development customers, confirmed on validation customers."""
-    dev = materialise(development(panel))
+    dev = materialise(of_split(scores, splitting.DEVELOPMENT))
     primary = thresholds.primary_threshold(thresholds.threshold_sweep(dev), precision=FIXTURE_PRECISION)
     points = primary.select(F.lit("Primary_threshold").alias("operating_point"), "threshold").unionByName(
         thresholds.capacity_threshold(dev).select(F.lit("Capacity_10_percent_threshold").alias("operating_point"), "threshold")
     )
-    return thresholds.confirm_on(development(panel, splitting.VALIDATION), points)
+    return thresholds.confirm_on(of_split(scores, splitting.VALIDATION), points)
 
 
 def drift(panel: DataFrame) -> DataFrame:
@@ -71,12 +72,8 @@ def batch_scores(panel: DataFrame) -> DataFrame:
     return scoring.batch_score(panel, medians=medians)
 
 
-def split_scores(panel: DataFrame) -> DataFrame:
-    return splitting.with_split(scored(panel))
-
-
-def grid(panel: DataFrame) -> DataFrame:
-    return materialise(retention.sensitivity_rows(scored(panel)))
+def grid(scores: DataFrame) -> DataFrame:
+    return materialise(retention.sensitivity_rows(scores))
 
 
 def value_ranks(panel: DataFrame) -> DataFrame:
@@ -107,61 +104,69 @@ def banded(panel: DataFrame) -> DataFrame:
     )
 
 
+ON_SCORES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "m01_confusion_metrics": lambda s: metrics.confusion(s),
+    "m02_rank_metrics": lambda s: metrics.rank_metrics(s),
+    "m03_topk_capture_lift": lambda s: metrics.top_share_metrics(s),
+    "m04_curves": lambda s: metrics.curves(s),
+    "c03_ece": lambda s: metrics.calibration_error(s),
+    "c04_reliability_curve": lambda s: metrics.reliability(s),
+    "t01_threshold_sweep": lambda s: thresholds.threshold_sweep(s),
+    "t02_cost_scenarios": lambda s: thresholds.cost_scenarios(s),
+    "t03_capacity": lambda s: thresholds.capacity_table(s),
+    "t04_primary_threshold": lambda s: thresholds.primary_threshold(
+        thresholds.threshold_sweep(s), precision=FIXTURE_PRECISION
+    ),
+    "t05_capacity_threshold": lambda s: thresholds.capacity_threshold(s),
+    "t06_validation_confirm": confirmation,
+    "t07_risk_bands": lambda s: thresholds.band_summary(s),
+    "r01_risk_level": lambda s: s.select(
+        "id", "score", scoring.risk_level(F.col("score")).alias("risk_level")
+    ),
+    "r02_risk_table": lambda s: risk.risk_table(s),
+    "r03_risk_distribution": lambda s: risk.risk_distribution(s),
+    "r04_risk_gate": lambda s: risk.risk_gate(risk.risk_table(s)),
+    "r05_top_risk": lambda s: risk.top_risk(s),
+    "r07_intervention_tiers": lambda s: risk.intervention_tiers(s),
+    "v01_value_table": lambda s: exposure.shown_value_table(s),
+    "v02_value_summary": lambda s: exposure.value_summary(s),
+    "v03_exposure_by_risk": lambda s: exposure.exposure_by_risk(s),
+    "v04_exposure_by_tier": lambda s: exposure.exposure_by_tier(s),
+    "v05_risk_value_matrix": lambda s: exposure.risk_value_matrix(s),
+    "v06_concentration": lambda s: exposure.concentration(s),
+    "v07_top_exposure": lambda s: exposure.top_exposure(s),
+    "v08_value_gate": lambda s: exposure.value_gate(exposure.value_table(s)),
+    "v09_customer_value_lookup": lambda s: exposure.record_checks(s),
+    "e01_scenario_economics": lambda s: retention.scenario_economics(s),
+    "e01_scenario_economics_by_risk": lambda s: retention.scenario_economics(s, by_risk=True),
+    "e02_targeting_cohorts": lambda s: retention.targeting_cohorts(s),
+    "e03_cohort_overlap": lambda s: retention.cohort_overlap(s),
+    "e04_cohort_assignment": lambda s: retention.cohort_assignment(s),
+    "e04_cohort_counts": lambda s: retention.cohort_counts(s),
+    "e05_cohort_economics": lambda s: retention.cohort_economics(s),
+    "e06_sensitivity_grid": lambda s: retention.sensitivity_grid(s),
+    "e07_monotonicity_checks": lambda s: retention.monotonicity(grid(s)),
+    "e08_break_even_summary": lambda s: retention.break_even_summary(grid(s)),
+    "e09_robustness_summary": lambda s: retention.robustness_summary(grid(s)),
+    "e10_sensitivity_summary": lambda s: retention.sensitivity_summary(grid(s)),
+    "e12_cohort_gate": lambda s: retention.cohort_gate(s),
+    "e12_economics_gate": lambda s: retention.economics_gate(retention.cohort_economics(s)),
+    "e12_sensitivity_gate": lambda s: retention.sensitivity_gate(grid(s)),
+    "d02_score_monitor": lambda s: monitoring.score_monitor(splitting.with_split(s), "split"),
+}
+"""Reports of (id, label, score, arpu_8, value)."""
+
 STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "g01_global_rank": value_ranks,
     "g02_avg_rank_pct": value_percentiles,
     "g03_band": banded,
     "f02_stratified_split": lambda p: splitting.split_summary(p),
     "m08_stratified_kfold": lambda p: splitting.with_fold(p.select("id", "label")),
-    "m01_confusion_metrics": lambda p: metrics.confusion(scored(p)),
-    "m02_rank_metrics": lambda p: metrics.rank_metrics(scored(p)),
-    "m03_topk_capture_lift": lambda p: metrics.top_share_metrics(scored(p)),
-    "m04_curves": lambda p: metrics.curves(scored(p)),
-    "c03_ece": lambda p: metrics.calibration_error(scored(p)),
-    "c04_reliability_curve": lambda p: metrics.reliability(scored(p)),
-    "t01_threshold_sweep": lambda p: thresholds.threshold_sweep(scored(p)),
-    "t02_cost_scenarios": lambda p: thresholds.cost_scenarios(scored(p)),
-    "t03_capacity": lambda p: thresholds.capacity_table(scored(p)),
-    "t04_primary_threshold": lambda p: thresholds.primary_threshold(
-        thresholds.threshold_sweep(scored(p)), precision=FIXTURE_PRECISION
-    ),
-    "t05_capacity_threshold": lambda p: thresholds.capacity_threshold(scored(p)),
-    "t06_validation_confirm": confirmation,
-    "t07_risk_bands": lambda p: thresholds.band_summary(scored(p)),
-    "r01_risk_level": lambda p: scored(p).select(
-        "id", "score", scoring.risk_level(F.col("score")).alias("risk_level")
-    ),
-    "r02_risk_table": lambda p: risk.risk_table(scored(p)),
-    "r03_risk_distribution": lambda p: risk.risk_distribution(scored(p)),
-    "r04_risk_gate": lambda p: risk.risk_gate(risk.risk_table(scored(p))),
-    "r05_top_risk": lambda p: risk.top_risk(scored(p)),
     "r06_batch_score": batch_scores,
-    "r07_intervention_tiers": lambda p: risk.intervention_tiers(scored(p)),
-    "v01_value_table": lambda p: exposure.shown_value_table(scored(p)),
-    "v02_value_summary": lambda p: exposure.value_summary(scored(p)),
-    "v03_exposure_by_risk": lambda p: exposure.exposure_by_risk(scored(p)),
-    "v04_exposure_by_tier": lambda p: exposure.exposure_by_tier(scored(p)),
-    "v05_risk_value_matrix": lambda p: exposure.risk_value_matrix(scored(p)),
-    "v06_concentration": lambda p: exposure.concentration(scored(p)),
-    "v07_top_exposure": lambda p: exposure.top_exposure(scored(p)),
-    "v08_value_gate": lambda p: exposure.value_gate(exposure.value_table(scored(p))),
-    "v09_customer_value_lookup": lambda p: exposure.record_checks(scored(p)),
-    "e01_scenario_economics": lambda p: retention.scenario_economics(scored(p)),
-    "e01_scenario_economics_by_risk": lambda p: retention.scenario_economics(scored(p), by_risk=True),
-    "e02_targeting_cohorts": lambda p: retention.targeting_cohorts(scored(p)),
-    "e03_cohort_overlap": lambda p: retention.cohort_overlap(scored(p)),
-    "e04_cohort_assignment": lambda p: retention.cohort_assignment(scored(p)),
-    "e04_cohort_counts": lambda p: retention.cohort_counts(scored(p)),
-    "e05_cohort_economics": lambda p: retention.cohort_economics(scored(p)),
-    "e06_sensitivity_grid": lambda p: retention.sensitivity_grid(scored(p)),
-    "e07_monotonicity_checks": lambda p: retention.monotonicity(grid(p)),
-    "e08_break_even_summary": lambda p: retention.break_even_summary(grid(p)),
-    "e09_robustness_summary": lambda p: retention.robustness_summary(grid(p)),
-    "e10_sensitivity_summary": lambda p: retention.sensitivity_summary(grid(p)),
-    "e12_cohort_gate": lambda p: retention.cohort_gate(scored(p)),
-    "e12_economics_gate": lambda p: retention.economics_gate(retention.cohort_economics(scored(p))),
-    "e12_sensitivity_gate": lambda p: retention.sensitivity_gate(grid(p)),
     "d01_drift_monitor": drift,
     "d01_drift_monitor_all": drift_of_all,
-    "d02_score_monitor": lambda p: monitoring.score_monitor(split_scores(p), "split"),
+    "r06_batch_score_trained": trained.batch_scores,
 }
+# on the transparent card, which SQL can repeat, and on out-of-fold and validation scores of the trained model
+STAGES |= {name: (lambda p, report=report: report(scored(p))) for name, report in ON_SCORES.items()}
+STAGES |= {f"{name}_trained": trained.on_trained(report) for name, report in ON_SCORES.items()}

@@ -20,40 +20,12 @@ from holdfast.operators import (
     splitting,
 )
 from holdfast.operators.modelling import MODEL_FEATURES, TreeParams
-from holdfast.operators.scoring import Scorecard, Sigmoid, scored, with_score
+from holdfast.operators.scoring import Scorecard, scored, with_score
+from holdfast.plans import trained
 from holdfast.session import materialise
 from holdfast.sources.contract import contract_checks
 from holdfast.sources.panel import FIXTURE_CALENDAR
 
-# Candidate settings of the two tree families.
-TUNING_GRID: dict[str, dict[str, TreeParams]] = {
-    "HistGradientBoosting": {
-        "HGB_00_BASELINE": TreeParams(100, 0.10, 5, 20),
-        "HGB_01_SLOWER_MORE_TREES": TreeParams(200, 0.05, 5, 20),
-        "HGB_02_MODERATE_MORE_TREES": TreeParams(150, 0.08, 5, 20),
-        "HGB_03_MORE_TREES": TreeParams(150, 0.10, 5, 20),
-        "HGB_04_MORE_COMPLEX": TreeParams(150, 0.08, 6, 20),
-        "HGB_05_REGULARIZED": TreeParams(150, 0.08, 5, 25),
-        "HGB_06_LARGER_LEAF": TreeParams(150, 0.08, 5, 40),
-        "HGB_07_SHALLOWER": TreeParams(150, 0.08, 4, 20),
-        "HGB_08_SLOWER_COMPLEX": TreeParams(200, 0.05, 6, 25),
-        "HGB_09_STRONG_REGULARIZATION": TreeParams(150, 0.08, 5, 30),
-    },
-    "XGBoost": {
-        "XGB_00_BASELINE": TreeParams(100, 0.10, 6, 1),
-        "XGB_01_MORE_TREES": TreeParams(150, 0.08, 6, 1),
-        "XGB_02_SLOWER_MORE_TREES": TreeParams(200, 0.05, 6, 1, 0.9, "0.9"),
-        "XGB_03_SHALLOWER": TreeParams(150, 0.08, 4, 1),
-        "XGB_04_DEEPER": TreeParams(150, 0.08, 8, 1, 0.9, "0.9"),
-        "XGB_05_MIN_CHILD": TreeParams(150, 0.08, 6, 3, 0.9, "0.9"),
-        "XGB_06_SUBSAMPLED": TreeParams(150, 0.08, 6, 1, 0.8, "0.8"),
-        "XGB_07_REGULARIZED": TreeParams(150, 0.08, 6, 3, 0.9, "0.9"),
-        "XGB_08_STRONG_REGULARIZATION": TreeParams(200, 0.05, 5, 3, 0.9, "0.9"),
-        "XGB_09_BALANCED": TreeParams(200, 0.05, 6, 5, 0.9, "0.9"),
-    },
-}
-BASELINES = {"HistGradientBoosting": "HGB_00_BASELINE", "XGBoost": "XGB_00_BASELINE"}
-
 CARDS = {
     "Blend card": Scorecard(),
     "Recharge card": Scorecard(0.6, {"total_rech_num_8": -0.6, "total_rech_num_7": -0.3}),
@@ -229,8 +201,6 @@ def stability(panel: DataFrame) -> DataFrame:
     return selection.univariate_stability(matrix, SCREENED)
 
 
-FINAL_TREES = TUNING_GRID["XGBoost"]["XGB_02_SLOWER_MORE_TREES"]
-"""The published final candidate."""
 SELECTION_TREES = TreeParams(iterations=20, step=0.1, depth=5, leaf=20)
 MI_TOP = 100
 """Features that stay candidates whatever their information."""
@@ -327,68 +297,6 @@ def trained_logistic(panel: DataFrame) -> DataFrame:
     return modelling.coefficients(model, MODEL_FEATURES, matrix)
 
 
-def estimators(rows: int) -> dict:
-    return {
-        "Logistic Regression": modelling.logistic(MODEL_FEATURES, rows),
-        **{
-            family: modelling.boosted_trees(MODEL_FEATURES, TUNING_GRID[family][name])
-            for family, name in BASELINES.items()
-        },
-    }
-
-
-def trained_holdout(panel: DataFrame) -> DataFrame:
-    matrix = modelling.model_matrix(panel)
-    scores = modelling.holdout_scores(matrix, estimators(matrix.filter("fold IS NOT NULL").count()))
-    return evaluation.fold_results(scores, ("model",))
-
-
-CANDIDATES_AT_ONCE = 4
-
-
-def trained_cross_validation(panel: DataFrame) -> DataFrame:
-    matrix = modelling.model_matrix(panel)
-    cv = modelling.cross_validate(matrix, estimators(matrix.filter("fold IS NOT NULL").count()))
-    return evaluation.fold_results(cv.held_out)
-
-
-def trained_folds(panel: DataFrame) -> DataFrame:
-    return materialise(trained_cross_validation(panel))
-
-
-TRAINED_PAIRS = list(combinations(("Logistic Regression", *BASELINES), 2))
-
-
-def trained_comparison(panel: DataFrame) -> DataFrame:
-    """Validation results of the trained models next to their out-of-fold ones."""
-    return evaluation.holdout_comparison(materialise(trained_holdout(panel)), evaluation.model_summary(trained_folds(panel)))
-
-
-def tune(
-    matrix: DataFrame, grid: dict[str, dict[str, TreeParams]], folds: int, columns: tuple[str, ...] = MODEL_FEATURES
-) -> DataFrame:
-    """Every candidate of every family, cross-validated and ranked inside its family."""
-    families = {name: family for family, members in grid.items() for name in members}
-    candidates = [(name, params) for members in grid.values() for name, params in members.items()]
-    held_out, training = [], []
-    for i in range(0, len(candidates), CANDIDATES_AT_ONCE):
-        # metrics are stored per chunk, so the plan does not grow with the grid
-        chunk = candidates[i : i + CANDIDATES_AT_ONCE]
-        cv = modelling.cross_validate(
-            matrix, {name: modelling.boosted_trees(columns, params) for name, params in chunk}, folds
-        )
-        held_out.append(materialise(evaluation.fold_results(cv.held_out)))
-        training.append(materialise(evaluation.fold_results(cv.training)))
-    return evaluation.tuning_table(
-        modelling.union_all(held_out), modelling.union_all(training), families, BASELINES
-    )
-
-
-def tuning(panel: DataFrame) -> DataFrame:
-    """The search over all published candidates, each fitted on every fold."""
-    return tune(modelling.model_matrix(panel), TUNING_GRID, splitting.FOLDS)
-
-
 def calibration_scores(panel: DataFrame) -> DataFrame:
     rows = splitting.with_fold(scored(panel).select("id", "label", "score"))
     return materialise(rows)
@@ -405,12 +313,6 @@ def fitted_isotonic(panel: DataFrame) -> DataFrame:
     return calibration.fit_isotonic(rows)(rows).select("id", rounded("score", 6).alias("score"))
 
 
-def development_sigmoid(panel: DataFrame) -> Sigmoid:
-    """The sigmoid fitted on development rows alone."""
-    dev = splitting.with_split(scored(panel)).filter(F.col("split") == splitting.DEVELOPMENT)
-    return calibration.fit_sigmoid(materialise(dev.select("id", "label", "score")))
-
-
 def slope_table(panel: DataFrame) -> DataFrame:
     rows = calibration_scores(panel)
     slope, intercept = calibration.slope_intercept(rows)
@@ -421,28 +323,16 @@ def slope_table(panel: DataFrame) -> DataFrame:
     )
 
 
-def final_fit(panel: DataFrame) -> DataFrame:
-    """Refit on all development rows, save, load, and compare the scores of both copies."""
-    from uuid import uuid4
+TRAINED_PAIRS = list(combinations((trained.LOGISTIC, *trained.BASELINES), 2))
 
-    from pyspark.ml import PipelineModel
 
-    from holdfast.session import ensure_checkpoint_dir
+def trained_folds(panel: DataFrame) -> DataFrame:
+    return materialise(trained.fold_results(panel))
 
-    matrix = modelling.model_matrix(panel)
-    ensure_checkpoint_dir(matrix.sparkSession)
-    shared = matrix.sparkSession.sparkContext.getCheckpointDir()
-    path = f"{shared}/model-{uuid4().hex}"
-    dev = matrix.filter("fold IS NOT NULL")
-    model = modelling.boosted_trees(MODEL_FEATURES, FINAL_TREES).fit(dev)
-    model.write().save(path)
-    again = PipelineModel.load(path)
-    first = modelling.predict(model, matrix, "fitted").select("id", F.col("score").alias("a"))
-    second = modelling.predict(again, matrix, "loaded").select("id", F.col("score").alias("b"))
-    return first.join(second, "id").agg(
-        F.count(F.lit(1)).alias("customers"),
-        F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-12).alias("differing_scores"),
-    )
+
+def raw_scores(panel: DataFrame) -> DataFrame:
+    """Scores of the final model before calibration."""
+    return trained.final_scores(panel).withColumnRenamed("raw", "score")
 
 
 STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -488,22 +378,22 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m00_foundation_audit": lambda p: modelling.audit(modelling.model_matrix(p)),
     "m05_dummy_baselines": dummy_baselines,
     "m06_logistic": trained_logistic,
-    "m07_tree_boosting": trained_holdout,
+    "m07_tree_boosting": trained.holdout_results,
     "m09_cv_oof": card_folds,
-    "m09_cv_oof_trained": trained_cross_validation,
+    "m09_cv_oof_trained": trained.fold_results,
     "m10_cv_summary": lambda p: evaluation.model_summary(card_folds(p)),
     "m10_fold_ranking": lambda p: evaluation.fold_ranking(card_folds(p)),
     "m11_pairwise_models": lambda p: evaluation.pairwise_models(card_folds(p), PAIRS),
-    "m12_tuning_grid": tuning,
-    "m13_tuning_selection": lambda p: evaluation.tuning_selection(tuning(p)),
+    "m12_tuning_grid": trained.tune,
+    "m13_tuning_selection": lambda p: evaluation.tuning_selection(trained.tune(p)),
     "m14_holdout_compare": card_comparison,
     "m15_final_selection": lambda p: evaluation.final_model(card_comparison(p)),
     "m10_cv_summary_trained": lambda p: evaluation.model_summary(trained_folds(p)),
     "m10_fold_ranking_trained": lambda p: evaluation.fold_ranking(trained_folds(p)),
     "m11_pairwise_models_trained": lambda p: evaluation.pairwise_models(trained_folds(p), TRAINED_PAIRS),
-    "m14_holdout_compare_trained": trained_comparison,
-    "m15_final_selection_trained": lambda p: evaluation.final_model(trained_comparison(p)),
-    "m16_final_fit_save": final_fit,
+    "m14_holdout_compare_trained": trained.comparison,
+    "m15_final_selection_trained": lambda p: evaluation.final_model(trained.comparison(p)),
+    "m16_final_fit_save": trained.save_and_compare,
     "m17_schema_fingerprint": lambda p: modelling.fingerprint(p.select("id", "label", "aon", "arpu_8")),
     "m17_schema_fingerprint_all": modelling.fingerprint,
     "c01_sigmoid_calibrate": fitted_sigmoid,
@@ -514,9 +404,9 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "c08_validation_before_after": lambda p: calibration.before_after(
         splitting.with_split(scored(p)).filter(F.col("split") == splitting.VALIDATION)
     ),
-    "c07_rank_preservation_fitted": lambda p: calibration.rank_preservation(scored(p), development_sigmoid(p)),
+    "c07_rank_preservation_fitted": lambda p: calibration.rank_preservation(raw_scores(p), trained.final_sigmoid(p)),
     "c08_validation_before_after_fitted": lambda p: calibration.before_after(
-        splitting.with_split(scored(p)).filter(F.col("split") == splitting.VALIDATION), development_sigmoid(p)
+        raw_scores(p).filter(F.col("split") == splitting.VALIDATION), trained.final_sigmoid(p)
     ),
     "x01_attribution_long": lambda p: attribution.attribution_table(attribution.prepared(p)),
     "x01_additivity": lambda p: attribution.additivity(attribution.prepared(p)),
@@ -524,4 +414,4 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "x03_direction": lambda p: attribution.direction(attribution.prepared(p)),
     "x04_top_drivers": lambda p: attribution.top_drivers(attribution.prepared(p)),
     "x05_top_risk_profiles": lambda p: attribution.top_risk_profiles(attribution.prepared(p)),
-}
+} | trained.TREE_ATTRIBUTION

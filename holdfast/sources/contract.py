@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from holdfast.operators.gate import check_rows, unknown_label
-from holdfast.session import materialise
+from holdfast.sources.published import NotReconciled, publish
 
 SOURCE_LABEL = "churn_probability"
 """Name of the 0/1 outcome in raw files; called ``label`` from here on."""
@@ -76,16 +76,8 @@ def totals(df: DataFrame) -> DataFrame:
 def write_reconciled(
     df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    """Write a new table (never over an old one), read it back and compare rows, churners and ids."""
-    stored = materialise(df)
-    writer = stored.write.mode("errorifexists").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
-    back = df.sparkSession.read.schema(stored.schema).format(fmt)
-    back = (back.option("header", True) if fmt == "csv" else back).load(path)
-    if totals(stored).first() != totals(back).first():
-        raise ContractViolation(f"{path} does not hold what was written")
-    return back
+    """Publish a new table (never over an old one) once rows, churners and ids read back as written."""
+    try:
+        return publish(df, path, partition_by, fmt, measure=totals)
+    except NotReconciled as e:
+        raise ContractViolation(str(e)) from e
