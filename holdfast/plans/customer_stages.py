@@ -20,6 +20,7 @@ from holdfast.operators import (
     ranking,
     retention,
     risk,
+    sampling,
     scoring,
     splitting,
     thresholds,
@@ -160,6 +161,8 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "g01_global_rank": value_ranks,
     "g02_avg_rank_pct": value_percentiles,
     "g03_band": banded,
+    "g04_exact_sample": lambda p: sampling.exact_sample(p.select("id", "label"), 100, ["label"]),
+    "g04_exact_sample_share": lambda p: sampling.exact_sample(p.select("id", "label"), 0.1),
     "f02_stratified_split": lambda p: splitting.split_summary(p),
     "m08_stratified_kfold": lambda p: splitting.with_fold(p.select("id", "label")),
     "r06_batch_score": batch_scores,

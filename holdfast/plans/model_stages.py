@@ -16,6 +16,7 @@ from holdfast.operators import (
     features,
     missingness,
     modelling,
+    nearest_information,
     selection,
     splitting,
 )
@@ -196,6 +197,11 @@ def information(panel: DataFrame) -> DataFrame:
     return selection.binned_information(rows.filter(F.col("split") == splitting.DEVELOPMENT), SCREENED)
 
 
+def nearest(panel: DataFrame) -> DataFrame:
+    matrix = modelling.model_matrix(panel).filter("fold IS NOT NULL")
+    return nearest_information.nearest_information(matrix, SCREENED)
+
+
 def stability(panel: DataFrame) -> DataFrame:
     matrix = modelling.model_matrix(panel).filter("fold IS NOT NULL")
     return selection.univariate_stability(matrix, SCREENED)
@@ -371,6 +377,7 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "f33_indicator_redundancy": indicator_redundancy,
     "f33_indicator_redundancy_all": indicator_redundancy_of_all,
     "f34_mutual_information": information,
+    "f34_mutual_information_nearest": nearest,
     "f35_univariate_stability": stability,
     "f36_permutation_importance": importance,
     "f37_final_selection": selected,

@@ -491,6 +491,29 @@ MI = [
     " sum(n) OVER (PARTITION BY feature, label) AS nl FROM ce)",
     f"ci AS (SELECT feature, {r('sum(n / t * ln(n / (nb * nl / t)))')} AS mutual_information FROM cw GROUP BY feature)",
 ]
+def psi(x: str) -> str:
+    """digamma by six steps of the recurrence and the asymptotic series."""
+    y = f"({x} + 6e0)"
+    steps = " + ".join(f"1e0 / ({x} + {i}e0)" for i in range(6))
+    return f"(ln({y}) - 1e0 / (2e0 * {y}) - 1e0 / (12e0 * {y}**2) + 1e0 / (120e0 * {y}**4) - 1e0 / (252e0 * {y}**6) - ({steps}))"
+
+
+_SIDES = [f"{f}(v, {j}) OVER w" for f in ("lag", "lead") for j in (1, 2, 3)]
+NEAREST = [
+    *MATRIX,
+    "lg AS (" + union_rows([f"id, label, '{c}' AS feature, {c} AS v FROM dv" for c in MODEL]) + ")",
+    "nb AS (SELECT *, list_sort(list_filter([" + ", ".join(f"abs(v - {side})" for side in _SIDES) + "], lambda x: x IS NOT NULL)) AS ds,"
+    " count(*) OVER (PARTITION BY feature, label) AS nc FROM lg WINDOW w AS (PARTITION BY feature, label ORDER BY v, id))",
+    "kd AS (SELECT *, least(3, nc - 1) AS k, ds[least(3, nc - 1)] AS d FROM nb WHERE nc > 1)",
+    "qd AS (SELECT DISTINCT feature, v, d FROM kd)",
+    "vn AS (SELECT feature, v, count(*) AS n FROM kd GROUP BY feature, v)",
+    "md2 AS (SELECT q.feature, q.v, q.d, sum(b.n) AS m FROM qd q JOIN vn b ON q.feature = b.feature"
+    " AND ((q.d > 0 AND b.v > q.v - q.d AND b.v < q.v + q.d) OR (q.d = 0 AND b.v = q.v)) GROUP BY ALL)",
+    "tt AS (SELECT kd.feature AS feature, count(*) AS n, sum("
+    + f"{psi('CAST(kd.k AS DOUBLE)')} - {psi('CAST(kd.nc AS DOUBLE)')} - {psi('CAST(md2.m AS DOUBLE)')}) AS s"
+    " FROM kd JOIN md2 ON kd.feature = md2.feature AND kd.v = md2.v AND kd.d = md2.d GROUP BY kd.feature)",
+    f"ni AS (SELECT feature, {r('greatest(0e0, ' + psi('CAST(n AS DOUBLE)') + ' + s / n)')} AS mutual_information FROM tt)",
+]
 STABILITY = [
     *MATRIX,
     "lg AS (" + union_rows([f"label, fold, '{c}' AS feature, {c} AS v FROM dv" for c in MODEL]) + ")",
@@ -729,6 +752,9 @@ STAGES: dict[str, str] = {
     "f34_mutual_information": over(
         "SELECT feature, mutual_information, row_number() OVER (ORDER BY mutual_information DESC, feature) AS mi_rank FROM ci", *MI
     ),
+    "f34_mutual_information_nearest": over(
+        "SELECT feature, mutual_information, row_number() OVER (ORDER BY mutual_information DESC, feature) AS mi_rank FROM ni", *NEAREST
+    ),
     "f35_univariate_stability": over(
         f"SELECT feature, {r('avg(a)')} AS mean_cv_auc, {r('stddev_pop(a)')} AS cv_auc_std, {n_if('a >= 0.55')} AS stable_folds,"
         f" {r(div('count(*) FILTER (a >= 0.55)', 'count(*)'))} AS stability_rate,"
