@@ -1,12 +1,12 @@
 """Order MinHash fingerprints of documents, in DataFrame functions only.
 
-A text is a sequence of units: up to four characters of a word, single characters of scripts that are written
-without spaces, and single signs that part addresses. Units start anew at white space and behind such characters. Each
-window of ``k`` units is a k-mer, numbered by how often it has occurred before. Of all numbered k-mers the
+A text is a sequence of units: up to four characters of a word and one closing character, single characters of scripts that
+are written without spaces, and single signs that part addresses. A unit ends behind a closing character (some vowels and
+digits) and at white space, so that units behind an edit soon start where they did before, in unbroken runs of letters or
+digits too. Each window of ``k`` units is a k-mer, numbered by how often it has occurred before. Of all numbered k-mers the
 ``chosen`` smallest by hash are kept in text order, and every ``tuple`` of neighbours among them is hashed.
 The sorted hashes are the fingerprint. Two fingerprints are as alike as the share of hashes they have in
-common: moved passages break tuples at their edges only, edits cost what they touch and the rest of a word
-behind them, which is long only in unbroken runs of letters or digits.
+common: moved passages break tuples at their edges only, edits cost the units they touch.
 """
 
 from __future__ import annotations
@@ -30,14 +30,21 @@ _POSITION = 30
 """Bits for the position of a k-mer; a text in a row has fewer units than that allows."""
 
 
-_UNSPACED = "".join(
-    r"\p{Is%s}" % script
-    for script in (
-        "Han Hiragana Katakana Bopomofo Yi Thai Lao Khmer Myanmar Tibetan Tai_Le New_Tai_Lue Tai_Tham Tai_Viet Javanese Balinese"
-    ).split()
-)
-_PARTING = "/?&=#%+_;:-"
-_UNITS = rf"[{_UNSPACED}{_PARTING}]|[^\s\p{{Z}}{_UNSPACED}{_PARTING}]{{1,4}}"
+_SINGLE = r"\x{0E00}-\x{10FF}\x{1780}-\x{1DFF}\x{2E80}-\x{10FFFF}"
+"""Thai to Myanmar, Khmer to Balinese, and all that is Han, Kana, Hangul or later: characters that are units of their own."""
+_PARTING = r"/?&=#%+_;:\-"
+_CLOSING = "aoAO0-3"
+_CLOSING_MORE = r"\x{0430}\x{043E}\x{0410}\x{041E}\x{03B1}\x{03BF}\x{0391}\x{039F}\x{0627}\x{05D0}"
+"""a and o of Cyrillic and Greek, alef."""
+
+
+def _pattern(closing: str, other: str, space: str) -> str:
+    return rf"[{_PARTING}{other}]|[^\s{space}{_PARTING}{other}{closing}]{{1,4}}+[{closing}]?|[{closing}]"
+
+
+ASCII_UNITS = _pattern(_CLOSING, "", "")
+"""What the other pattern finds in a text of ASCII characters, without looking for others."""
+UNITS = _pattern(_CLOSING + _CLOSING_MORE, _SINGLE, r"\p{Z}")
 
 
 def _steps(df: DataFrame, text: str, p: Params) -> DataFrame:
@@ -46,18 +53,20 @@ def _steps(df: DataFrame, text: str, p: Params) -> DataFrame:
     Each step is a column of its own, so that it is worked out once. What a lambda reads from outside is
     mentioned twice, which keeps the optimiser from moving its computation into the lambda.
     """
-    windows = "_units"
+    # a k-mer's hash is that of the hash of its first units and the next one; a missing unit does not change it
+    windows = "transform(_units, a -> xxhash64(a))" if p.k == 1 else "_units"
     for i in range(1, p.k):
-        windows = f"zip_with({windows}, slice(_units, {i + 1}, size(_units)), (a, b) -> concat_ws(' ', a, b))"
+        windows = f"zip_with({windows}, slice(_units, {i + 1}, size(_units)), (a, b) -> xxhash64(a, b))"
+    found = lambda pattern: "regexp_extract_all({}, '{}', 0)".format(text, pattern.replace("\\", "\\\\"))
     mask = (1 << _POSITION) - 1
     same = f"shiftright(x, {_POSITION})"
     before = f"shiftright(get(_sorted, i - d - s), {_POSITION})"
     number = f"aggregate(_halves, 0, (d, s) -> if({before} = {same}, d + s, d))"
     repeated = f"shiftright(get(_sorted, i - 1), {_POSITION}) = {same}"
-    packed = f"shiftleft(shiftrightunsigned(xxhash64(x), {_POSITION + 1}), {_POSITION}) | i"
+    packed = f"shiftleft(shiftrightunsigned(x, {_POSITION + 1}), {_POSITION}) | i"
     chosen = f"filter(zip_with(_sorted, _numbered, (x, h) -> struct(x & {mask} AS at, h AS h)), e -> e.h <= _most)"
     steps = {
-        "_units": "regexp_extract_all({}, '{}', 0)".format(text, _UNITS.replace("\\", "\\\\")),
+        "_units": f"if(octet_length({text}) = char_length({text}), {found(ASCII_UNITS)}, {found(UNITS)})",
         # a text with fewer units than a k-mer is one k-mer
         "_count": f"if(size(_units) = 0, 0, greatest(size(_units) - {p.k - 1}, 1))",
         "_packed": f"transform(slice({windows}, 1, _count), (x, i) -> {packed})",
@@ -112,22 +121,17 @@ def edges(df: DataFrame, key: str, parts: int) -> list[int]:
 
 
 def _range(key: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or below the key, by a balanced tree of comparisons."""
+    """Number of cuts at or below the key, by halving steps over one array."""
     if not cuts:
         return F.lit(0)
-
-    def pick(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < F.lit(cuts[mid]), pick(low, mid)).otherwise(pick(mid + 1, high))
-
-    return F.coalesce(pick(0, len(cuts)), F.lit(0))
+    steps = [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)]
+    array = F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), "array<bigint>")
+    fits = lambda n, s: F.coalesce(F.get(array, n + s - 1) <= key, F.lit(False))
+    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda n, s: F.when(fits(n, s), n + s).otherwise(n)), F.lit(0))
 
 
 RANGES = 8
-"""Ranges of keys for each shuffle partition, at most MAX_RANGES in all."""
-MAX_RANGES = 1_024
+"""Ranges of keys for each shuffle partition."""
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -138,15 +142,16 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     their texts; null keys come first.
     """
     docs = texts(df, key, text)
-    cuts = edges(docs, "doc_id", min(MAX_RANGES, RANGES * shuffle_width(df.sparkSession)))
+    cuts = edges(docs, "doc_id", RANGES * shuffle_width(df.sparkSession))
     placed = docs.withColumn("_range", _range(F.col("doc_id"), cuts))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), "doc_id"))["doc_id"]
     firsts = placed.groupBy("_range").agg(first.alias("_first"))
     heads = placed.join(F.broadcast(firsts), "_range").filter(F.col("doc_id").eqNullSafe(F.col("_first")))
-    heads = heads.groupBy("_range").agg(F.min("text").alias("head"))  # a row for each range, MAX_RANGES at most
+    heads = heads.groupBy("_range").agg(F.min("text").alias("head"))  # a row for each range
     ring = Window.orderBy("_range")
     before = F.coalesce(F.lag("_range").over(ring), F.max("_range").over(Window.partitionBy()))
-    heads = heads.select(before.alias("_range"), "head")
+    rings = firsts.select("_range", before.alias("_before"))  # numbers alone: one row for each range
+    heads = heads.join(rings, "_range").select(F.col("_before").alias("_range"), "head")
     return placed.withColumn("next_text", F.lead("text").over(_inside())), heads
 
 
