@@ -30,10 +30,10 @@ _POSITION = 30
 """Bits for the position of a k-mer; a text in a row has fewer units than that allows."""
 
 
-_SINGLE = r"\x{0E00}-\x{10FF}\x{1780}-\x{1DFF}\x{2E80}-\x{10FFFF}"
+_SINGLE = r"\x{0E00}-\x{10FF}\x{1780}-\x{1DFF}\x{2E80}-\x{2FFF}\x{3001}-\x{10FFFF}"
 """Thai to Myanmar, Khmer to Balinese, and all that is Han, Kana, Hangul or later: characters that are units of their own."""
 _PARTING = r"/?&=#%+_;:\-"
-_CLOSING = "aoAO0-3"
+_CLOSING = "aoAO0"
 _CLOSING_MORE = r"\x{0430}\x{043E}\x{0410}\x{041E}\x{03B1}\x{03BF}\x{0391}\x{039F}\x{0627}\x{05D0}"
 """a and o of Cyrillic and Greek, alef."""
 

@@ -182,9 +182,9 @@ def plain_units(text):
     out, held = [], ""
     for c in text:
         n = ord(c)
-        alone = c in "/?&=#%+_;:-" or 0xE00 <= n <= 0x10FF or 0x1780 <= n <= 0x1DFF or n >= 0x2E80
+        alone = c in "/?&=#%+_;:-" or 0xE00 <= n <= 0x10FF or 0x1780 <= n <= 0x1DFF or n >= 0x2E80 and n != 0x3000
         space = c in " \t\n\x0b\f\r" or unicodedata.category(c).startswith("Z")
-        closing = c in "aoAO0123аоАОαοΑΟاא"
+        closing = c in "aoAO0аоАОαοΑΟاא"
         if alone or space:
             out += [held] * bool(held) + [c] * (not space)
             held = ""
