@@ -27,6 +27,8 @@ class Params(NamedTuple):
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 16
     """Two to this power are the buckets that n-grams are hashed to."""
+    languages: int = 1_000
+    """More distinct languages than these are refused: the matrix has a column for each."""
     sample: int = 20_000
     """About so many labelled rows are learnt from, at most: the bound of the training sample."""
     smoothing: float = 0.5
@@ -37,6 +39,10 @@ class Model(NamedTuple):
     prior: np.ndarray
     table: np.ndarray
     """Log-probability of each bucket (row) in each language (column)."""
+    usual: np.ndarray
+    """Mean log-probability of the training n-grams of each language under its own column."""
+    spread: np.ndarray
+    """Standard deviation of the same."""
 
 
 def _grams(texts_: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +108,9 @@ def train(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(n)), pa.array(bucket), pa.array(n)], ["lang", "bucket", "n"])
 
     counted = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = rows.select("lang").distinct().limit(p.languages + 1).count()
+    if found > p.languages:
+        raise ValueError(f"more than {p.languages} languages: the column of languages is not clean, or Params.languages is too small")
     got = counted.toPandas()  # one row for each language and bucket at most
     languages = tuple(sorted(set(got["lang"][(got["bucket"] < 0) & (got["n"] > 0)])))
     place = {x: i for i, x in enumerate(languages)}
@@ -113,11 +122,18 @@ def train(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
             counts[seen["bucket"].to_numpy(), place[one]] += seen["n"].to_numpy()
             prior[place[one]] = part["n"][part["bucket"] < 0].iloc[0]
     table = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32)
-    return Model(languages, np.log(prior / max(prior.sum(), 1)), table)
+    share = (counts - p.smoothing) / np.maximum((counts - p.smoothing).sum(axis=0, keepdims=True), 1)
+    usual = (share * table).sum(axis=0)
+    spread = np.sqrt(np.maximum((share * table.astype(np.float64) ** 2).sum(axis=0) - usual**2, 0))
+    return Model(languages, np.log(prior / max(prior.sum(), 1)), table, usual, spread)
 
 
-def scored(values: list[str], m: Model, p: Params) -> tuple[list[str], np.ndarray]:
-    """Language and its posterior probability of each text."""
+def scored(values: list[str], m: Model, p: Params, unusual: float | None = None) -> tuple[list[str], np.ndarray]:
+    """Language and its posterior probability of each text.
+
+    The posterior is near 1 after a few words, whatever they are. With ``unusual``, a text whose mean log-probability per n-gram
+    is further than that (in nats, and four standard errors for its length) below the usual one of its language is in none.
+    """
     names, score = [UNKNOWN] * len(values), np.zeros(len(values))
     if not m.languages or not values:
         return names, score
@@ -126,16 +142,21 @@ def scored(values: list[str], m: Model, p: Params) -> tuple[list[str], np.ndarra
     sums += m.prior
     best = sums.argmax(axis=1)
     chance = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+    strange = np.zeros(len(values), bool)
+    if unusual is not None:
+        n = np.maximum(np.bincount(owner, minlength=len(values)), 1)
+        mean = (sums - m.prior)[np.arange(len(values)), best] / n
+        strange = mean < m.usual[best] - unusual - 4 * m.spread[best] / np.sqrt(n)
     for i, value in enumerate(values):
-        if _LETTER.search(value):
+        if not strange[i] and _LETTER.search(value):
             names[i], score[i] = m.languages[best[i]], chance[i]
     return names, score
 
 
-def predict(df: DataFrame, m: Model, p: Params = Params(), text: str = "text") -> DataFrame:
+def predict(df: DataFrame, m: Model, p: Params = Params(), text: str = "text", unusual: float | None = None) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``, the posterior probability (0 to 1) of that language.
 
-    A null text, a text without a letter, or a model without languages gives ``und`` and 0. Ties go to the
+    A null text, a text without a letter, one that is ``unusual`` (see ``scored``), or a model without languages gives ``und`` and 0. Ties go to the
     language first in alphabetical order. Texts of any length are read whole. All other columns stay and are not read;
     columns already called lang_pred or score are replaced.
     """
@@ -148,7 +169,7 @@ def predict(df: DataFrame, m: Model, p: Params = Params(), text: str = "text") -
         for batch in batches:
             for part in slices(batch, text, 1_000_000):
                 values = [v or "" for v in part.column(at).to_pylist()]
-                names, score = scored(values, shared.value, p)
+                names, score = scored(values, shared.value, p, unusual)
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
 

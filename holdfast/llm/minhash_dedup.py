@@ -116,6 +116,19 @@ class Shingler:
         return out
 
 
+_FOLD = _random(2, 13) | _U(1)
+
+
+def _set_hash(shingles: np.ndarray) -> list[np.int64]:
+    """Two halves of a hash of a set."""
+    return [_mixed(shingles * f).sum(dtype=_U).view(np.int64) for f in _FOLD]
+
+
+def class_id() -> Column:
+    """One number for a class of equal sets."""
+    return F.xxhash64("h1", "h2", "n_shingles")
+
+
 def signature(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
     """For each of the hash functions, 16 bits of the smallest hash of a non-empty set."""
     least = np.full(len(multiply), np.iinfo(_U).max, dtype=_U)
@@ -126,35 +139,34 @@ def signature(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np
 
 
 def signatures(df: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's hash, the signature, and the low four bits of its positions as bit planes."""
+    """doc_id, hash of the text, n_shingles, two halves of the set's hash, the signature, and the low four bits of its positions as bit planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, k = Shingler(p.words), p.positions
         multiply, add = _random(k, 3) | _U(1), _random(k, 5)
         bit = _U(1) << np.arange(k, dtype=_U)
-        fold = _random(2, 13) | _U(1)
         for batch in batches:
             for part in slices(batch, "text"):
                 size, whole, sig, planes = [], [], [], []
                 for s in shingler.sets(part.column("text").to_pylist()):
                     size.append(len(s))
-                    whole.append([_mixed(s * f).sum(dtype=_U).view(np.int64) for f in fold])
+                    whole.append(_set_hash(s))
                     values = signature(s, multiply, add) if len(s) else np.zeros(k, dtype=np.uint16)
                     sig.append(values.tobytes())
                     planes.append([bit[(values >> b & 1) > 0].sum(dtype=_U).view(np.int64) for b in range(4)])
                 halves, low = np.array(whole).reshape(-1, 2), np.array(planes).reshape(-1, 4)
-                columns = [part.column("doc_id"), pa.array(size, pa.int64()), *map(pa.array, halves.T.copy())]
+                columns = [part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), *map(pa.array, halves.T.copy())]
                 columns += [pa.array(sig, pa.binary()), *map(pa.array, low.T.copy())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "n_shingles", "h1", "h2", "sig", "p0", "p1", "p2", "p3"]
-    rows = texts(df, key, text)
+    names = ["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig", "p0", "p1", "p2", "p3"]
+    rows = texts(df, key, text).withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, h1 long, h2 long, sig binary, p0 long, p1 long, p2 long, p3 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, h1 long, h2 long, sig binary, p0 long, p1 long, p2 long, p3 long")
 
 
 def shingle_sets(df: DataFrame, sought: DataFrame, words: int) -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes of the rows whose key is in ``sought``, each key once.
+    """``rep`` (class) and the sorted distinct shingle hashes of the classes in ``sought`` (doc_id, rep), each once.
 
     A bitmap of a fixed size tells most other rows apart before their texts are read, let alone shuffled.
     """
@@ -172,12 +184,16 @@ def shingle_sets(df: DataFrame, sought: DataFrame, words: int) -> DataFrame:
             slots = batch.column("slot").to_numpy()
             held = batch.filter(pa.array((shared.value[slots // 32] >> (slots % 32) & 1).astype(bool)))
             for part in slices(held, "text"):
-                sets = [s.view(np.int64) for s in shingler.sets(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                sets = shingler.sets(part.column("text").to_pylist())
+                halves = np.array([_set_hash(x) for x in sets], np.int64).reshape(-1, 2)
+                listed = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                columns = [part.column("doc_id"), *map(pa.array, halves.T.copy()), pa.array([len(x) for x in sets], pa.int64()), listed]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n_shingles", "shingles"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    some = df.select("doc_id", "text", slot).mapInArrow(run, f"doc_id {kind}, shingles array<long>")
-    return some.join(sought, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    some = df.select("doc_id", "text", slot).mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n_shingles long, shingles array<long>")
+    some = some.select("doc_id", class_id().alias("rep"), "shingles").join(sought, ["doc_id", "rep"], "left_semi")
+    return some.groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
 
 SLOTS = 1 << 24
@@ -219,8 +235,8 @@ def _side(classes: DataFrame, side: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) whose full sets are similar; the sets go to the side of b, of which there are fewer."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb")).join(pairs.select("b").distinct(), "b", "left_semi")
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("_sb")).join(pairs.select("b").distinct(), "b", "left_semi")
     joined = pairs.join(left, "a").join(right, "b")
     return joined.select(
         "a", "b", F.size("_sa").alias("_na"), F.size("_sb").alias("_nb"), F.size(F.array_intersect("_sa", "_sb")).alias("_both")
@@ -280,13 +296,20 @@ def _leftover(rows: DataFrame, classes: DataFrame, label: DataFrame, p: Params)
     stars = materialise(met.filter("_of > 1").select("a", "b").union(single.select("a", "b")))
     family = components(stars, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("family"))
     ones = placed.filter("_size = 1").join(family, "component", "left").withColumn("family", F.coalesce("family", "component"))
-    live = ones.groupBy("key").agg(F.min("family").alias("_lo"), F.max("family").alias("_hi")).filter("_lo < _hi")
+    ends = [F.min("family").alias("_lo"), F.max("family").alias("_hi"), F.count(F.lit(1)).alias("_m")]
+    live = ones.groupBy("key").agg(*ends).filter("_lo < _hi")
     about = classes.select("rep", "n_shingles", "sig", "p0", "p1", "p2", "p3")
-    ones = ones.join(live.select("key"), "key").join(about, "rep").withColumnRenamed("n_shingles", "n")
+    live = live.select("key", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_b"))
+    ones = ones.join(live, "key").join(about, "rep").withColumnRenamed("n_shingles", "n")
     shown = ("component", "family", "k", "sig", "n", "p0", "p1", "p2", "p3")
-    one, two = (ones.select("key", *[F.col(c).alias(f"{x}_{c}") for c in shown]) for x in "ab")
+    # the rows of a frequent key are dealt to a grid, so that no task pairs more than a block with a block
+    own, every = F.pmod(F.xxhash64("rep"), F.col("_b")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
+    one, two = (
+        ones.select("key", "_b", *[F.col(c).alias(f"{x}_{c}") for c in shown], own.alias(mine)).withColumn(other, every)
+        for x, mine, other in (("a", "_i", "_j"), ("b", "_j", "_i"))
+    )
     near = f"a_component < b_component AND a_family <> b_family AND {_close(p)} AND {_first_key(p)}"
-    pairs = one.join(two, "key").filter(near).select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    pairs = one.join(two.drop("_b"), ["key", "_i", "_j"]).filter(near).select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
     return stars.union(pairs)
 
 
@@ -307,7 +330,7 @@ def _block_links(pairs: DataFrame, label: DataFrame, sets: DataFrame, p: Params)
         if(component = _top, array(),
             transform(sequence(0, _bm - 1), x -> struct(false AS member, x AS i, cast(pmod(xxhash64(rep, 1), _bt) AS int) AS j))))"""
     dealt = placed.select("cluster", "component", "rep", "task", F.expr(f"inline({place})"))
-    whole = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("owner", F.expr("if(task < 0, cluster, NULL)"))
+    whole = dealt.join(sets, "rep").withColumn("owner", F.expr("if(task < 0, cluster, NULL)"))
     kind = label.schema["node"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
@@ -350,34 +373,41 @@ def similar(
 
 
 def near_duplicates(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest key reachable by links) and ``kept`` of every row.
+    """``doc_id``, ``n_shingles``, ``component_id`` (smallest key reachable by links), ``kept`` and ``text_hash`` of every row.
 
     Two rows are linked if 100 x intersection >= percent x union of their shingle sets. A text with fewer
     words than a shingle is one shingle of all its words; one without words, an empty or a null text has no
-    shingle and is linked with nothing. Rows with equal keys are one document and should have equal texts; rows with
+    shingle and is linked with nothing. Rows with equal keys but different texts are judged by their own texts; rows with
     null keys are linked with nothing. Texts of any length are read whole. Other columns are not read.
     """
     signed = materialise(signatures(df, p, key, text))
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    equal = ["h1", "h2", "n_shingles", "p0", "p1", "p2", "p3", "sig"]
-    classes = materialise(some.groupBy(*equal).agg(F.min("doc_id").alias("rep")))
+    equal = ["h1", "h2", "n_shingles"]
+    shape = [F.first(c).alias(c) for c in ("sig", "p0", "p1", "p2", "p3")]
+    classes = some.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), *shape)
+    classes = materialise(classes.withColumn("rep", class_id()))
     keyed = classes.select("rep", F.posexplode(chunk_keys(p)).alias("k", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     rows = materialise(keyed.join(shared, "key"))  # (key, rep, k, _n) of keys with company
-    sought = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(texts(df, key, text), sought, p.words))
+    company = materialise(classes.join(rows.select("rep").distinct(), "rep", "left_semi").select("doc_id", "rep"))
+    sets = materialise(shingle_sets(texts(df, key, text), company, p.words))
     links = materialise(_confirmed(_stars(rows, classes, p), sets, p))
-    alone = sought.withColumnRenamed("doc_id", "node")
+    alone = company.select(F.col("rep").alias("node"))
     label = _labels(alone, links)
     rest = _block_links(_leftover(rows, classes, label, p), label, sets, p)
-    label = _labels(alone, links.union(materialise(rest)))
-    found = classes.select(*equal, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = found.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_component"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2", "n_shingles"], "left")
+    # what the blocks found joins components of the stars, so only these are walked again
+    between = rest.join(label.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
+    between = between.join(label.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    over = components(between, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    label = label.join(over, "component", "left").select(F.col("node").alias("rep"), F.coalesce("whole", "component").alias("component"))
+    placed = classes.select(*equal, "rep", "doc_id").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("_component"))
+    found = placed.join(least, "component").select(*equal, "_component")
+    out = signed.select("doc_id", "text_hash", *equal).join(found, equal, "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component"))
     component = F.coalesce(own, F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash"
     )
 
 

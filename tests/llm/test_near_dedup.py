@@ -168,6 +168,40 @@ def test_components_of_paths_stars_and_odd_edges(spark):
     assert components(df.limit(0), "a", "b").count() == 0
 
 
+def test_components_over_several_parts(spark, monkeypatch):
+    """Forests of small parts are joined by star rounds: the same answer as one part gives."""
+    from holdfast.llm import components as module
+
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 900)] + [(rng.randrange(1000, 2000), rng.randrange(1000, 2000)) for _ in range(900)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    one = {(r["node"], r["component"]) for r in components(df, "a", "b").collect()}
+    monkeypatch.setattr(module, "FILE_ROWS", 100)
+    assert {(r["node"], r["component"]) for r in components(df, "a", "b").collect()} == one
+    assert {c for n, c in one if n < 1000} == {0}
+
+
+def test_many_unlinked_members_of_one_key(spark):
+    """5,000 texts that share a key but are not similar: dealt to a grid of blocks, and none is linked."""
+    p = minhash_dedup.Params()
+    rng = np.random.default_rng(8)
+    n = 5000
+    sig = rng.integers(0, 1 << 16, (n, p.positions), dtype=np.uint16)
+    sig[:, : p.width] = 7  # one whole chunk in common: all six keys of it
+    twin = sig[10].copy()
+    twin[p.width : p.width + 9] ^= 1
+    sig[11] = twin
+    planes = [[sum(int(v >> b & 1) << i for i, v in enumerate(row)) for b in range(4)] for row in sig]
+    signed = [(i, 100, sig[i].tobytes(), *[x - (1 << 64) if x >= 1 << 63 else x for x in planes[i]]) for i in range(n)]
+    classes = spark.createDataFrame(signed, "rep long, n_shingles long, sig binary, p0 long, p1 long, p2 long, p3 long")
+    keyed = classes.select("rep", F.posexplode(minhash_dedup.chunk_keys(p)).alias("k", "key"))
+    label = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    pairs = minhash_dedup._leftover(keyed, classes, label, p)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()} >= {(10, 11)}
+    assert pairs.count() < 50
+
+
 def vectors(seed=4):
     rng = np.random.default_rng(seed)
     out = []
