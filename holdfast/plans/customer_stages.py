@@ -12,6 +12,7 @@ from holdfast.functions.bands import band
 from holdfast.functions.measures import with_measures
 from holdfast.functions.numeric import rounded
 from holdfast.operators import (
+    categories,
     exposure,
     features,
     metrics,
@@ -23,11 +24,14 @@ from holdfast.operators import (
     sampling,
     scoring,
     splitting,
+    summaries,
     thresholds,
 )
 from holdfast.operators.scoring import PRIMARY_THRESHOLD, scored
 from holdfast.plans import trained
+from holdfast import PERIODS
 from holdfast.session import materialise
+from holdfast.sources.published import stored_stage
 
 FIXTURE_PRECISION = 0.40
 """Eligibility bound for the fixtures, whose churners are spread evenly over the scores."""
@@ -65,6 +69,80 @@ def drift_of_all(panel: DataFrame) -> DataFrame:
     return monitoring.feature_drift(dealt, names, "split", splitting.DEVELOPMENT, splitting.VALIDATION)
 
 
+def category_columns(panel: DataFrame) -> list[str]:
+    """Flags and texts of the panel."""
+    flags = [f"{m}_{p}" for m in ("fb_user", "night_pck_user") for p in PERIODS]
+    return flags + [n for n, t in panel.dtypes if t == "string"]
+
+
+def category_counts(panel: DataFrame) -> DataFrame:
+    columns = category_columns(panel)
+    rows = splitting.join_split(panel.select("id", "label", *columns))
+    return materialise(categories.category_counts(rows, columns, "split", splitting.DEVELOPMENT, splitting.VALIDATION))
+
+
+COMPARISONS = {"7 against 6": ((6, 6), (7, 7)), "8 against 7": ((7, 7), (8, 8)), "8 against 6 to 7": ((6, 7), (8, 8))}
+
+
+def period_columns(panel: DataFrame, period: int) -> dict[str, str]:
+    """Feature name -> column of all numbers that exist in each period."""
+    numeric = [n for n, t in panel.dtypes if t.startswith(NUMERIC) and n.endswith(f"_{period}")]
+    return {n.removesuffix(f"_{period}"): n for n in numeric}
+
+
+def period_summary(panel: DataFrame, period: int) -> DataFrame:
+    """Summary of one period, made once from that period's columns and stored."""
+    columns = period_columns(panel, period)
+    own = panel.select("id", *columns.values())
+    return stored_stage(own, f"summary-{period}", (summaries.GROWTH, period), lambda rows: summaries.summary(rows, columns, period))
+
+
+def drift_over_time(panel: DataFrame) -> DataFrame:
+    """Each period against earlier ones, from their stored summaries."""
+    stored = period_summary(panel, PERIODS[0])
+    for period in PERIODS[1:]:
+        stored = stored.unionByName(period_summary(panel, period))
+    out = None
+    for name, (reference, current) in COMPARISONS.items():
+        one = summaries.compared(stored, reference, current).select(F.lit(name).alias("comparison"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+RAW_COLUMNS = ("aon", "arpu_8", "total_rech_num_8", "date_of_last_rech_8")
+
+
+def scanned(panel: DataFrame) -> DataFrame:
+    """Lines, customers, set-aside rows and lost conversions of a CSV file of the panel in which some lines are spoilt.
+
+    Spoilt by the id: every 17th has words for a number, every 23rd lacks its last values, every 29th has an unreadable outcome.
+    """
+    from uuid import uuid4
+
+    from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
+
+    from holdfast.session import ensure_checkpoint_dir
+    from holdfast.sources.contract import SOURCE_LABEL, scan_customers
+
+    spark = panel.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/raw-{uuid4().hex}"
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    number = F.when(F.col("id") % 17 == 0, F.lit("n/a")).otherwise(text("aon"))
+    outcome = F.when(F.col("id") % 29 == 0, F.lit("yes")).otherwise(text("label"))
+    whole = F.concat_ws(",", text("id"), outcome, number, *[text(c) for c in RAW_COLUMNS[1:]])
+    line = F.when(F.col("id") % 23 == 0, F.concat_ws(",", text("id"), outcome)).otherwise(whole)
+    head = ",".join(("id", SOURCE_LABEL, *RAW_COLUMNS))
+    # a header line for each file, as other writers make it
+    panel.select(line.alias(head)).write.option("header", True).option("quote", "").option("escapeQuotes", False).option("delimiter", "\u0001").csv(path)
+    schema = StructType().add("id", LongType()).add(SOURCE_LABEL, IntegerType()).add("aon", IntegerType())
+    schema = schema.add("arpu_8", DoubleType()).add("total_rech_num_8", LongType()).add("date_of_last_rech_8", StringType())
+    good, aside, lost = scan_customers(spark, path, schema)
+    figures = good.agg(F.lit("customers").alias("item"), F.count(F.lit(1)).alias("n"))
+    figures = figures.union(aside.groupBy(F.concat(F.lit("set aside: "), "reason")).agg(F.count(F.lit(1))))
+    return figures.union(lost.select(F.concat(F.lit("lost conversions: "), "column"), "lost_conversions"))
+
+
 def batch_scores(panel: DataFrame) -> DataFrame:
     """All customers scored; missing measures take the medians of development customers."""
     columns = list(scoring.Scorecard().weights)
@@ -168,6 +246,10 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "r06_batch_score": batch_scores,
     "d01_drift_monitor": drift,
     "d01_drift_monitor_all": drift_of_all,
+    "d01_category_drift": lambda p: categories.category_drift(category_counts(p)),
+    "d01_category_summary": lambda p: categories.category_summary(category_counts(p)),
+    "d01_drift_over_time": drift_over_time,
+    "f01_csv_scan": scanned,
     "r06_batch_score_trained": trained.batch_scores,
 }
 # on the transparent card, which SQL can repeat, and on out-of-fold and validation scores of the trained model

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from holdfast.operators.gate import check_rows, unknown_label
+from holdfast.session import materialise
 from holdfast.sources.published import NotReconciled, publish
 
 SOURCE_LABEL = "churn_probability"
@@ -28,6 +29,38 @@ def read_customers(spark: SparkSession, path: str, schema: StructType | str, fmt
     return df.withColumnRenamed(SOURCE_LABEL, "label")
 
 
+RAW = "_record"
+
+
+def scan_customers(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read a CSV table that may hold bad rows: (customers, set-aside rows, lost conversions by column).
+
+    Every line is read once as text and stored. A line with too few or too many values is set aside with its text; so is one whose key or
+    outcome cannot be read. Another value that is no number of its column's type becomes NULL and is counted; an empty
+    value and NaN are missing, not lost. No line is dropped: customers and set-aside rows add up to the lines.
+    """
+    texts = StructType([StructField(f.name, StringType()) for f in schema.fields] + [StructField(RAW, StringType())])
+    reader = spark.read.schema(texts).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
+    lines = materialise(reader.csv(path))
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields if f.dataType != StringType()}
+    missing = lambda c: F.col(c).isNull() | (F.lower(F.trim(F.col(c))) == "nan")
+    cast = {c: F.when(~missing(c), F.col(c).try_cast(t)) for c, t in kinds.items()}
+    lost = {c: ~missing(c) & cast[c].isNull() for c in kinds}
+    whole = F.col(RAW).isNull()
+    vital = [c for c in ("id", SOURCE_LABEL) if c in kinds]
+    unread = F.lit(False)
+    for c in vital:
+        unread = unread | cast[c].isNull()
+    reason = F.when(~whole, "number of values").when(unread, "key or outcome")
+    named = lines.withColumn("_reason", reason)
+    good = named.filter("_reason IS NULL").select(*[cast[c].alias(c) if c in cast else F.col(c) for c in schema.names]).withColumnRenamed(SOURCE_LABEL, "label")
+    text = F.coalesce(F.col(RAW), F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in schema.names]))
+    aside = named.filter("_reason IS NOT NULL").select(F.col("_reason").alias("reason"), text.alias("record"))
+    entries = [F.struct(F.lit(c).alias("column"), F.count_if(whole & lost[c]).alias("lost_conversions"), F.count_if(whole & ~missing(c)).alias("values")) for c in kinds]
+    counts = lines.agg(F.array(*entries).alias("_e")).select(F.inline("_e"))
+    return good, aside, counts
+
+
 def check_columns(df: DataFrame, expected: list[str]) -> None:
     """Names must be unique and exactly the expected ones."""
     repeated = {c for c in df.columns if df.columns.count(c) > 1}
