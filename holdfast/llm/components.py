@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from holdfast.session import materialise
 
-FILE_ROWS = 500_000
+FILE_ROWS = 250_000
 """Edges that one task joins by itself; more are dealt to several tasks."""
 
 
@@ -64,7 +64,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.schema
         if batch.num_rows:
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-        if sum(len(h[0]) for h in held) > 2 * FILE_ROWS:
+        if sum(len(h[0]) for h in held) > FILE_ROWS:
             stars()
     if held:
         u, v = stars()

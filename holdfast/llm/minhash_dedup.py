@@ -192,7 +192,7 @@ def shingle_sets(df: DataFrame, sought: DataFrame, words: int) -> DataFrame:
 
     kind = df.schema["doc_id"].dataType.simpleString()
     some = df.select("doc_id", "text", slot).mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n_shingles long, shingles array<long>")
-    some = some.select("doc_id", class_id().alias("rep"), "shingles").join(sought, ["doc_id", "rep"], "left_semi")
+    some = some.select(class_id().alias("rep"), "shingles").join(sought.select("rep"), "rep", "left_semi")
     return some.groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
 
@@ -202,6 +202,9 @@ SLOTS = 1 << 24
 BLOCK = 512
 """Classes on either side of a block."""
 
+GRID = 4096
+"""Rows of a key that one task pairs with each other; those of a more frequent key are dealt to a grid of such parts."""
+
 FEW = 16
 """Pairs of components with at most so many classes share tasks with others."""
 
@@ -299,7 +302,7 @@ def _leftover(rows: DataFrame, classes: DataFrame, label: DataFrame, p: Params)
     ends = [F.min("family").alias("_lo"), F.max("family").alias("_hi"), F.count(F.lit(1)).alias("_m")]
     live = ones.groupBy("key").agg(*ends).filter("_lo < _hi")
     about = classes.select("rep", "n_shingles", "sig", "p0", "p1", "p2", "p3")
-    live = live.select("key", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_b"))
+    live = live.select("key", F.ceil(F.col("_m") / GRID).cast("int").alias("_b"))
     ones = ones.join(live, "key").join(about, "rep").withColumnRenamed("n_shingles", "n")
     shown = ("component", "family", "k", "sig", "n", "p0", "p1", "p2", "p3")
     # the rows of a frequent key are dealt to a grid, so that no task pairs more than a block with a block
