@@ -73,15 +73,18 @@ def missing_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     return pearson_pairs(flags, columns).select("feature_1", "feature_2", rounded("correlation", 6).alias("correlation"))
 
 
-def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Absolute Spearman correlation of complete columns over all rows.
+RANKED_AT_ONCE = 64
+"""Columns whose ranks share a long table; more are ranked block by block and joined by id."""
+
 
-    Values are counted, ranked by running sums of the counts, and their tie-averaged ranks go back to
+def _average_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, tie-averaged rank of every column).
+
+    Values are counted, ranked by running sums of the counts, and their ranks go back to
     the rows. A value that many rows of a feature share travels by broadcast (at most HOT_SHARE of
     them a feature), so it makes no hot task; its rows are spread over the join of the others.
     """
     entries = ", ".join(f"struct('{c}' AS feature, cast({c} AS double) AS value)" for c in columns)
-    rows = materialise(df.select("id", *columns))
     long = rows.selectExpr("id", f"inline(array({entries}))")
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     run = grouped_prefix_sums(counts, ["feature"], [F.col("value").asc()], ["n"])
@@ -96,7 +99,16 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
         .join(cold, ["feature", "value", "_salt"], "left")
         .select("id", "feature", F.coalesce("_hot", "_cold").alias("r"))
     )
-    wide = found.groupBy("id").agg(*[F.max(F.when(F.col("feature") == c, F.col("r"))).alias(c) for c in columns])
+    return found.groupBy("id").agg(*[F.max(F.when(F.col("feature") == c, F.col("r"))).alias(c) for c in columns])
+
+
+def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Absolute Spearman correlation of complete columns over all rows, from one matrix of ranks."""
+    rows = materialise(df.select("id", *columns))
+    blocks = [columns[i : i + RANKED_AT_ONCE] for i in range(0, len(columns), RANKED_AT_ONCE)]
+    wide = _average_ranks(rows, blocks[0])
+    for block in blocks[1:]:
+        wide = materialise(wide).join(materialise(_average_ranks(rows, block)), "id")
     return pearson_pairs(wide, columns).select(
         "feature_1", "feature_2", rounded(F.abs("correlation"), 6).alias("abs_spearman_correlation")
     )

@@ -22,7 +22,7 @@ from holdfast.operators import (
 )
 from holdfast.operators.modelling import MODEL_FEATURES, TreeParams
 from holdfast.operators.scoring import Scorecard, scored, with_score
-from holdfast.plans import trained
+from holdfast.plans import selection_chain, trained
 from holdfast.session import materialise
 from holdfast.sources.contract import contract_checks
 from holdfast.sources.panel import FIXTURE_CALENDAR
@@ -421,4 +421,4 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "x03_direction": lambda p: attribution.direction(attribution.prepared(p)),
     "x04_top_drivers": lambda p: attribution.top_drivers(attribution.prepared(p)),
     "x05_top_risk_profiles": lambda p: attribution.top_risk_profiles(attribution.prepared(p)),
-} | trained.TREE_ATTRIBUTION
+} | trained.TREE_ATTRIBUTION | selection_chain.STAGES
