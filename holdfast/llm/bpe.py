@@ -3,7 +3,7 @@
 The adjacent pairs of a piece are the leaves of a segment tree that holds, for each pair, its rank
 and position. The root is therefore the leftmost pair of the lowest rank. A merge changes three
 leaves and their ancestors; a piece is done when its root holds no mergeable pair. The distinct new
-pieces of a slice of texts go through this together, a row of numpy arrays each.
+pieces of a slice of texts go through this together, a row of numpy arrays each; a few long ones go one by one, over lists.
 """
 
 from __future__ import annotations
@@ -90,6 +90,60 @@ def merge_block(ids: np.ndarray, pairs: PairRanks) -> np.ndarray:
                 tree[r, k] = np.minimum(tree[r, 2 * k], tree[r, 2 * k + 1])
 
 
+FEW_ROWS = 12
+"""Blocks of fewer pieces are merged one by one: a round of array calls costs more than so many single merges."""
+
+
+def merge_long(ids: list[int], v: Vocabulary) -> list[int]:
+    """Merge one piece over the same tree as plain lists; each merge costs as many steps as the tree has levels, or fewer."""
+    n = len(ids)
+    if n < 2:
+        return ids
+    size = max(1, 1 << (n - 2).bit_length())
+    width = size + 1
+    tree = [_NONE] * (2 * size)
+    rank_of, result = v.rank, v.result
+    for i in range(n - 1):
+        rank = rank_of.get(ids[i] << 32 | ids[i + 1])
+        if rank is not None:
+            tree[size + i] = rank * width + i
+    for k in range(size - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (root := tree[1]) < _NONE:
+        rank, i = divmod(root, width)
+        gone = after[i]
+        right, left = after[gone], before[i]
+        ids[i] = merged = result[rank]
+        ids[gone] = -1
+        after[i] = right
+        changed = []
+        if gone < size:
+            changed.append((gone, _NONE))
+        if right < n:
+            before[right] = i
+            found = rank_of.get(merged << 32 | ids[right])
+            changed.append((i, _NONE if found is None else found * width + i))
+        else:
+            changed.append((i, _NONE))
+        if left >= 0:
+            found = rank_of.get(ids[left] << 32 | merged)
+            changed.append((left, _NONE if found is None else found * width + left))
+        for leaf, value in changed:
+            k = size + leaf
+            tree[k] = value
+            k >>= 1
+            while k:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                least = a if a < b else b
+                if tree[k] == least:
+                    break
+                tree[k] = least
+                k >>= 1
+    return [x for x in ids if x >= 0]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -109,6 +163,10 @@ class Codec:
             step = max(1, BLOCK // size)
             for at in range(0, len(members), step):
                 block = members[at : at + step]
+                if len(block) < FEW_ROWS:
+                    for n in block:
+                        out[n] = array("i", merge_long(self.v.symbols(pieces[n]), self.v)).tobytes()
+                    continue
                 ids = np.full((len(block), size + 1), -1, dtype=np.int64)
                 for row, n in enumerate(block):
                     ids[row, : len(pieces[n])] = self.v.symbols(pieces[n])
