@@ -30,16 +30,17 @@ _SCHEMA = (
 )
 _NAMES = [x.split(" ")[0] for x in _SCHEMA.split(", ")]
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# A tag ends at the next > or, if that is missing, where another one begins: so a page of unclosed tags is read once.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(
-    r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|td|th|thead|tbody|section|article|header|footer|nav|main|aside|pre|blockquote|form|title|body|html)\b[^>]*>",
+    r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|td|th|thead|tbody|section|article|header|footer|nav|main|aside|pre|blockquote|form|title|body|html)\b[^<>]*>",
     re.I,
 )
-_TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>")
-_LINK = re.compile(r"<(a|link|img|script|iframe|area|form)\b([^>]*)>", re.I)
-_ATTRIBUTE = re.compile(r"([A-Za-z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_META = re.compile(r"<meta\b([^>]*)>", re.I)
+_TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]*>|<![^<>]*>|<\?[^<>]*>")
+_LINK = re.compile(r"<(a|link|img|script|iframe|area|form)\b([^<>]*)>", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w:-])([A-Za-z][\w:-]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_META = re.compile(r"<meta\b([^<>]*)>", re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _TARGETS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action"}
 
@@ -177,8 +178,10 @@ def _joined(base: str, link: str) -> str:
 def page_metadata(page: str, base: str) -> dict:
     """Title, meta tags and links (with absolute addresses) of a page."""
     visible = re.sub(r"<!--.*?(?:-->|\Z)", "", page, flags=re.S)
-    title = _TITLE.search(visible)
-    outside = _HIDDEN.sub(lambda m: re.match(r"<[^>]*>|", m[0])[0] if m[1] else "", visible)
+    title, end = _TITLE.search(visible), None
+    if title:
+        end = _TITLE_END.search(visible, title.end())
+    outside = _HIDDEN.sub(lambda m: re.match(r"<[^<>]*>|", m[0])[0] if m[1] else "", visible)
     links = []
     for m in _LINK.finditer(outside):
         name = m[1].lower()
@@ -186,7 +189,7 @@ def page_metadata(page: str, base: str) -> dict:
         if link := at.get(_TARGETS[name]):
             links.append({"path": f"{name.upper()}@/{_TARGETS[name]}", "url": _joined(base, link)})
     metas = [a for m in _META.finditer(outside) if (a := _attributes(m[1]))]
-    return {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Metas": metas, "Links": links}
+    return {"Title": " ".join(html.unescape(visible[title.end() : end.start()]).split()) if end else None, "Metas": metas, "Links": links}
 
 
 def derivatives(record: bytes) -> list[tuple]:
