@@ -76,12 +76,21 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+_PER_DIGEST = 5
+"""Numbers of 12 hexadecimal digits that one digest gives."""
+
+
 def _feistel(parts: str, tweak: str, key: str) -> str:
-    """New values (array of bigint) of ``parts``, an array of struct(v, m) with v in 0..m-1."""
+    """New values (array of bigint) of ``parts``, an array of struct(v, m) with v in 0..m-1.
+
+    A round hashes the other half once; the numbers to add come from digests of that hash and a counter.
+    """
     other = "array_join(transform(s.r, x -> cast(x.v AS string)), ',')"
-    hashed = f"sha2(concat_ws('|', '{key}', {tweak}, q, j, {other}), 256)"
-    add = f"cast(conv(substr({hashed}, 1, 12), 16, 10) AS bigint)"
-    turn = f"struct(s.r AS l, transform(s.l, (c, j) -> struct(pmod(c.v + {add}, c.m) AS v, c.m AS m)) AS r)"
+    hashed = f"sha2(concat_ws('|', '{key}', {tweak}, q, {other}), 256)"
+    blocks = f"transform(sequence(0, size(s.l) div {_PER_DIGEST}), b -> sha2(concat_ws('|', h, b), 256))"
+    add = f"cast(conv(substr(bs[j div {_PER_DIGEST}], cast(j % {_PER_DIGEST} AS int) * 12 + 1, 12), 16, 10) AS bigint)"
+    moved = f"transform(s.l, (c, j) -> struct(pmod(c.v + {add}, c.m) AS v, c.m AS m))"
+    turn = f"struct(s.r AS l, {_let('h', hashed, _let('bs', blocks, moved))} AS r)"
     halves = "struct(slice(ps, 1, cast(size(ps) / 2 AS int)) AS l, slice(ps, cast(size(ps) / 2 AS int) + 1, size(ps)) AS r)"
     run = f"aggregate(sequence(1, {ROUNDS}), {halves}, (s, q) -> {turn}, s -> transform(concat(s.l, s.r), x -> x.v))"
     return _let("ps", parts, run)
@@ -91,13 +100,14 @@ def _chars(low: str, high: str, tweak: str, key: str) -> str:
     """``m`` with its letters and digits at positions low..high-1 permuted; all others stay."""
     first = " ".join(f"WHEN ascii(c) BETWEEN {a} AND {a + n - 1} THEN {a}" for a, n in _CLASSES)
     count = " ".join(f"WHEN ascii(c) BETWEEN {a} AND {a + n - 1} THEN {n}" for a, n in _CLASSES)
-    classed = f"struct(i AS i, CASE {first} END AS a, CASE {count} END AS n, ascii(c) AS code)"
-    held = f"filter(transform(cs, (c, i) -> {classed}), e -> e.a IS NOT NULL AND e.i >= {low} AND e.i < {high})"
+    classed = f"struct(i AS i, c AS c, CASE WHEN i >= lo AND i < hi THEN CASE {first} END END AS a, CASE {count} END AS n, ascii(c) AS code)"
     parts = "transform(held, e -> struct(cast(e.code - e.a AS bigint) AS v, cast(e.n AS bigint) AS m))"
-    fresh = f"zip_with(held, {_feistel(parts, tweak, key)}, (e, v) -> chr(e.a + v))"
-    placed = f"map_from_arrays(transform(held, e -> e.i), {fresh})"
-    shown = _let("new", placed, "array_join(transform(cs, (c, i) -> coalesce(new[i], c)), '')")
-    return _let("cs", "regexp_extract_all(m, '(?s).', 0)", _let("held", held, shown))
+    fresh = f"zip_with(held, {_feistel(parts, tweak, key)}, (e, v) -> struct(e.i AS i, chr(e.a + v) AS c))"
+    others = "transform(filter(es, e -> e.a IS NULL), e -> struct(e.i AS i, e.c AS c))"
+    shown = f"array_join(transform(sort_array(concat({fresh}, {others})), e -> e.c), '')"
+    held = _let("held", "filter(es, e -> e.a IS NOT NULL)", shown)
+    # the ends are worked out once, not again for each character
+    return _let("lo", low, _let("hi", high, _let("es", f"transform(regexp_extract_all(m, '(?s).', 0), (c, i) -> {classed})", held)))
 
 
 def _luhn(digits: str) -> str:
