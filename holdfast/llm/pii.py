@@ -86,7 +86,7 @@ def _feistel(parts: str, tweak: str, key: str) -> str:
     A round hashes the other half once; the numbers to add come from digests of that hash and a counter.
     """
     other = "array_join(transform(s.r, x -> cast(x.v AS string)), ',')"
-    hashed = f"sha2(concat_ws('|', '{key}', {tweak}, q, {other}), 256)"
+    hashed = f"sha2(concat_ws('|', {key}, {tweak}, q, {other}), 256)"
     blocks = f"transform(sequence(0, size(s.l) div {_PER_DIGEST}), b -> sha2(concat_ws('|', h, b), 256))"
     add = f"cast(conv(substr(bs[j div {_PER_DIGEST}], cast(j % {_PER_DIGEST} AS int) * 12 + 1, 12), 16, 10) AS bigint)"
     moved = f"transform(s.l, (c, j) -> struct(pmod(c.v + {add}, c.m) AS v, c.m AS m))"
@@ -226,6 +226,9 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: str | None
     # positions as names, so that no column of the input can clash with those worked with here
     kept = {c: f"c{i}" for i, c in enumerate(df.columns) if c not in (text, kinds)}
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()], F.col(f"`{text}`").alias(_TEXT))
+    # the key travels as a row of its own, so that no plan, and with it no event log, shows it
+    secret = F.broadcast(df.sparkSession.createDataFrame([(1, key)], f"{_ONE} int, {_KEY} string"))
+    rows = rows.withColumn(_ONE, F.lit(1)).join(secret, _ONE)
     # a text without digit and @ holds nothing but a secret could, and that needs = or :
     # account numbers are checked wherever they could start, and only valid ones are looked for in the scan: others use up no text
     candidates = f"regexp_extract_all({_TEXT}, {_quoted(f'(?=({PATTERNS["iban"]}))')}, 1)"
@@ -238,7 +241,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: str | None
     rows = rows.withColumn(_FOUND, F.expr(f"if({_TEXT} rlike '[0-9@=:]', regexp_extract_all({_TEXT}, {pattern}, 0), array())"))
     known = f"transform({_FOUND}, m -> struct(m AS m, {_kind()} AS k))"
     rows = rows.withColumn(_FOUND, F.when(F.size(_FOUND) > 0, F.expr(known)))
-    new = f"transform({_FOUND}, e -> {_let('m', 'e.m', _let('k', 'e.k', _pseudonym(key)))})"
+    new = f"transform({_FOUND}, e -> {_let('m', 'e.m', _let('k', 'e.k', _pseudonym(_KEY)))})"
     woven = f"array_join(zip_with(split({_TEXT}, {pattern}, -1), {new}, (a, b) -> concat(a, coalesce(b, ''))), '')"
     fresh = F.when(F.col(_FOUND).isNull(), F.col(_TEXT)).otherwise(F.expr(woven))
     out = {text: fresh}
@@ -250,3 +253,4 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: str | None
 
 
 _TEXT, _FOUND, _VALID, _SCAN = "_text_read", "_found_values", "_valid_accounts", "_scan_pattern"
+_ONE, _KEY = "_one", "_pseudonym_key"
