@@ -23,6 +23,10 @@ _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
+GRAM_BYTES = 250_000
+"""Text whose n-grams are held at once: each byte costs about 70."""
+
+
 class Params(NamedTuple):
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 16
@@ -93,7 +97,7 @@ def train(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", GRAM_BYTES):
                 langs = np.array(part.column("lang").to_pylist(), dtype=object)
                 values = part.column("text").to_pylist()
                 for one in set(langs):
@@ -167,7 +171,7 @@ def predict(df: DataFrame, m: Model, p: Params = Params(), text: str = "text", u
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1_000_000):
+            for part in slices(batch, text, GRAM_BYTES):
                 values = [v or "" for v in part.column(at).to_pylist()]
                 names, score = scored(values, shared.value, p, unusual)
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())]
