@@ -188,8 +188,10 @@ def measures(panel: DataFrame) -> list[str]:
 
 
 def indicator_redundancy_of_all(panel: DataFrame) -> DataFrame:
-    named = development(panel).select("id", *[F.expr(f"int({c} IS NULL)").alias(f"{c}_missing") for c in measures(panel)])
-    return selection.spearman_pairs(named, named.columns[1:])
+    """Spearman correlation of 0/1 flags is their Pearson correlation: one pass, no ranks."""
+    flags = development(panel).select(*[F.expr(f"cast({c} IS NULL AS double)").alias(f"{c}_missing") for c in measures(panel)])
+    pairs = selection.pearson_pairs(flags, flags.columns)
+    return pairs.select("feature_1", "feature_2", rounded(F.abs("correlation"), 6).alias("abs_spearman_correlation"))
 
 
 def information(panel: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ BLOCK = 64
 
 
 def candidates(panel: DataFrame) -> list[str]:
-    """All numeric columns of the panel and all numeric features built from it."""
-    return [n for n, t in features.build_features(panel).dtypes if t.startswith(NUMERIC) and n not in ("id", "label")]
+    """All numeric columns of the panel and all numeric features built from it, in order of their names."""
+    return sorted(n for n, t in features.build_features(panel).dtypes if t.startswith(NUMERIC) and n not in ("id", "label"))
 
 
 def matrix(panel: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from oracle.panel_sql import LINE_CLASSES
-from oracle.stages_sql import BINS, LEVEL, LOSS, N, SAFE, SCORED, SPLIT, STRATA, avg_rank, checks, div, n_if, over, over_scores, pc, r, union_rows
+from oracle.stages_sql import BINS, LEVEL, LOSS, N, SAFE, SCORED, SPLIT, STRATA, avg_rank, checks, div, drift_ctes, n_if, over, over_scores, pc, r, union_rows
 
 M = (6, 7, 8)
 KEY = "(id * 7919 + 104729) % 1000003"
@@ -499,6 +499,27 @@ def psi(x: str) -> str:
 
 
 _SIDES = [f"{f}(v, {j}) OVER w" for f in ("lag", "lead") for j in (1, 2, 3)]
+# All columns of the panel but id and label, as they stand.
+PANEL_ORDER = ["aon", "circle_id"] + [
+    f"{c}_{s}"
+    for s in M
+    for c in (
+        "last_date_of_month date_of_last_rech total_rech_num total_rech_amt max_rech_amt arpu total_og_mou total_ic_mou onnet_mou offnet_mou"
+        " loc_og_t2t_mou loc_og_t2m_mou std_og_t2t_mou std_og_t2m_mou loc_og_mou std_og_mou isd_og_mou roam_og_mou loc_ic_mou std_ic_mou"
+        " isd_ic_mou roam_ic_mou vol_2g_mb vol_3g_mb date_of_last_rech_data max_rech_data av_rech_amt_data fb_user night_pck_user"
+        " total_rech_data monthly_2g sachet_2g monthly_3g sachet_3g"
+    ).split()
+]
+BUILT = [k for b in (TENURE, RECENCY, SUMMARY, CHANGE, PCT, TOTALS, RATIOS, NONE, AVAILABLE, FLAGS, SPREADS, ACTIVITY, INACTIVE, RECENT, DECLINE, TREND) for k in b]
+EVERY = NUMBERS + [k for k in BUILT if k != "tenure_band"]
+NULL_PAIRS = [
+    "lf AS (" + union_rows([f"id, {i} AS k, '{c}' AS feature, {bit(f'{c} IS NULL')} AS f FROM sp WHERE {DEV}" for i, c in enumerate(PANEL_ORDER)]) + ")",
+    "pr AS (SELECT a.feature AS feature_1, b.feature AS feature_2, corr(a.f, b.f) AS x FROM lf a JOIN lf b ON a.id = b.id AND a.k < b.k GROUP BY ALL)",
+    "pq AS (SELECT * FROM pr WHERE x IS NOT NULL AND NOT isnan(x))",
+]
+KINDS = {c: "double" for c in NUMBERS} | {c: "string" for c in TEXT}
+KINDS |= {c: "int" for c in ("aon", "circle_id", "label")} | {f"{c}_{s}": "int" for c in ("fb_user", "night_pck_user") for s in M}
+KINDS |= {f"{c}_{s}": "bigint" for c in "total_rech_num total_rech_data monthly_2g sachet_2g monthly_3g sachet_3g".split() for s in M} | {"id": "bigint"}
 NEAREST = [
     *MATRIX,
     "lg AS (" + union_rows([f"id, label, '{c}' AS feature, {c} AS v FROM dv" for c in MODEL]) + ")",
@@ -577,6 +598,35 @@ STAGED = [
     f"sy AS (SELECT stage, {r('avg(score)')} AS mean_predicted_probability, {r('avg(label)')} AS actual_churn_rate FROM sg GROUP BY stage)",
 ]
 
+PICK = (
+    "SELECT group_id, feature, CASE WHEN place = 1 THEN 'Retain' ELSE 'Exclude' END AS decision,"
+    " max(CASE WHEN place = 1 THEN feature END) OVER (PARTITION BY group_id) AS representative,"
+    " CASE WHEN place = 1 THEN 'Preferred representative of highly correlated group'"
+    " ELSE 'Highly correlated redundant feature' END AS reason FROM gp"
+)
+
+
+def picked(columns: list[str]) -> list[str]:
+    shares = [f"'{c}' AS feature, count(*) FILTER ({c} IS NULL) * 100e0 / count(*) AS pm FROM f3 WHERE {DEV}" for c in columns]
+    return [
+        "pm AS (" + union_rows(shares) + ")",
+        f"gp AS (SELECT group_id, gg.feature AS feature, row_number() OVER (PARTITION BY group_id ORDER BY {PREFERENCE} DESC,"
+        " gg.feature DESC) AS place FROM gg JOIN pm ON gg.feature = pm.feature)",
+    ]
+
+
+PAIRS_OF_ALL = [
+    *SPLIT_PANEL,
+    *feature_ctes("sp"),
+    "md AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) FILTER ({DEV}) AS m_{c}" for c in EVERY) + " FROM f3)",
+    "lv AS ("
+    + union_rows([f"id, {i} AS k, '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), m_{c}, 0) AS v FROM f3, md WHERE {DEV}" for i, c in enumerate(sorted(EVERY))])
+    + ")",
+    "rk AS (SELECT id, k, feature, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2e0 AS x FROM lv)",
+    "pr AS (SELECT a.feature AS feature_1, b.feature AS feature_2, corr(a.x, b.x) AS x FROM rk a JOIN rk b ON a.id = b.id AND a.k < b.k GROUP BY ALL)",
+    f"pq AS (SELECT feature_1, feature_2, {r('abs(x)')} AS abs_spearman_correlation FROM pr WHERE x IS NOT NULL AND NOT isnan(x))",
+]
+
 STAGES: dict[str, str] = {
     "f01_ingest_contract": CONTRACT,
     "f03_missingness_profile": over_split(
@@ -636,6 +686,24 @@ STAGES: dict[str, str] = {
         "hs AS (SELECT CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(aon AS VARCHAR), 'NULL'), coalesce(CAST(arpu_8 AS VARCHAR), 'NULL'),"
         " coalesce(CAST(id AS VARCHAR), 'NULL'), coalesce(CAST(label AS VARCHAR), 'NULL'))), 1, 15) AS BIGINT) AS h FROM p)",
     ),
+    "m17_schema_fingerprint_all": over(
+        f"SELECT {N} AS rows, sha256('" + ",".join(f"{c}:{KINDS[c]}" for c in sorted(KINDS)) + "') AS schema_hash,"
+        " bit_xor(h) AS content_xor, CAST(sum(h % 1000003) AS BIGINT) AS content_sum FROM hs",
+        "hs AS (SELECT CAST('0x' || substr(md5(concat_ws('|', "
+        + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NULL')" for c in sorted(KINDS))
+        + ")), 1, 15) AS BIGINT) AS h FROM p)",
+    ),
+    "f08_missingness_correlation_all": over_split(f"SELECT feature_1, feature_2, {r('x')} AS correlation FROM pq", *NULL_PAIRS),
+    "f33_indicator_redundancy_all": over_split(
+        f"SELECT feature_1 || '_missing' AS feature_1, feature_2 || '_missing' AS feature_2, {r('abs(x)')} AS abs_spearman_correlation FROM pq",
+        *NULL_PAIRS,
+    ),
+    "d01_drift_monitor_all": over(
+        "SELECT ms.*, psi FROM ms LEFT JOIN ps ON ms.feature = ps.feature", *SPLIT_PANEL, *feature_ctes("sp"), *drift_ctes(EVERY, "f3")
+    ),
+    "f30_spearman_pairs_all": over("SELECT * FROM pq", *PAIRS_OF_ALL),
+    "f31_redundancy_groups_all": recursive(over("SELECT feature, group_id FROM gg", *PAIRS_OF_ALL, *EDGES)),
+    "f32_representative_pick_all": recursive(over(PICK, *PAIRS_OF_ALL, *EDGES, *picked(sorted(EVERY)))),
     "r06_batch_score": over_split(
         f"SELECT id, raw_probability, score AS calibrated_probability, {LEVEL} AS risk_level,"
         " score >= 0.1 AS above_primary_threshold FROM cal",
@@ -729,21 +797,7 @@ STAGES: dict[str, str] = {
     ),
     "f30_spearman_pairs": over_matrix("SELECT * FROM pq", *spearman("dv", MODEL)),
     "f31_redundancy_groups": recursive(over_matrix("SELECT feature, group_id FROM gg", *spearman("dv", MODEL), *EDGES)),
-    "f32_representative_pick": recursive(
-        over_matrix(
-            "SELECT group_id, feature, CASE WHEN place = 1 THEN 'Retain' ELSE 'Exclude' END AS decision,"
-            " max(CASE WHEN place = 1 THEN feature END) OVER (PARTITION BY group_id) AS representative,"
-            " CASE WHEN place = 1 THEN 'Preferred representative of highly correlated group'"
-            " ELSE 'Highly correlated redundant feature' END AS reason FROM gp",
-            *spearman("dv", MODEL),
-            *EDGES,
-            "pm AS ("
-            + union_rows([f"'{c}' AS feature, count(*) FILTER ({c} IS NULL) * 100e0 / count(*) AS pm FROM f3 WHERE {DEV}" for c in MODEL])
-            + ")",
-            f"gp AS (SELECT group_id, gg.feature AS feature, row_number() OVER (PARTITION BY group_id ORDER BY {PREFERENCE} DESC,"
-            " gg.feature DESC) AS place FROM gg JOIN pm ON gg.feature = pm.feature)",
-        )
-    ),
+    "f32_representative_pick": recursive(over_matrix(PICK, *spearman("dv", MODEL), *EDGES, *picked(MODEL))),
     "f33_indicator_redundancy": over_split(
         "SELECT * FROM pq",
         "iq AS (SELECT id, " + ", ".join(f"{bit(f'{c} IS NULL')} AS {c}_missing" for c in INDICATORS) + f" FROM sp WHERE {DEV})",

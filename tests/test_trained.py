@@ -13,6 +13,7 @@ from holdfast.operators import boosting, saved_model, tree_attribution
 from holdfast.operators.boosting import BoostParams
 from holdfast.operators.scoring import MissingFeatures
 from holdfast.plans import customer_stages, trained
+from holdfast.session import materialise
 from holdfast.sources.panel import panel
 from oracle.stages_sql import SCORED
 from oracle.stages_sql import STAGES as STAGE_SQL
@@ -80,9 +81,15 @@ def test_no_customer_is_scored_by_a_model_that_saw_it(spark, quick):
 
 
 @pytest.fixture(scope="module")
-def scores_in_duck(spark, quick, tmp_path_factory):
+def stored(spark):
+    """The panel read once: its content is hashed for every query."""
+    return materialise(panel(spark, SF))
+
+
+@pytest.fixture(scope="module")
+def scores_in_duck(stored, quick, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("scores") / "scores")
-    trained.trained_scores(panel(spark, SF)).write.parquet(path)
+    trained.trained_scores(stored).write.parquet(path)
     con = connect(SF)
     con.execute(f"CREATE VIEW trained_scores AS SELECT * FROM read_parquet('{path}/*.parquet')")
     return con
@@ -93,9 +100,9 @@ def close(a, b):
 
 
 @pytest.mark.parametrize("name", [n for n in customer_stages.ON_SCORES if SCORED in STAGE_SQL.get(n, "")])
-def test_reports_of_stored_scores_equal_sql(spark, quick, scores_in_duck, name):
+def test_reports_of_stored_scores_equal_sql(stored, quick, scores_in_duck, name):
     """The SQL of each report, with the stored scores in the place of the card's."""
-    df = entry.ALL_STAGES[f"{name}_trained"](panel(spark, SF))
+    df = entry.ALL_STAGES[f"{name}_trained"](stored)
     rel = scores_in_duck.execute(STAGE_SQL[name].replace(SCORED, "sc AS (SELECT * FROM trained_scores)"))
     names = [d[0] for d in rel.description]
     want, got = rows_of(names, rel.fetchall()), rows_of(df.columns, [tuple(r) for r in df.collect()])
@@ -164,8 +171,8 @@ def test_shapley_values_equal_enumeration(params, widest, monkeypatch):
             assert got[r, j] == pytest.approx(want, abs=1e-9)
 
 
-def test_attribution_reports(spark, quick):
-    p = panel(spark, SF)
+def test_attribution_reports(stored, quick):
+    p = stored
     stages = entry.ALL_STAGES
     n = p.count()
     assert stages["x01_additivity_trained"](p).first() == (n, 0)
