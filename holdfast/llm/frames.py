@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast import session
+
 SLICE_BYTES = 4_000_000
 """Text handled at once inside a Python worker; one longer text is a slice of its own."""
 
 
-_SHIPPED = "spark.holdfast.shipped"
+BATCH_ROWS = 1000
+"""Rows of an Arrow batch: whole texts travel in them, so Spark's 10,000 would take tens of megabytes on either side of a worker."""
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application."""
-    sc = spark.sparkContext
-    if spark.conf.get(_SHIPPED, "") != sc.applicationId:
-        root = Path(__file__).resolve().parents[2]
-        folder = tempfile.mkdtemp(prefix="holdfast-package-")  # the driver's own; Spark hands the file out
-        sc.addPyFile(shutil.make_archive(f"{folder}/holdfast", "zip", root, "holdfast"))
-        spark.conf.set(_SHIPPED, sc.applicationId)
+    """Give the executors' Python workers this package, and batches that fit whole texts unless the session chose a size."""
+    session.ship_package(spark)
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

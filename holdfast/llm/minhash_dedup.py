@@ -34,6 +34,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+SHINGLE_BYTES = 1_000_000
+"""Text whose shingles are worked out at once: each byte costs about 60."""
+
+
 class Params(NamedTuple):
     """Shingle words, similarity in percent, and the shape of the signature."""
 
@@ -146,7 +150,7 @@ def signatures(df: DataFrame, p: Params, key: str = "doc_id", text: str = "text"
         multiply, add = _random(k, 3) | _U(1), _random(k, 5)
         bit = _U(1) << np.arange(k, dtype=_U)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SHINGLE_BYTES):
                 size, whole, sig, planes = [], [], [], []
                 for s in shingler.sets(part.column("text").to_pylist()):
                     size.append(len(s))
@@ -183,7 +187,7 @@ def shingle_sets(df: DataFrame, sought: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             slots = batch.column("slot").to_numpy()
             held = batch.filter(pa.array((shared.value[slots // 32] >> (slots % 32) & 1).astype(bool)))
-            for part in slices(held, "text"):
+            for part in slices(held, "text", SHINGLE_BYTES):
                 sets = shingler.sets(part.column("text").to_pylist())
                 halves = np.array([_set_hash(x) for x in sets], np.int64).reshape(-1, 2)
                 listed = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
