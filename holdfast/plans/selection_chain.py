@@ -154,8 +154,8 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "f32_representative_pick_all": representatives,
     "f34_mutual_information_all": information,
     "f35_univariate_stability_all": stability,
-    "f36_permutation_importance_all": importances,
-    "f37_final_selection_all": selected,
+    "f36_permutation_importance": importances,
+    "f37_final_selection": selected,
     "f38_model_matrix_export_all": exported,
     "m07_tree_boosting_selected": holdout_of_selected,
 }
