@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,3 +50,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         held += size
     if start < len(sizes):
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that Spark uses again for other stages would keep all it ever held."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's trim, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
