@@ -213,14 +213,25 @@ FEW = 16
 """Pairs of components with at most so many classes share tasks with others."""
 
 
+def _chunk(sig: str, p: Params) -> str:
+    """Of a signature the chunk that key ``k`` reads; the positions that this key leaves out are zero.
+
+    One short expression for all keys: written out for each of them, planning and compiling it took 150 MB of the driver.
+    """
+    variants, size = comb(p.width, p.errors), 2 * p.width
+    chunk = f"substring({sig}, {size} * cast(k div {variants} AS int) + 1, {size})"
+    for gone in zip(*combinations(range(p.width), p.errors), strict=True):
+        chunk = f"overlay({chunk} PLACING X'0000' FROM array({', '.join(str(2 * i + 1) for i in gone)})[k % {variants}])"
+    return chunk
+
+
+def _every_key(p: Params) -> str:
+    return f"sequence(0, {p.chunks * comb(p.width, p.errors) - 1})"
+
+
 def chunk_keys(p: Params) -> Column:
     """All keys of a signature: each chunk with each choice of ``errors`` positions left out."""
-    keys = []
-    for chunk in range(p.chunks):
-        for n, gone in enumerate(combinations(range(p.width), p.errors)):
-            kept = [F.substring("sig", 2 * (chunk * p.width + i) + 1, 2) for i in range(p.width) if i not in gone]
-            keys.append(F.xxhash64(F.lit(chunk), F.lit(n), F.concat(*kept)))
-    return F.array(*keys)
+    return F.expr(f"transform({_every_key(p)}, k -> xxhash64(k, {_chunk('sig', p)}))")
 
 
 def _sign_differences(a: str, b: str) -> str:
@@ -262,25 +273,8 @@ def _stars(rows: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
 
 
 def _first_key(p: Params) -> str:
-    """True for the first of the keys that signatures a_sig and b_sig share, so that a pair shows up once."""
-    equal = [
-        " + ".join(f"int(substring(a_sig, {2 * (c * p.width + i) + 1}, 2) = substring(b_sig, {2 * (c * p.width + i) + 1}, 2))" for i in range(p.width))
-        for c in range(p.chunks)
-    ]
-    first = " ".join(f"WHEN {e} >= {p.width - p.errors} THEN {c}" for c, e in enumerate(equal))
-    variants = comb(p.width, p.errors)
-    left = [[*combinations(range(p.width), p.errors)][n] for n in range(variants)]
-    # of the keys of that chunk, the first that leaves out every position in which they differ
-    differ = " ".join(
-        f"WHEN {c * variants + n} THEN "
-        + " AND ".join(
-            "NOT (" + " AND ".join(f"substring(a_sig, {2 * (c * p.width + i) + 1}, 2) = substring(b_sig, {2 * (c * p.width + i) + 1}, 2)" for i in range(p.width) if i not in earlier) + ")"
-            for earlier in left[:n]
-        )
-        for c in range(p.chunks)
-        for n in range(1, variants)
-    )
-    return f"(CASE {first} END) = a_k div {variants} AND (CASE a_k {differ} ELSE true END)"
+    """True if a_k is the first of the keys that signatures a_sig and b_sig share, so that a pair shows up once."""
+    return f"NOT exists({_every_key(p)}, k -> k < a_k AND {_chunk('a_sig', p)} = {_chunk('b_sig', p)})"
 
 
 def _leftover(rows: DataFrame, classes: DataFrame, label: DataFrame, p: Params) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates of texts and vectors, and components, against brute force."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -130,6 +131,31 @@ def test_a_pair_shows_up_at_one_of_its_shared_keys(spark):
     assert len(once) == len(set(once)) and set(once) == shared and len(shared) > 100
 
 
+@pytest.mark.parametrize("errors", [0, 1, 2])
+def test_keys_agree_where_the_kept_positions_do(spark, errors):
+    p = minhash_dedup.Params(chunks=3, width=4, errors=errors)
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 1 << 16, (80, p.positions), dtype=np.uint16)
+    two = np.where(rng.random(one.shape) < 0.4, one ^ 256, one).astype(np.uint16)
+    kept = [[c * p.width + i for i in range(p.width) if i not in gone] for c in range(p.chunks) for gone in combinations(range(p.width), errors)]
+    want = [[k for k, at in enumerate(kept) if (a[at] == b[at]).all()] for a, b in zip(one, two, strict=True)]
+    rows = [(i, a.tobytes(), b.tobytes()) for i, (a, b) in enumerate(zip(one, two, strict=True))]
+    df = spark.createDataFrame(rows, "id long, a_sig binary, b_sig binary")
+    a, b = ({r.id: r.all for r in df.withColumn("sig", F.col(x)).select("id", minhash_dedup.chunk_keys(p).alias("all")).collect()} for x in ("a_sig", "b_sig"))
+    assert [[k for k in range(len(kept)) if a[i][k] == b[i][k]] for i in range(len(rows))] == want
+    tried = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(kept) - 1))).alias("a_k")).join(
+        spark.createDataFrame([(i, k) for i, ks in enumerate(want) for k in ks], "id long, a_k int"), ["id", "a_k"]
+    )
+    first = {r.id: r.a_k for r in tried.filter(minhash_dedup._first_key(p)).collect()}
+    assert first == {i: ks[0] for i, ks in enumerate(want) if ks} and len(first) > 20
+
+
+def test_expressions_over_all_keys_stay_short(spark):
+    """The driver parses, plans and compiles what stands there: written out for each key, it took 150 MB."""
+    p = minhash_dedup.Params()
+    assert len(minhash_dedup._first_key(p)) < 1000 and len(str(minhash_dedup.chunk_keys(p))) < 1000
+
+
 def test_white_space_and_letters_of_the_contract():
     s = minhash_dedup.Shingler(2)
     a, b, c, d, e = s.sets(["One two\x0bTHREE", "one\ttwo three", "one two three", "\x1cone two", "ÉA b"])
