@@ -5,9 +5,10 @@ of all nodes that wait for a split, then the best split of each. Growth is level
 of leaves; best-first also works in rounds, because a node that is not among the best with all nodes known so far cannot
 become one of them later.
 
-Gradients are whole multiples of 2**-24, so that sums do not depend on the order or partitioning of rows. A matrix of at most
-``TASK_CELLS`` cells is given to one task for each fit; of a larger one, each round is one job over all fits of a chunk: blocks add up
-their histograms, which are summed and searched on the executors, and one row for each waiting node reaches the driver.
+Gradients are whole multiples of 2**-24, so that sums do not depend on the order or partitioning of rows, and a node's sums less
+those of one child are exactly those of the other. A matrix of at most ``TASK_CELLS`` bytes is given to one task for each fit; of a larger
+one, each round is one job over all fits of a chunk: blocks add up their histograms, which are summed and searched on the executors,
+and one row for each waiting node reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from holdfast.session import materialise, ship_package, shuffle_width
 
-TASK_CELLS = 16_000_000
-"""Rows x features up to which one task fits a model on its own; about 130 MB of memory."""
+TASK_CELLS = 160_000_000
+"""Rows x (features + ``ROW_STATE``) up to which one task fits a model on its own: a byte each in memory."""
+ROW_STATE = 64
+"""Bytes that a fit in a task holds for a row besides its bins: id, label, fold, margin, gradients and places."""
 FITS_AT_ONCE = 20
 """Fits that share the jobs of a distributed round."""
 TREES_REPLAYED = 8
@@ -32,6 +35,12 @@ TREES_REPLAYED = 8
 _UNIT = 2.0**24
 _SMALL = 1e-6
 """Gains up to this are no gain."""
+_PART = 2**14
+"""Rows added up at a time: a Hessian sum of so many rows and their number fit into one float without loss."""
+_FEW = 1024
+"""Rows up to which all columns are added up in one call."""
+_SEARCHED = 500_000
+"""Cells of histograms that are searched for splits at a time."""
 
 
 @dataclass(frozen=True)
@@ -118,15 +127,18 @@ class Tree:
     def __post_init__(self) -> None:
         self._left_sums: dict[int, tuple[float, float, int]] = {}
 
+    def order(self) -> list[int]:
+        """Nodes without the splits that better ones pushed out, children after their parent."""
+        kept, out = set(self.splits()), [0]
+        for i in out:
+            if i in kept:
+                out += (self.left[i], self.left[i] + 1)
+        return out
+
     def finished(self) -> dict[str, np.ndarray]:
         """The tree without the splits that better ones pushed out: feature, cut, left, value, cover of every node left."""
-        kept = set(self.splits())
-        order, place = [0], {0: 0}
-        for i in order:
-            if i in kept:
-                for child in (self.left[i], self.left[i] + 1):
-                    place[child] = len(order)
-                    order.append(child)
+        kept, order = set(self.splits()), self.order()
+        place = {i: k for k, i in enumerate(order)}
         p = self.params
         g, h, n = (np.array([self.sums[i][k] for i in order]) for k in range(3))
         value = -p.rate * soft(g, p.l1) / np.maximum(h + p.l2, 1e-15)
@@ -235,29 +247,105 @@ def start_margin(label: np.ndarray, seen: np.ndarray) -> float:
     return float(np.log(share / (1 - share)))
 
 
+def node_sums(x: np.ndarray, columns: np.ndarray, rows: np.ndarray, g: np.ndarray, packed: np.ndarray, bins: int) -> np.ndarray:
+    """(3, columns, bins) sums of g, h and 1 over some rows of a matrix stored by columns; ``packed`` is h x 2 x _PART + 1."""
+    out = np.zeros((3, len(columns), bins))
+    few = len(rows) <= _FEW
+    for start in range(0, len(rows), _PART):
+        part = rows[start : start + _PART]
+        own_g, own_packed = g[part], packed[part]
+        both = np.empty((len(columns), bins))
+        if few:
+            at = (x[columns[:, None], part[None, :]] + np.arange(0, len(columns) * bins, bins)[:, None]).ravel()
+            out[0] += np.bincount(at, np.tile(own_g, len(columns)), both.size).reshape(both.shape)
+            both[:] = np.bincount(at, np.tile(own_packed, len(columns)), both.size).reshape(both.shape)
+        else:
+            for j, column in enumerate(columns):
+                at = x[column].take(part).astype(np.intp)
+                out[0, j] += np.bincount(at, own_g, bins)
+                both[j] = np.bincount(at, own_packed, bins)
+        whole = np.floor(both / (2 * _PART))
+        out[1] += whole
+        out[2] += both - whole * (2 * _PART)
+    return out
+
+
+class _Rows:
+    """Row numbers in an order in which the rows of a node are neighbours."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self.order = rows
+        self.span = {0: (0, len(rows))}
+
+    def of(self, node: int) -> np.ndarray:
+        a, z = self.span[node]
+        return self.order[a:z]
+
+    def split(self, node: int, column: np.ndarray, cut: int, left: int) -> None:
+        rows = self.of(node)
+        above = column.take(rows) > cut
+        low, high = rows[~above], rows[above]
+        a, z = self.span[node]
+        self.order[a : a + len(low)], self.order[a + len(low) : z] = low, high
+        self.span[left], self.span[left + 1] = (a, a + len(low)), (a + len(low), z)
+
+
 def boost(binned: np.ndarray, label: np.ndarray, ids: np.ndarray, seen: np.ndarray, p: BoostParams, bins: int) -> tuple[float, list[dict], np.ndarray]:
-    """Start, trees and the margin of every row, of a model of the rows that are ``seen``."""
-    width = binned.shape[1]
-    offsets = binned.astype(np.int32) + np.arange(width, dtype=np.int32) * bins
+    """Start, trees and the margin of every row, of a model of the rows that are ``seen``.
+
+    Of the two children of a split only the smaller one is added up; nodes too small for any split are not.
+    """
+    x = np.ascontiguousarray(binned.T)
+    width = len(x)
     start = start_margin(label, seen)
     margin, trees = np.full(len(label), start), []
     for t in range(p.trees):
-        g, h = gradients(margin, label)
+        g, packed = gradients(margin, label)
+        packed *= 2 * _PART
+        packed += 1
         used = seen & sampled_rows(ids, p, t)
         tree = Tree(p, sampled_columns(width, p, t))
-        node = np.zeros(len(label), np.int64)
+        columns = np.flatnonzero(tree.columns)
+        every = np.ones(len(columns), bool)
+        inside, others = _Rows(np.flatnonzero(used)), _Rows(np.flatnonzero(~used))
+        held: dict[int, np.ndarray] = {}
+        families: list[tuple[int | None, tuple[int, ...]]] = [(None, (0,))]
         while tree.waiting:
-            waiting = tree.waiting
-            slot_of = np.full(len(tree.feature), -1)
-            slot_of[waiting] = np.arange(len(waiting))
-            sums = histogram(offsets, np.where(used, slot_of[node], -1), g, h, len(waiting), width, bins)
-            move(node, binned, tree, tree.take(dict(zip(waiting, best_splits(sums, tree.columns, p)))))
-        done = tree.finished()
+            best: dict[int, tuple] = {}
+            asked: dict[int, np.ndarray] = {}
+            for parent, nodes in families:
+                able = [i for i in nodes if parent is None or _can_split(tree.sums[i], p)]
+                best |= {i: (0.0, -1, 0, tree.sums[i], tree.sums[i]) for i in nodes if i not in able}
+                whole = held.pop(parent, None)
+                if able:
+                    small = min(nodes, key=lambda i: len(inside.of(i)))
+                    sums = {small: node_sums(x, columns, inside.of(small), g, packed, bins)}
+                    sums |= {i: whole - sums[small] for i in nodes if i != small}
+                    asked |= {i: sums[i] for i in able}
+            step = max(1, _SEARCHED // (len(columns) * bins))
+            for some in (list(asked)[k : k + step] for k in range(0, len(asked), step)):
+                found = best_splits(np.stack([asked[i] for i in some], axis=1), every, p)
+                best |= {i: (gain, int(columns[f]) if f >= 0 else -1, cut, left, own) for i, (gain, f, cut, left, own) in zip(some, found)}
+            held |= {i: sums for i, sums in asked.items() if best[i][1] >= 0}
+            new = tree.take(best)
+            for i in new:
+                for rows in (inside, others):
+                    rows.split(i, x[tree.feature[i]], tree.cut[i], tree.left[i])
+            families = [(i, (tree.left[i], tree.left[i] + 1)) for i in new if tree.left[i] in tree.waiting]
+        done, order = tree.finished(), tree.order()
         trees.append(done)
-        margin += leaf_values(binned, done)
+        for i, feature, value in zip(order, done["feature"], done["value"]):
+            if feature < 0:
+                for rows in (inside, others):
+                    margin[rows.of(i)] += value
     return start, trees, margin
 
 
+def _can_split(sums: tuple[float, float, int], p: BoostParams) -> bool:
+    """Whether both sides of some cut could hold enough rows and Hessian."""
+    return sums[2] >= 2 * max(p.min_rows, 1) and sums[1] >= 2 * p.min_hessian
+
+
 # ---------------------------------------------------------------- on Spark
 
 
@@ -349,22 +437,33 @@ def _seen(fold: np.ndarray, fit: Fit) -> np.ndarray:
     return (fold > 0) & (fold != fit.without)
 
 
-def _fit_in_tasks(stored: DataFrame, fits: list[Fit], edges: list[np.ndarray], bins: int) -> DataFrame:
+_ROWS_OUT = 100_000
+
+
+def _fit_in_tasks(stored: DataFrame, fits: list[Fit], edges: list[np.ndarray], bins: int, rows: int) -> DataFrame:
     """One task for each fit; the matrix is small enough for one, which the caller has checked."""
     width = len(edges)
 
-    def run(group: pa.Table) -> pa.Table:
-        number = group.column("fit")[0].as_py()
-        fit = fits[number]
-        parts = _opened(group, width)
-        ids, label, fold, x = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        order = np.argsort(ids, kind="stable")
-        ids, label, fold, x = ids[order], label[order], fold[order], np.ascontiguousarray(x[order])
-        start, trees, margin = boost(x, label, ids, _seen(fold, fit), fit.params, bins)
-        return _result(number, start, trees, [(ids, label, fold, margin)], edges)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                number, part = batch.column(5)[k].as_py(), _opened(batch.slice(k, 1), width)[0]
+                if number not in held:
+                    held[number] = [0, np.empty(rows, np.int64), np.empty(rows, np.int8), np.empty(rows, np.int8), np.empty((width, rows), np.uint8)]
+                at, ids, label, fold, x = held[number]
+                held[number][0] = end = at + len(part[0])
+                ids[at:end], label[at:end], fold[at:end], x[:, at:end] = *part[:3], part[3].T
+        for number in sorted(held):
+            _, ids, label, fold, x = held.pop(number)
+            start, trees, margin = boost(x.T, label, ids, _seen(fold, fits[number]), fits[number].params, bins)
+            yield from _result(number, start, trees, [], edges).to_batches()
+            for a in range(0, rows, _ROWS_OUT):
+                part = slice(a, a + _ROWS_OUT)
+                yield from _result(number, 0.0, [], [(ids[part], label[part], fold[part], margin[part])], edges).slice(1).to_batches()
 
     each = stored.withColumn("fit", F.explode(F.sequence(F.lit(0), F.lit(len(fits) - 1))))
-    return each.repartition(max(len(fits), 2), "fit").groupBy("fit").applyInArrow(run, RESULT)
+    return each.repartitionById(len(fits), F.col("fit")).mapInArrow(run, RESULT)
 
 
 def _fit_in_rounds(stored: DataFrame, fits: list[Fit], first: int, edges: list[np.ndarray], bins: int) -> DataFrame:
@@ -520,8 +619,8 @@ def fit_models(matrix: DataFrame, columns: list[str], fits: list[Fit], bins: int
     stored = blocks(matrix, columns, edges)
     used = max((len(e) + 1 for e in edges), default=1)
     rows = stored.agg(F.sum("n")).first()[0] or 0
-    if rows * len(columns) <= task_cells:
-        table = _fit_in_tasks(stored, fits, edges, used)
+    if rows * (len(columns) + ROW_STATE) <= task_cells:
+        table = _fit_in_tasks(stored, fits, edges, used, rows)
     else:
         wide = stored.repartition(shuffle_width(stored.sparkSession))
         parts = [_fit_in_rounds(wide, fits[i : i + FITS_AT_ONCE], i, edges, used) for i in range(0, len(fits), FITS_AT_ONCE)]

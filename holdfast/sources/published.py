@@ -91,9 +91,16 @@ def publish(
     return back
 
 
+def _content(df: DataFrame) -> tuple:
+    """The fingerprint of a table, read once for each DataFrame: all stages of a query speak of the same content."""
+    if not hasattr(df, "_holdfast_content"):
+        df._holdfast_content = tuple(fingerprint(df).first())
+    return df._holdfast_content
+
+
 def content_key(df: DataFrame, name: str, settings: object) -> str:
     """Changes with any value of the table, its schema, the name of the stage or its settings."""
-    return hashlib.sha256(repr((name, settings, tuple(fingerprint(df).first()))).encode()).hexdigest()[:32]
+    return hashlib.sha256(repr((name, settings, _content(df))).encode()).hexdigest()[:32]
 
 
 def stages_folder(spark: SparkSession) -> str:

@@ -142,3 +142,35 @@ def test_one_class_and_constant_columns(spark):
     assert all(0 <= s < 1e-5 for s in scores_of(fitted).values())
     empty = b.fit_models(m.limit(0), ["a", "b"], [Fit("x", BoostParams(2, 0.1, depth=2))])
     assert empty.scores().count() == 0
+
+
+@pytest.mark.parametrize("name", SETTINGS)
+def test_only_the_smaller_child_is_added_up(name, monkeypatch):
+    """Rows added up for a tree: all of them for the root, at most half of a node for its two children."""
+    x, label, ids = data(n=3000, levels=40)
+    added, real = [], b.node_sums
+    monkeypatch.setattr(b, "node_sums", lambda x, columns, rows, *rest: added.append(len(rows)) or real(x, columns, rows, *rest))
+    _, trees, _ = b.boost(x, label, ids, ids % 5 > 0, SETTINGS[name], 40)
+    levels = max(SETTINGS[name].depth, SETTINGS[name].leaves)
+    assert added.count(2400) == len(trees)
+    assert sum(added) <= len(trees) * 2400 * (1 + levels / 2)
+
+
+def test_sums_of_long_nodes_are_exact():
+    """More rows than are added up at a time, the largest Hessian, an odd number of rows and a column left out."""
+    n = 3 * b._PART + 5
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (3, n)).astype(np.uint8)
+    g = np.rint(rng.uniform(-1, 1, n) * b._UNIT)
+    h = np.full(n, b._UNIT / 4)
+    rows = np.flatnonzero(rng.random(n) < 0.9)
+    for some in (rows, rows[:100], rows[:0]):
+        got = b.node_sums(x, np.array([0, 2]), some, g, h * 2 * b._PART + 1, 9)
+        for j, column in enumerate((0, 2)):
+            for k, weights in enumerate((g, h, np.ones(n))):
+                want = [int(weights[some][x[column][some] == c].sum()) for c in range(9)]
+                assert got[k, j].astype(int).tolist() == want
+
+
+def test_a_matrix_of_nine_hundred_thousand_customers_fits_a_task():
+    assert 900_000 * (24 + b.ROW_STATE) <= b.TASK_CELLS

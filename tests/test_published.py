@@ -75,3 +75,13 @@ def test_a_stage_runs_once_for_a_content_and_settings(spark):
     published.stored_stage(df.withColumn("v", F.when(F.col("id") == 7, 0).otherwise(F.col("v"))), "sums", {"a": 1}, build)
     published.stored_stage(df.withColumn("v", F.col("v").cast("int")), "sums", {"a": 1}, build)
     assert len(runs) == 5
+
+
+def test_a_query_reads_its_table_once_for_all_stages(spark, tmp_path, monkeypatch):
+    seen, real = [], published.fingerprint
+    df = spark.range(20).withColumn("v", F.col("id") * 2)
+    monkeypatch.setattr(published, "fingerprint", lambda one: seen.append(one) or real(one))
+    keys = {published.content_key(df, name, settings) for name in ("a", "b") for settings in (1, 2)}
+    assert len(keys) == 4 and len(seen) == 1
+    assert published.content_key(df.repartition(2), "a", 1) in keys
+    assert published.content_key(df.filter("id > 0"), "a", 1) not in keys
