@@ -1,8 +1,9 @@
 """Mutual information of a class label and a number, by nearest neighbours, over all rows.
 
 For each row: the distance d to its k-th nearest row of the same class, and the number m of rows of any class nearer than d. The
-estimate is psi(N) + mean(psi(k) - psi(rows of the class) - psi(m)). Neighbours come from ranges of (feature, class, value), each with k
-rows borrowed from either side; m is a difference of two running counts.
+estimate is psi(N) + mean(psi(k) - psi(rows of the class) - psi(m)). A column that fits a task is counted by value and class there; of a
+longer one, neighbours come from ranges of (feature, class, value), each with k rows borrowed from either side, and m is a difference of
+two running counts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.numeric import rounded
+from holdfast.operators import columns as whole_columns
 from holdfast.operators.ranking import prefix_sums
 from holdfast.session import materialise, ship_package, shuffle_width
 
@@ -140,12 +142,78 @@ def neighbour_distances(long: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return stored.mapInArrow(measure, "feature string, label int, value double, d double")
 
 
+def _psi(x: np.ndarray) -> np.ndarray:
+    """The same series as ``digamma``."""
+    y = x + 6.0
+    series = 1 / (12 * y**2) - 1 / (120 * y**4) + 1 / (252 * y**6)
+    return np.log(y) - 1 / (2 * y) - series - sum(1 / (x + i) for i in range(6))
+
+
+def class_distances(value: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Distance of a row of each of some distinct values in order, of one class, to its k-th nearest; k + 1 copies stand for more."""
+    copies = np.minimum(n, k + 1)
+    first = np.cumsum(copies) - copies
+    out = np.empty(len(value))
+    for a in range(0, len(value), _CHUNK):
+        z = min(a + _CHUNK, len(value))
+        low, high = max(0, a - k), min(len(value), z + k)
+        near = np.repeat(value[low:high], copies[low:high])
+        begin, end = int(first[a] - first[low]), int(first[z - 1] - first[low]) + 1
+        out[a:z] = kth_distance(np.zeros(len(near), np.int8), near, k, begin, end)[first[a:z] - first[a]]
+    return out
+
+
+def _in_tasks(df: DataFrame, columns: list[str], rows: int, k: int) -> DataFrame:
+    """(feature, s, of_all): sum of the terms of all rows of a column, and their number."""
+    schema = "feature string, s double, of_all double"
+
+    def work(j: int, parts: whole_columns.Parts) -> Iterator[pa.RecordBatch]:
+        value, label, n = whole_columns.counted_values(parts)
+        found = []
+        for one in np.unique(label):
+            own = label == one
+            v, starts = value[own], whole_columns.starts_of(value[own])
+            v, w = v[starts], np.add.reduceat(n[own], starts)
+            d = class_distances(v, w, k)
+            there = np.isfinite(d)
+            if there.any():
+                found.append((v[there], w[there], d[there]))
+        if not found:
+            return
+        points, weights = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.argsort(points, kind="stable")
+        points, upto = points[order], np.concatenate([[0], weights[order].cumsum()])
+        total = 0.0
+        for v, w, d in found:
+            of_class = w.sum()
+            for a in range(0, len(v), _CHUNK):
+                x, r = v[a : a + _CHUNK], d[a : a + _CHUNK]
+                ahead = np.where(r > 0, np.searchsorted(points, x + r, "left"), np.searchsorted(points, x, "right"))
+                behind = np.where(r > 0, np.searchsorted(points, x - r, "right"), np.searchsorted(points, x, "left"))
+                m = (upto[ahead] - upto[behind]).astype(np.float64)
+                term = _psi(np.float64(min(k, of_class - 1))) - _psi(np.float64(of_class)) - _psi(m)
+                total += float((term * w[a : a + _CHUNK]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([columns[j]]), pa.array([total]), pa.array([float(upto[-1])])], ["feature", "s", "of_all"])
+
+    there = df.filter("label IS NOT NULL").select(F.col("label").cast("int").alias("label"), *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    return whole_columns.each_column(whole_columns.runs(there, columns, F.col("label")), columns, rows, work, schema)
+
+
 def nearest_information(df: DataFrame, columns: list[str], k: int = NEIGHBOURS) -> DataFrame:
     """(feature, mutual_information, mi_rank) of complete columns of (id, label, ...), in nats, never below 0.
 
     A class of a single row is left out, a class of fewer than k + 1 rows uses all its others. Where the k-th neighbour has
     the same value, m counts the rows of that value. A missing value leaves its row out of that column.
     """
+    size = df.count()
+    sums = _in_tasks(df, columns, size, k) if size <= whole_columns.COLUMN_ROWS else _in_ranges(df, columns, k)
+    scores = sums.select("feature", rounded(F.greatest(F.lit(0.0), digamma(F.col("of_all")) + F.col("s") / F.col("of_all")), 6).alias("mutual_information"))
+    place = Window.orderBy(F.desc("mutual_information"), F.asc("feature"))
+    return scores.withColumn("mi_rank", F.row_number().over(place).cast("bigint"))
+
+
+def _in_ranges(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """The same sums where a column is too long for a task."""
     entries = ", ".join(f"struct('{c}' AS feature, cast({c} AS double) AS value)" for c in columns)
     long = df.selectExpr("id", "cast(label AS int) AS label", f"inline(array({entries}))").filter("value IS NOT NULL AND NOT isnan(value) AND label IS NOT NULL")
     near = materialise(neighbour_distances(long, k).groupBy("feature", "label", "value", "d").agg(F.count(F.lit(1)).alias("n")))
@@ -169,7 +237,4 @@ def nearest_information(df: DataFrame, columns: list[str], k: int = NEIGHBOURS)
     rows = near.join(inside, ["feature", "value", "d"]).join(F.broadcast(classes), ["feature", "label"])
     used = F.least(F.lit(k), F.col("of_class") - 1).cast("double")
     term = digamma(used) - digamma(F.col("of_class").cast("double")) - digamma(F.col("m").cast("double"))
-    sums = rows.groupBy("feature").agg(F.sum(term * F.col("n")).alias("s"), F.max("of_all").cast("double").alias("of_all"))
-    scores = sums.select("feature", rounded(F.greatest(F.lit(0.0), digamma(F.col("of_all")) + F.col("s") / F.col("of_all")), 6).alias("mutual_information"))
-    place = Window.orderBy(F.desc("mutual_information"), F.asc("feature"))
-    return scores.withColumn("mi_rank", F.row_number().over(place).cast("bigint"))
+    return rows.groupBy("feature").agg(F.sum(term * F.col("n")).alias("s"), F.max("of_all").cast("double").alias("of_all"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.operators import columns as whole_columns
 from holdfast.operators.ranking import grouped_prefix_sums
 
 
@@ -46,9 +47,13 @@ def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
     return exact_quantiles(df, columns, {"median": 0.5}, by)
 
 
-def medians_wide(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Exact medians with one column per feature, named after it."""
+def medians_wide(df: DataFrame, columns: list[str], by: list[str] | None = None, in_tasks: bool = False) -> DataFrame:
+    """Exact medians with one column per feature, named after it; ``in_tasks``: each column of a stored table by one task, if it fits."""
     one = F.lit(1).alias("_one")
-    long = medians(df, columns, by)
+    size = df.count() if in_tasks and not by else None
+    if size is not None and size <= whole_columns.COLUMN_ROWS:
+        long = whole_columns.quantiles(df, columns, size, {"median": 0.5})
+    else:
+        long = medians(df, columns, by)
     grouped = long.groupBy(*(by or [one])) if by else long.withColumn("_one", F.lit(1)).groupBy("_one")
     return grouped.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in columns])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.numeric import ratio, rounded
+from holdfast.operators import columns as whole_columns
 from holdfast.operators.missingness import feature_family
 from holdfast.operators.quantiles import exact_quantiles, long_values
 from holdfast.operators.ranking import HOT_SHARE, grouped_prefix_sums
@@ -102,14 +104,44 @@ def _average_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
     return found.groupBy("id").agg(*[F.max(F.when(F.col("feature") == c, F.col("r"))).alias(c) for c in columns])
 
 
-def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Absolute Spearman correlation of complete columns over all rows, from one matrix of ranks."""
-    rows = materialise(df.select("id", *columns))
-    blocks = [columns[i : i + RANKED_AT_ONCE] for i in range(0, len(columns), RANKED_AT_ONCE)]
-    wide = _average_ranks(rows, blocks[0])
-    for block in blocks[1:]:
-        wide = materialise(wide).join(materialise(_average_ranks(rows, block)), "id")
-    return pearson_pairs(wide, columns).select(
+def _rank_products(rows: DataFrame, columns: list[str], size: int) -> np.ndarray:
+    """Products of centred ranks over all ids; the rows of one id count once, with the highest value of each column."""
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return whole_columns.rank_products(rows, columns, size)
+    single = materialise(rows.groupBy("id").agg(*[F.max(c).alias(c) for c in columns]))
+    return whole_columns.rank_products(rows, columns, size, single)
+
+
+def _product_pairs(products: np.ndarray, columns: list[str], spark: SparkSession) -> DataFrame:
+    """Correlations from sums of products, the last row and column of which are sums; a constant column has none."""
+    sums, n = products[:-1, -1], products[-1, -1]
+    spread = products[:-1, :-1] - np.outer(sums, sums) / max(n, 1.0)
+    scale = np.sqrt(spread.diagonal())
+    pairs = [
+        (columns[i], columns[j], float(spread[i, j] / (scale[i] * scale[j])))
+        for i in range(len(columns))
+        for j in range(i + 1, len(columns))
+        if scale[i] > 0 and scale[j] > 0
+    ]
+    return spark.createDataFrame(pairs, "feature_1 string, feature_2 string, correlation double")
+
+
+def spearman_pairs(df: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
+    """Absolute Spearman correlation of complete columns over all rows, from one matrix of ranks.
+
+    Rows of one id count once, with the highest rank of each column. ``stored``: df is read from storage.
+    """
+    rows = df.select("id", *columns) if stored else materialise(df.select("id", *columns))
+    size = rows.count()
+    if size <= whole_columns.COLUMN_ROWS:
+        pairs = _product_pairs(_rank_products(rows, columns, size), columns, rows.sparkSession)
+    else:
+        blocks = [columns[i : i + RANKED_AT_ONCE] for i in range(0, len(columns), RANKED_AT_ONCE)]
+        wide = _average_ranks(rows, blocks[0])
+        for block in blocks[1:]:
+            wide = materialise(wide).join(materialise(_average_ranks(rows, block)), "id")
+        pairs = pearson_pairs(wide, columns)
+    return pairs.select(
         "feature_1", "feature_2", rounded(F.abs("correlation"), 6).alias("abs_spearman_correlation")
     )
 
@@ -224,7 +256,13 @@ def grouped_auc(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
 def univariate_stability(df: DataFrame, columns: list[str]) -> DataFrame:
     """Direction-free AUC of each column per fold; stable when most folds reach 0.55."""
-    aucs = grouped_auc(df, columns, ["fold"]).filter("auc IS NOT NULL")
+    size = df.count()
+    if size <= whole_columns.COLUMN_ROWS:
+        pairs = whole_columns.group_pairs(df, columns, size, "fold")
+        aucs = pairs.select("feature", "fold", ratio("pairs", F.col("pos") * (F.col("n") - F.col("pos"))).alias("auc"))
+    else:
+        aucs = grouped_auc(df, columns, ["fold"])
+    aucs = aucs.filter("auc IS NOT NULL")
     auc = F.greatest("auc", F.lit(1.0) - F.col("auc"))
     folds = aucs.select("feature", rounded(auc, 9).alias("auc"))
     groups = folds.groupBy("feature").agg(

@@ -56,7 +56,7 @@ def missing_shares(panel: DataFrame) -> DataFrame:
 def pairs(panel: DataFrame) -> DataFrame:
     """Absolute Spearman correlation of all pairs of candidates."""
     names = candidates(panel)
-    return stored_stage(panel, "spearman-all", tuple(names), lambda p: selection.spearman_pairs(_development(p), names))
+    return stored_stage(panel, "spearman-all", tuple(names), lambda p: selection.spearman_pairs(_development(p), names, stored=True))
 
 
 def groups(panel: DataFrame) -> DataFrame:
