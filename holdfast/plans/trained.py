@@ -16,7 +16,7 @@ from holdfast.operators.quantiles import medians
 from holdfast.operators.scoring import Sigmoid
 from holdfast.operators.splitting import DEVELOPMENT, FOLDS, VALIDATION
 from holdfast.session import materialise
-from holdfast.sources.published import content_key, published_version, stages_folder, stored_stage
+from holdfast.sources.published import content_key, published_version, stages_folder, stored_copy, stored_stage
 
 
 def _leafwise(trees: int, rate: float, leaves: int, rows: int, l2: float) -> BoostParams:
@@ -189,7 +189,7 @@ def on_trained(report: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame]
 
 def feature_table(panel: DataFrame) -> DataFrame:
     """(id, features) as a scoring job would get them: without labels, values still missing."""
-    return build_features(panel).select("id", *MODEL_FEATURES)
+    return build_features(stored_copy(panel)).select("id", *MODEL_FEATURES)
 
 
 def saved(panel: DataFrame) -> saved_model.SavedModel:
@@ -197,7 +197,7 @@ def saved(panel: DataFrame) -> saved_model.SavedModel:
     spark = panel.sparkSession
     path = f"{stages_folder(spark)}/model-{content_key(panel, 'model', (final_params(), MODEL_FEATURES))}"
     if published_version(spark, f"{path}/description") is None:
-        rows = modelling.feature_rows(panel)
+        rows = modelling.feature_rows(stored_copy(panel))
         fill = modelling.development_medians(rows).first().asDict()
         types = {c: t for c, t in feature_table(panel).dtypes if c != "id"}
         nodes = _final_table(panel).filter("tree IS NOT NULL AND fit = 0").withColumn("threshold", F.nanvl("threshold", F.lit(None).cast("double")))

@@ -14,7 +14,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.operators.modelling import fingerprint
-from holdfast.session import ensure_checkpoint_dir, materialise
+from holdfast.session import ensure_checkpoint_dir, free_shuffles, is_stored, materialise
 
 MARKER = "_current"
 
@@ -76,7 +76,7 @@ def publish(
     spark = df.sparkSession
     if not replace and published_version(spark, path) is not None:
         raise FileExistsError(f"{path} exists: a version is published there")
-    stored = materialise(df)
+    stored = df if is_stored(df) else materialise(df)
     version = f"v-{uuid4().hex}"
     writer = stored.write.mode("errorifexists").format(fmt)
     if fmt == "csv":
@@ -91,11 +91,23 @@ def publish(
     return back
 
 
+def stored_copy(df: DataFrame) -> DataFrame:
+    """The rows of a DataFrame, worked out and stored once: all stages of a query read and speak of the same content."""
+    if is_stored(df):
+        return df
+    if not hasattr(df, "_holdfast_copy"):
+        # the plan of df itself would hold its shuffle files for as long as df is known
+        df._holdfast_copy = materialise(df.select("*"))
+        free_shuffles(df.sparkSession)
+    return df._holdfast_copy
+
+
 def _content(df: DataFrame) -> tuple:
-    """The fingerprint of a table, read once for each DataFrame: all stages of a query speak of the same content."""
-    if not hasattr(df, "_holdfast_content"):
-        df._holdfast_content = tuple(fingerprint(df).first())
-    return df._holdfast_content
+    """The fingerprint of a table, read once for each DataFrame."""
+    copy = stored_copy(df)
+    if not hasattr(copy, "_holdfast_content"):
+        copy._holdfast_content = tuple(fingerprint(copy).first())
+    return copy._holdfast_content
 
 
 def content_key(df: DataFrame, name: str, settings: object) -> str:
@@ -117,10 +129,12 @@ def stored_stage(df: DataFrame, name: str, settings: object, build: Callable[[Da
     spark = df.sparkSession
     path = f"{stages_folder(spark)}/{name}-{content_key(df, name, settings)}"
     if published_version(spark, path) is None:
-        made = build(df)
+        made = build(stored_copy(df))
         try:
             publish(made, path)
         except Exception:
             if published_version(spark, path) is None:
                 raise
+        del made
+        free_shuffles(spark)
     return read_published(spark, path)

@@ -85,3 +85,19 @@ def test_a_query_reads_its_table_once_for_all_stages(spark, tmp_path, monkeypatc
     assert len(keys) == 4 and len(seen) == 1
     assert published.content_key(df.repartition(2), "a", 1) in keys
     assert published.content_key(df.filter("id > 0"), "a", 1) not in keys
+
+
+def test_a_table_is_worked_out_once_for_all_stages(spark, tmp_path, monkeypatch):
+    """Two stages of one DataFrame, and the publication of a stored one, store its rows one time."""
+    made, real = [], published.materialise
+    monkeypatch.setattr(published, "materialise", lambda df: made.append(df) or real(df))
+    spark.conf.set("spark.holdfast.stages.dir", str(tmp_path))
+    try:
+        df = spark.range(50).withColumn("v", F.col("id") % 7)
+        seen = []
+        for name in ("a", "b"):
+            out = published.stored_stage(df, name, (), lambda p: seen.append(p) or real(p.groupBy("v").count()))
+            assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in df.groupBy("v").count().collect())
+        assert len(made) == 1 and seen[0] is seen[1]
+    finally:
+        spark.conf.unset("spark.holdfast.stages.dir")
